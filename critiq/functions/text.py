@@ -68,7 +68,14 @@ def split_contractions(
             parts = F.when(word == whole, F.array(*map(F.lit, halves))).otherwise(parts)
         return parts
 
-    return F.flatten(F.transform(words, pieces))
+    # The one-element array binds the words once; most texts have nothing to split.
+    return F.transform(
+        F.array(words),
+        lambda given: F.when(
+            F.exists(given, lambda word: word.isin(list(contractions))),
+            F.flatten(F.transform(given, pieces)),
+        ).otherwise(given),
+    )[0]
 
 
 def keep_words(words: Column, stop_words: Iterable[str]) -> Column:
@@ -103,30 +110,26 @@ def contains_any(text: Column, parts: Iterable[str]) -> Column:
     )
 
 
-def ngrams_1_2(words: Column) -> Column:
-    """Words of two or more characters and the pairs of neighbours among them."""
-    # The one-element array binds the filtered words once for both uses.
-    long_words = F.array(F.filter(words, lambda word: F.length(word) >= 2))
-    return F.flatten(
-        F.transform(
-            long_words,
-            lambda kept: F.concat(
-                kept,
-                F.zip_with(
-                    F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))),
-                    F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))),
-                    lambda left, right: F.concat_ws(" ", left, right),
-                ),
-            ),
-        )
-    )
-
-
-def unigrams(words: Column) -> Column:
+def long_words(words: Column) -> Column:
     """Words of two or more characters."""
     return F.filter(words, lambda word: F.length(word) >= 2)
 
 
+def word_pairs(words: Column, among: Iterable[str] | None = None) -> Column:
+    """Neighbouring words joined by a space, or only the pairs made of the given words."""
+    after_first = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    before_last = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    if among is None:
+        return F.zip_with(before_last, after_first, lambda a, b: F.concat_ws(" ", a, b))
+    chosen = list(among)
+    pairs = F.zip_with(
+        before_last,
+        after_first,
+        lambda a, b: F.when(a.isin(chosen) & b.isin(chosen), F.concat_ws(" ", a, b)),
+    )
+    return F.filter(pairs, lambda pair: pair.isNotNull())
+
+
 def parse_review_time(text: Column, formats: Iterable[str] = fixed.REVIEW_DATE_FORMATS) -> Column:
     """Timestamp by the first format that fits, else by Spark's own parsing, else null."""
     tries = [F.try_to_timestamp(text, F.lit(pattern)) for pattern in formats]

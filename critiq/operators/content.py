@@ -71,11 +71,12 @@ def _matches_by_join(df: DataFrame, text: str, words: DataFrame, key: Sequence[s
         "list_name", "word", "severity", "position", F.lower("word").alias("needle")
     ).withColumn("gram", F.left("needle", F.lit(PREFIX)))
     lowered = df.select(*key, F.lower(text).alias("_text"))
+    lengths = entries.agg(F.collect_set(F.length("gram"))).first()[0]  # at most PREFIX numbers
     grams = F.flatten(
         F.array(
             *[
-                F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-                for size in range(1, PREFIX + 1)
+                F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+                for length in sorted(lengths)
             ]
         )
     )

@@ -10,12 +10,14 @@ import numpy as np
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from critiq import fixed_values as fixed
 from critiq.functions import text as T
 from critiq.functions.arrays import array_sum
+from critiq.operators.bounds import rows_if_small
 from critiq.operators.content import with_content_checks
+from critiq.session import written
 
 # The vocabulary is held by the driver and every task; this bounds it.
 MAX_VOCABULARY = 1 << 18
@@ -35,65 +37,101 @@ class Vocabulary:
         return np.log((1 + self.documents) / (1 + np.array(self.document_counts, float))) + 1
 
 
-def term_counts(docs: DataFrame, terms: str) -> DataFrame:
+def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
     """Occurrences and documents of every term.
 
     Sorting a document's terms marks the first of each, so both counts come
     from one aggregation by term and no (document, term) pairs are shuffled.
     """
-    in_order = docs.select(F.array_sort(terms).alias("_terms"))
+    in_order = docs.select(F.sort_array(terms).alias("_sorted"))
     marked = in_order.select(
         F.inline(
             F.zip_with(
-                "_terms",
-                F.concat(F.array(F.lit(None).cast("string")), "_terms"),
+                "_sorted",
+                F.slice(F.concat(F.array(F.lit("")), "_sorted"), 1, F.size("_sorted")),
                 lambda term, previous: F.struct(
-                    term.alias("term"), (~term.eqNullSafe(previous)).alias("first")
+                    term.alias("term"), (term != previous).alias("first")
                 ),
             )
         )
-    ).filter(F.col("term").isNotNull())
+    )
     return marked.groupBy("term").agg(
         F.count("*").alias("occurrences"), F.count_if("first").alias("documents")
     )
 
 
+def _most_frequent(counts: DataFrame, max_features: int, min_df: int) -> list[Row]:
+    return (
+        counts.filter(F.col("documents") >= min_df)
+        .orderBy(F.desc("occurrences"), "term")
+        .limit(max_features)
+        .collect()
+    )
+
+
+def _words_pairs_may_use(
+    single: DataFrame, best: list[Row], max_features: int, min_df: int
+) -> list[str] | None:
+    """The words a kept pair can consist of; None if they are too many to list.
+
+    A pair occurs no more often, and in no more documents, than either of its
+    words. So once max_features words are found, only words at least as
+    frequent as the last of them can make up a pair that is kept.
+    """
+    least = best[-1]["occurrences"] if len(best) == max_features else 1
+    frequent = single.filter((F.col("documents") >= min_df) & (F.col("occurrences") >= least))
+    rows = rows_if_small(frequent.select("term"), 10 * max_features)
+    return None if rows is None else [row["term"] for row in rows]
+
+
 def fit_vocabulary(
     docs: DataFrame,
-    terms: str,
+    words: str = "words",
     max_features: int = fixed.MAX_FEATURES,
     min_df: int = fixed.MIN_DF,
+    pairs: bool = True,
 ) -> Vocabulary:
-    """The max_features most frequent terms that occur in min_df documents; ties by term."""
+    """The max_features most frequent words and pairs that occur in min_df documents.
+
+    Ties go to the smaller term. Pairs are counted in a second pass, and only
+    those that could be frequent enough, so the many rare pairs of a large
+    collection are never shuffled.
+    """
     if max_features > MAX_VOCABULARY:
         raise ValueError(f"max_features is limited to {MAX_VOCABULARY}")
-    rows = (
-        term_counts(docs, terms)
-        .filter(F.col("documents") >= min_df)
-        .orderBy(F.desc("occurrences"), "term")
-        .limit(max_features)
-        .collect()
-    )
-    if not rows:
+    single = term_counts(docs, F.col(words))
+    best = _most_frequent(single, max_features, min_df)
+    pair_words: list[str] | None = []
+    if pairs and best:
+        pair_words = _words_pairs_may_use(single, best, max_features, min_df)
+        double = term_counts(docs, T.word_pairs(F.col(words), pair_words))
+        best += _most_frequent(double, max_features, min_df)
+        best.sort(key=lambda row: (-row["occurrences"], row["term"].encode()))
+        best = best[:max_features]
+    if not best:
         raise ValueError("no term occurs in enough documents")
-    rows.sort(key=lambda row: row["term"])
+    best.sort(key=lambda row: row["term"])
     return Vocabulary(
-        tuple(row["term"] for row in rows), tuple(row["documents"] for row in rows), docs.count()
+        tuple(row["term"] for row in best), tuple(row["documents"] for row in best), docs.count()
     )
 
 
-def tfidf_vectors(docs: DataFrame, terms: str, vocabulary: Vocabulary, name: str = "tfidf") -> DataFrame:
+def tfidf_vectors(
+    docs: DataFrame, vocabulary: Vocabulary, words: str = "words", name: str = "tfidf"
+) -> DataFrame:
     """Add the TF-IDF vector of each document, sparse and of length one."""
+    paired = sorted({word for term in vocabulary.terms if " " in term for word in term.split(" ")})
+    terms = F.concat(words, T.word_pairs(F.col(words), paired)) if paired else F.col(words)
     counted = CountVectorizerModel.from_vocabulary(
-        list(vocabulary.terms), inputCol=terms, outputCol="_counts"
-    ).transform(docs)
+        list(vocabulary.terms), inputCol="_terms", outputCol="_counts"
+    ).transform(docs.withColumn("_terms", terms))
     weighted = ElementwiseProduct(
         scalingVec=Vectors.dense(vocabulary.idf), inputCol="_counts", outputCol="_weighted"
     ).transform(counted)
     return (
         Normalizer(p=2.0, inputCol="_weighted", outputCol=name)
         .transform(weighted)
-        .drop("_counts", "_weighted")
+        .drop("_terms", "_counts", "_weighted")
     )
 
 
@@ -113,12 +151,16 @@ def _json_list(items: Sequence) -> str:
     return json.dumps(list(items), ensure_ascii=False)
 
 
-def keyword_terms(
-    docs: DataFrame, text: str = "text", stop_words: Sequence[str] = (), name: str = "_terms"
+def keyword_words(text: str = "text", stop_words: Sequence[str] = ()) -> Column:
+    """The content words TF-IDF looks at."""
+    return T.long_words(T.content_tokens(F.col(text), stop_words))
+
+
+def _words_table(
+    docs: DataFrame, key: Sequence[str], text: str, stop_words: Sequence[str]
 ) -> DataFrame:
-    """Add the content words of a text and their pairs, the terms TF-IDF counts."""
-    words = T.content_tokens(F.col(text), stop_words)
-    return docs.withColumn(name, T.ngrams_1_2(words))
+    """Key and words of each document, cleaned once and written for the passes that follow."""
+    return written(docs.select(*key, keyword_words(text, stop_words).alias("words")), "words")
 
 
 def tfidf_scores(
@@ -130,10 +172,9 @@ def tfidf_scores(
     min_df: int = fixed.MIN_DF,
 ) -> DataFrame:
     """TF-IDF score of every kept term in every document, non-zero ones only."""
-    with_terms = keyword_terms(docs.select(*key, text), text, stop_words).drop(text)
-    vocabulary = fit_vocabulary(with_terms, "_terms", max_features, min_df)
-    vectors = tfidf_vectors(with_terms, "_terms", vocabulary)
-    return vector_cells(vectors, "tfidf", vocabulary, *key)
+    table = _words_table(docs, key, text, stop_words)
+    vocabulary = fit_vocabulary(table, "words", max_features, min_df)
+    return vector_cells(tfidf_vectors(table, vocabulary), "tfidf", vocabulary, *key)
 
 
 def top_keywords(
@@ -145,9 +186,9 @@ def top_keywords(
     min_df: int = fixed.MIN_DF,
 ) -> DataFrame:
     """The terms with the highest mean score; documents without a term count as zero."""
-    with_terms = keyword_terms(docs.select(text), text, stop_words).drop(text)
-    vocabulary = fit_vocabulary(with_terms, "_terms", max_features, min_df)
-    cells = vector_cells(tfidf_vectors(with_terms, "_terms", vocabulary), "tfidf", vocabulary)
+    table = _words_table(docs, (), text, stop_words)
+    vocabulary = fit_vocabulary(table, "words", max_features, min_df)
+    cells = vector_cells(tfidf_vectors(table, vocabulary), "tfidf", vocabulary)
     return (
         cells.groupBy("term")
         .agg((F.sum("score") / vocabulary.documents).alias("score"))
@@ -175,9 +216,9 @@ def scaled_tfidf(
 
     A row with null key gives, per term, the value of every cell not listed.
     """
-    with_terms = keyword_terms(docs.select(*key, text), text, stop_words).drop(text)
-    vocabulary = fit_vocabulary(with_terms, "_terms", max_features, min_df)
-    cells = vector_cells(tfidf_vectors(with_terms, "_terms", vocabulary), "tfidf", vocabulary, *key)
+    table = _words_table(docs, key, text, stop_words)
+    vocabulary = fit_vocabulary(table, "words", max_features, min_df)
+    cells = vector_cells(tfidf_vectors(table, vocabulary), "tfidf", vocabulary, *key)
     n = F.lit(float(vocabulary.documents))
     mean = F.sum("score") / n
     moments = cells.groupBy("term").agg(
@@ -326,12 +367,12 @@ def content_analysis(
     the document's own vector, without a shuffle.
     """
     checked = with_content_checks(docs.select(*key, text), words, key, text, max_severity)
-    with_terms = keyword_terms(checked, text, stop_words)
-    vocabulary = fit_vocabulary(
-        keyword_terms(docs.select(text), text, stop_words), "_terms", max_features, min_df
+    table = written(
+        checked.withColumn("words", keyword_words(text, stop_words)).drop(text), "content"
     )
+    vocabulary = fit_vocabulary(table, "words", max_features, min_df)
     names = F.from_json(F.lit(_json_list(vocabulary.terms)), "array<string>")
-    vectors = tfidf_vectors(with_terms, "_terms", vocabulary).withColumn(
+    vectors = tfidf_vectors(table, vocabulary).withColumn(
         "_v", F.unwrap_udt("tfidf")
     )
     cells = F.zip_with(

@@ -13,6 +13,7 @@ from critiq import fixed_values as fixed
 from critiq.functions import text as T
 from critiq.operators.features import fit_vocabulary, tfidf_vectors
 from critiq.operators.split import train_test_split_exact
+from critiq.session import written
 
 
 def baseline_forest(
@@ -32,19 +33,24 @@ def baseline_forest(
     Scored on held-out rows (their number, or their share of all rows as a
     fraction), or on its own training rows with same_rows.
     """
-    words = T.unigrams(T.tokens(T.clean_review_text(F.col(text))))
-    rows = labelled.select(*key, F.col(label).cast("int").alias("y_true"), words.alias("_terms"))
-    if isinstance(test_size, float):
-        test_size = math.ceil(test_size * rows.count())
-    split = rows if same_rows else train_test_split_exact(rows, key, test_size, seed)
-    train = split if same_rows else split.filter(F.col("split") == "train")
-    test = split if same_rows else split.filter(F.col("split") == "test")
-    vocabulary = fit_vocabulary(train, "_terms", max_features, min_df=1)
+    words = T.long_words(T.tokens(T.clean_review_text(F.col(text))))
+    rows = written(
+        labelled.select(*key, F.col(label).cast("int").alias("y_true"), words.alias("words")),
+        "labelled",
+    )
+    if same_rows:
+        train = test = rows
+    else:
+        if isinstance(test_size, float):
+            test_size = math.ceil(test_size * rows.count())
+        split = train_test_split_exact(rows, key, test_size, seed)
+        train, test = (split.filter(F.col("split") == part) for part in ("train", "test"))
+    vocabulary = fit_vocabulary(train, "words", max_features, min_df=1, pairs=False)
     forest = RandomForestClassifier(
         featuresCol="tfidf", labelCol="y_true", numTrees=trees, maxDepth=max_depth, seed=seed
     )
-    model = forest.fit(tfidf_vectors(train, "_terms", vocabulary).select("tfidf", "y_true"))
-    scored = model.transform(tfidf_vectors(test, "_terms", vocabulary))
+    model = forest.fit(tfidf_vectors(train, vocabulary).select("tfidf", "y_true"))
+    scored = model.transform(tfidf_vectors(test, vocabulary))
     return scored.select(
         *key,
         "y_true",

@@ -156,7 +156,7 @@ def type_term_counts(
     Words are counted once with one counter per type, so the shuffle carries
     distinct words and not one copy of the text per type.
     """
-    words = T.unigrams(T.keep_words(T.tokens(F.col("cleaned_text")), stop_words))
+    words = T.long_words(T.keep_words(T.tokens(F.col("cleaned_text")), stop_words))
     flags = [type_flag(t).alias(f"_{t}") for t in types]
     counted = (
         analysed.select(F.explode(words).alias("token"), *flags)

@@ -102,7 +102,11 @@ def with_sentiment(
     is small; otherwise it is joined, and `key` must name columns that identify
     a row.
     """
-    words = F.coalesce(T.tokens(F.col(cleaned)), F.array().cast("array<string>"))
+    # The words are a column of their own, so that each use does not split again.
+    words = F.col("_words")
+    df = df.withColumn(
+        "_words", F.coalesce(T.tokens(F.col(cleaned)), F.array().cast("array<string>"))
+    )
     if isinstance(lexicon, DataFrame):
         rows = rows_if_small(lexicon.select("word", "score"))
         if rows is not None:
@@ -113,5 +117,6 @@ def with_sentiment(
         tallied = _tally_by_join(df, words, lexicon, key)
     else:
         tallied = df.withColumn("_tally", tally_tokens(words, lexicon))
-    n_words = F.coalesce(T.word_count(F.col(cleaned)), F.lit(0))
-    return tallied.withColumn(name, _scores(F.col("_tally"), n_words)).drop("_tally")
+    counted = tallied.withColumn("_n_words", F.size(words)).drop("_words")
+    scores = _scores(F.col("_tally"), F.col("_n_words"))
+    return counted.withColumn(name, scores).drop("_tally", "_n_words")

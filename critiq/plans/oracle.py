@@ -464,7 +464,7 @@ ORACLES["diversity_score"] = f"SELECT round({_DIVERSITY}, 6) AS diversity_score"
 ORACLES["two_sample_evaluation"] = f"""{_DISTANCES},
 scores AS (
   SELECT label < 5 AS is_real, 1 / (1 + exp(-8 * embedding[1]::DOUBLE)) AS score FROM embeddings),
-counts AS (
+verdicts AS (
   SELECT count(*) FILTER (is_real AND score > 0.5::DOUBLE) AS hits, count(*) FILTER (score > 0.5::DOUBLE) AS predicted,
     count(*) FILTER (is_real) AS actual, avg(score) FILTER (is_real) AS real_mean,
     avg(score) FILTER (NOT is_real) AS fake_mean FROM scores)
@@ -473,7 +473,7 @@ SELECT round((SELECT avg(distance) FROM distances), 6) AS wasserstein_distance,
   round({_ratio('hits', 'predicted')}, 6) AS discriminator_precision,
   round({_ratio('hits', 'actual')}, 6) AS discriminator_recall,
   round({_ratio('2 * hits', 'predicted + actual')}, 6) AS discriminator_f1,
-  round(real_mean, 6) AS real_mean_score, round(fake_mean, 6) AS fake_mean_score FROM counts"""
+  round(real_mean, 6) AS real_mean_score, round(fake_mean, 6) AS fake_mean_score FROM verdicts"""
 _ERRORS = f"""
 WITH {_CELLS},
 centred AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY label, pos) AS d FROM cells),

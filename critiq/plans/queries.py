@@ -22,7 +22,7 @@ from critiq.operators import (
 from critiq.operators.ordered import row_positions
 from critiq.operators.sentiment import with_sentiment
 from critiq.plans import parameters as P
-from critiq.session import scratch_path
+from critiq.session import scratch_path, spread_rows
 from critiq.sources import csv_reviews, jsonl, profile
 from critiq.streaming import reviews as streams
 
@@ -39,6 +39,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# posexplode_outer is used on computed arrays: for the plain form Spark adds a
+# filter on the array's size, which would compute the array a second time.
+
+
 def r6(column: Column | str) -> Column:
     return F.round(column, 6)
 
@@ -47,7 +51,7 @@ def r6(column: Column | str) -> Column:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread_rows(table(spark, folder, "documents"))
 
 
 def _analysed(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,8 +244,11 @@ def content_analysis(spark, folder):
         F.map_values("matches"), F.lit(0).cast("long"), lambda n, found: n + F.size(found)
     )
     return analysed.select(
-        "doc_id", "is_appropriate", n_matches.alias("n_matches"), F.posexplode("keywords").alias("i", "k")
-    ).select(
+        "doc_id",
+        "is_appropriate",
+        n_matches.alias("n_matches"),
+        F.posexplode_outer("keywords").alias("i", "k"),
+    ).filter("k IS NOT NULL").select(
         "doc_id",
         "is_appropriate",
         "n_matches",
@@ -516,7 +523,7 @@ def behavioral_features_windowed(spark, folder):
 
 @query
 def train_test_split_exact(spark, folder):
-    documents = _documents(spark, folder).select("doc_id")
+    documents = table(spark, folder, "documents").select("doc_id")
     return split.train_test_split_exact(documents, ["doc_id"], P.TEST_ROWS)
 
 
@@ -529,7 +536,7 @@ def _insults() -> Column:
 
 def _scored_by_length(spark: SparkSession, folder: str) -> DataFrame:
     """Quality labels with a score that grows with the length of the document."""
-    lengths = _documents(spark, folder).select("doc_id", "n_chars")
+    lengths = table(spark, folder, "documents").select("doc_id", "n_chars")
     score = (F.col("n_chars") + 1) / (F.col("n_chars") + 1001.0)
     return (
         table(spark, folder, "labels")
@@ -695,7 +702,7 @@ def error_histogram(spark, folder):
 @query
 def standard_scale(spark, folder):
     scaled = features.standard_scale(_vectors(spark, folder))
-    return scaled.select("vec_id", F.posexplode("scaled").alias("pos", "value")).withColumn(
+    return scaled.select("vec_id", F.posexplode_outer("scaled").alias("pos", "value")).withColumn(
         "value", r6("value")
     )
 
@@ -713,7 +720,7 @@ def combined_features(spark, folder):
         ).alias("text_features")
     )
     together = features.combine_features(kinds, behavior.behavioral_features(events))
-    return together.select("user_id", F.posexplode("features").alias("pos", "value")).withColumn(
+    return together.select("user_id", F.posexplode_outer("features").alias("pos", "value")).withColumn(
         "value", r6("value")
     )
 
@@ -721,7 +728,7 @@ def combined_features(spark, folder):
 @query
 def pca_scores(spark, folder):
     scored = features.pca_scores(_vectors(spark, folder))
-    return scored.select("vec_id", F.posexplode("scores").alias("component", "value"))
+    return scored.select("vec_id", F.posexplode_outer("scores").alias("component", "value"))
 
 
 @query
@@ -786,7 +793,11 @@ def baseline_forest(spark, folder):
 def review_stream(spark, folder):
     """The documents read, scored and written as a stream; the table it wrote."""
     documents = streams.read_review_stream(
-        spark, folder, _documents(spark, folder).schema, "documents.parquet"
+        spark,
+        folder,
+        table(spark, folder, "documents").schema,
+        "documents.parquet",
+        spark.sparkContext.defaultParallelism,
     )
     scored = streams.score_stream(
         documents, text="text", lexicon=P.LEXICON, vocabulary=P.VOCABULARY

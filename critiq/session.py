@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "critiq", **conf: str) -> SparkSession:
@@ -36,3 +36,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def range_count(spark: SparkSession) -> int:
     """How many ranges ordered work is cut into: one per shuffle partition."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small or unsplittable input to all cores.
+
+    Work per row on text is worth a shuffle only when the scan would leave
+    cores idle; an input of many splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several passes need, and read it from there.
+
+    Costly work on text is then done once, and a lost executor costs no more
+    than the passes themselves.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

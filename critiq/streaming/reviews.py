@@ -11,10 +11,18 @@ from critiq.operators.reviews import analyze_reviews
 
 
 def read_review_stream(
-    spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet"
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    pattern: str = "*.parquet",
+    partitions: int | None = None,
 ) -> DataFrame:
-    """New parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    """New parquet files of a folder as a stream, dealt to `partitions` if given.
+
+    Dealing helps when a batch is a few files that cannot be split.
+    """
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    return stream.repartition(partitions) if partitions else stream
 
 
 def score_stream(reviews: DataFrame, **options) -> DataFrame:
