@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from critiq.session import range_count
+from critiq.session import range_count, written
 
 _RANGE = "_range"
 
@@ -37,6 +37,7 @@ def running_totals(
     carry_next: Sequence[str] = (),
     descending: bool = False,
     ranges: int | None = None,
+    write_first: bool = True,
 ) -> DataFrame:
     """Add cum_<total> up to and including each row, all_<total> of the whole group, and
     next_<column> of the row after it.
@@ -44,7 +45,10 @@ def running_totals(
     Expects one row per (within, order_by) and no null in order_by: count equal
     values together first, so that a frequent value is one row. Works within
     each group of `within`; a large group is cut into ranges like the whole.
+    The table is read several times, so it is written first; switch that off
+    for a table that is cheap to read as it is.
     """
+    df = written(df, "ordered") if write_first else df
     direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     earliest = F.max if descending else F.min
     ranged = _with_range(df, order_by, ranges or range_count(df.sparkSession))
@@ -87,7 +91,8 @@ def running_totals(
 
 def row_positions(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """Add the zero-based position of each row in the order of a unique numeric key."""
-    numbered = running_totals(df.withColumn("_one", F.lit(1).cast("long")), key, ["_one"])
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    numbered = running_totals(ones, key, ["_one"], write_first=False)
     return numbered.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one", "all__one")
 
 

@@ -22,7 +22,7 @@ from critiq.operators import (
 from critiq.operators.ordered import row_positions
 from critiq.operators.sentiment import with_sentiment
 from critiq.plans import parameters as P
-from critiq.session import scratch_path, spread_rows
+from critiq.session import scratch_path, spread_rows, written
 from critiq.sources import csv_reviews, jsonl, profile
 from critiq.streaming import reviews as streams
 
@@ -743,7 +743,7 @@ def review_projection(spark, folder):
     featured = reviews.review_features(_analysed(spark, folder)).select(
         "doc_id", "features", "is_anomaly"
     )
-    flat = features.pca_scores(featured, "features", 2)
+    flat = features.pca_scores(written(featured, "features"), "features", 2)
     return flat.select(
         "doc_id", F.col("scores")[0].alias("x"), F.col("scores")[1].alias("y"), "is_anomaly"
     )

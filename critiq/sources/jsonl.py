@@ -7,12 +7,12 @@ number may also be written as a string.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_OBJECT = "_item"
-
+from critiq.session import spread_rows
 
 class Scan(NamedTuple):
     """Usable rows, and the lines that were not usable with the reason."""
@@ -21,120 +21,144 @@ class Scan(NamedTuple):
     rejects: DataFrame
 
 
-def _read_items(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
+def _read_items(
+    spark: SparkSession, path: str, fields: Sequence[str], limit: int | None
+) -> DataFrame:
+    """The lines with the wanted fields as variants: null if missing, variant null if null."""
     lines = spark.read.text(path)
     # The limit counts lines, unusable ones included; 0 means all.
     lines = lines.limit(limit) if limit else lines
-    return lines.withColumn(_OBJECT, F.try_parse_json(F.trim("value")))
+    # A gzip file is one split, and parsing costs more than dealing out its lines.
+    parsed = spread_rows(lines).withColumn("_json", F.try_parse_json(F.trim("value")))
+    shape = ", ".join(f"{name}: variant" for name in fields)
+    taken = parsed.withColumn("_item", F.try_variant_get("_json", "$", f"struct<{shape}>"))
+    return taken.select(
+        "value",
+        F.col("_json").isNull().alias("_not_json"),
+        F.col("_item").isNull().alias("_not_object"),
+        *[F.col(f"_item.{name}").alias(name) for name in fields],
+    )
 
 
-def _field(path: str) -> Column:
-    return F.try_variant_get(_OBJECT, f"$.{path}", "variant")
+def _scan(judged: DataFrame, columns: Sequence[Column], otherwise: Column | None = None) -> Scan:
+    """Usable rows and rejects.
 
+    Each line yields a list of one row or of none. A filter would do, but Spark
+    would move it below the parsing and parse every line several times over.
+    """
+    row = F.array(F.struct(*columns))
+    usable = F.when(F.col("reason").isNull(), row)
+    if otherwise is not None:
+        usable = usable.when(F.col("reason") != "not JSON", otherwise)
+    reject = F.when(F.col("reason").isNotNull(), F.array(F.struct("value", "reason")))
+    return Scan(judged.select(F.inline(usable)), judged.select(F.inline(reject)))
 
-def _kind(path: str) -> Column:
-    """The JSON kind of a field, such as STRING, OBJECT or VOID for null; null if missing."""
-    return F.regexp_extract(F.schema_of_variant(_field(path)), r"^(\w+)", 1)
 
+def _kind(name: str) -> Column:
+    """The JSON kind of a field, such as STRING, ARRAY or VOID for null; null if missing."""
+    return F.regexp_extract(F.schema_of_variant(name), r"^(\w+)", 1)
 
-def _text(path: str, default: str | None = "") -> Column:
-    value = F.coalesce(F.try_variant_get(_OBJECT, f"$.{path}", "string"), F.to_json(_field(path)))
-    return F.when(_field(path).isNull(), F.lit(default)).when(
-        F.is_variant_null(_field(path)), F.lit(None)
-    ).otherwise(value)
 
+def _as_text(value: Column) -> Column:
+    """A scalar as text, anything nested as JSON, null as null."""
+    scalar = F.try_variant_get(value, "$", "string")
+    return F.when(~F.is_variant_null(value), F.coalesce(scalar, F.to_json(value)))
 
-def _number(path: str, kind: str) -> Column:
-    """The number, its default 0 when missing; null when there is none to be had."""
-    given = F.try_variant_get(_OBJECT, f"$.{path}", kind)
-    return F.when(_field(path).isNull(), F.lit(0).cast(kind)).otherwise(given)
 
+def _text(name: str) -> Column:
+    return F.when(F.col(name).isNull(), F.lit("")).otherwise(_as_text(F.col(name)))
 
-def _strings(path: str) -> Column:
-    given = F.try_variant_get(_OBJECT, f"$.{path}", "array<variant>")
-    texts = F.transform(
-        given, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
-    )
-    return F.when(_field(path).isNull(), F.array().cast("array<string>")).otherwise(texts)
 
+def _number(name: str, kind: str) -> Column:
+    """The number, its default 0 when missing; null when there is none to be had."""
+    given = F.try_variant_get(name, "$", kind)
+    return F.when(F.col(name).isNull(), F.lit(0).cast(kind)).otherwise(given)
 
-def _string_map(path: str) -> Column:
-    given = F.try_variant_get(_OBJECT, f"$.{path}", "map<string,variant>")
-    texts = F.transform_values(
-        given, lambda _, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
-    )
-    return F.when(_field(path).isNull(), F.create_map().cast("map<string,string>")).otherwise(texts)
 
+def _strings(name: str) -> Column:
+    texts = F.transform(F.try_variant_get(name, "$", "array<variant>"), _as_text)
+    return F.when(F.col(name).isNull(), F.array().cast("array<string>")).otherwise(texts)
 
-def _not_an_object() -> Column:
-    return F.coalesce(~F.schema_of_variant(_OBJECT).startswith("OBJECT"), F.lit(True))
+
+def _string_map(name: str) -> Column:
+    given = F.try_variant_get(name, "$", "map<string,variant>")
+    texts = F.transform_values(given, lambda _, value: _as_text(value))
+    return F.when(F.col(name).isNull(), F.create_map().cast("map<string,string>")).otherwise(texts)
 
 
 def _first_reason(reasons: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(failed, F.lit(reason)) for reason, failed in reasons.items()])
 
 
-def _is_string_list(path: str) -> Column:
-    given = F.try_variant_get(_OBJECT, f"$.{path}", "array<variant>")
-    return F.forall(given, lambda v: F.schema_of_variant(v) == "STRING")
+def _falsy(name: str) -> Column:
+    empty = F.to_json(name).isin("null", "{}", "[]", '""', "0", "0.0", "false")
+    return F.coalesce(empty, F.lit(True))
 
 
-def _description() -> Column:
-    """List of strings joined by spaces; the characters of a plain string likewise."""
-    characters = F.split(F.try_variant_get(_OBJECT, "$.description", "string"), "")
-    return F.array_join(
-        F.when(_kind("description") == "STRING", characters).otherwise(_strings("description")), " "
-    )
+def _characters(name: str) -> Column:
+    return F.split(F.try_variant_get(name, "$", "string"), "")
 
 
-def _is_falsy(path: str) -> Column:
-    return (
-        _field(path).isNull()
-        | F.is_variant_null(_field(path))
-        | F.to_json(_field(path)).isin("{}", "[]", '""', "0", "false")
-    )
+_BOOK_FIELDS = (
+    "parent_asin", "title", "subtitle", "author", "description", "categories", "price", "store",
+    "main_category", "images", "features", "bought_together", "average_rating", "rating_number",
+    "details",
+)
+_REVIEW_FIELDS = (
+    "asin", "reviewerID", "reviewerName", "reviewText", "summary", "overall", "verified",
+    "reviewTime", "unixReviewTime", "helpful", "style", "vote",
+)
 
 
 def read_books(spark: SparkSession, path: str, limit: int | None = None) -> Scan:
-    """Book metadata with 15 columns; unusable lines go to the rejects."""
-    items = _read_items(spark, path, limit)
-    usable_description = _field("description").isNull() | (
-        (_kind("description") == "ARRAY") & _is_string_list("description")
-    ) | (_kind("description") == "STRING")
+    """Book metadata with 15 columns; unusable lines go to the rejects.
+
+    A description is a list of strings, or a string that counts as the list of
+    its characters; an image is the first of a list or the first character.
+    """
+    items = _read_items(spark, path, _BOOK_FIELDS, limit)
+    as_list = F.try_variant_get("description", "$", "array<variant>")
+    only_strings = F.forall(as_list, lambda part: F.schema_of_variant(part) == "STRING")
+    described = F.col("description").isNull() | (_kind("description") == "STRING") | only_strings
     reason = _first_reason(
         {
-            "not a JSON object": _not_an_object(),
-            "author": ~_is_falsy("author") & (_kind("author") != "OBJECT"),
-            "description": ~F.coalesce(usable_description, F.lit(False)),
+            "not a JSON object": F.col("_not_object"),
+            "author": ~_falsy("author") & (_kind("author") != "OBJECT"),
+            "description": ~F.coalesce(described, F.lit(False)),
             "price": _number("price", "double").isNull(),
-            "images": ~_is_falsy("images") & ~_kind("images").isin("ARRAY", "STRING"),
+            "images": ~_falsy("images") & ~_kind("images").isin("ARRAY", "STRING"),
             "average_rating": _number("average_rating", "double").isNull(),
             "rating_number": _number("rating_number", "int").isNull(),
         }
     )
     judged = items.withColumn("reason", reason)
-    first_image = F.when(
-        _kind("images") == "STRING",
-        F.left(F.try_variant_get(_OBJECT, "$.images", "string"), F.lit(1)),
-    ).otherwise(_text("images[0]", None))
-    rows = judged.filter(F.col("reason").isNull()).select(
+    name = F.try_variant_get("author", "$.name", "variant")
+    image_list = F.try_variant_get("images", "$", "array<variant>")
+    columns = [
         _text("parent_asin").alias("asin"),
         _text("title").alias("title"),
         _text("subtitle").alias("subtitle"),
-        F.when(_is_falsy("author"), F.lit("")).otherwise(_text("author.name")).alias("author"),
-        _description().alias("description"),
+        F.when(_falsy("author") | name.isNull(), F.lit("")).otherwise(_as_text(name)).alias("author"),
+        F.array_join(
+            F.when(_kind("description") == "STRING", _characters("description")).otherwise(
+                _strings("description")
+            ),
+            " ",
+        ).alias("description"),
         _strings("categories").alias("categories"),
         _number("price", "double").alias("price"),
         _text("store").alias("store"),
         _text("main_category").alias("main_category"),
-        F.when(~_is_falsy("images"), first_image).alias("image_url"),
+        F.when(_kind("images") == "STRING", F.get(_characters("images"), F.lit(0)))
+        .otherwise(_as_text(F.get(image_list, F.lit(0))))
+        .alias("image_url"),
         _strings("features").alias("features"),
         _strings("bought_together").alias("bought_together"),
         _number("average_rating", "double").alias("average_rating"),
         _number("rating_number", "int").alias("rating_count"),
         _string_map("details").alias("details"),
-    )
-    return Scan(rows, judged.filter(F.col("reason").isNotNull()).select("value", "reason"))
+    ]
+    return _scan(judged, columns)
 
 
 def read_reviews(
@@ -147,31 +171,25 @@ def read_reviews(
     """
     if on_bad not in ("fail", "drop"):
         raise ValueError("on_bad is 'fail' or 'drop'")
-    items = _read_items(spark, path, limit)
-    bad_value = _first_reason(
+    items = _read_items(spark, path, _REVIEW_FIELDS, limit)
+    reason = _first_reason(
         {
-            "not a JSON object": _not_an_object(),
+            "not JSON": F.col("_not_json"),
+            "not a JSON object": F.col("_not_object"),
             "overall": _number("overall", "double").isNull(),
             "unixReviewTime": _number("unixReviewTime", "long").isNull(),
         }
     )
-    judged = items.withColumn(
-        "reason", F.when(F.col(_OBJECT).isNull(), F.lit("not JSON")).otherwise(bad_value)
-    )
-    if on_bad == "fail":
-        stop = F.raise_error(F.concat(F.lit("unusable review, "), "reason", F.lit(": "), "value"))
-        judged = judged.filter(
-            F.when(F.col("reason") != "not JSON", stop.cast("boolean")).otherwise(F.lit(True))
-        )
-    no_votes = F.array(F.lit(0), F.lit(0))
-    helpful = F.when(_field("helpful").isNull(), no_votes).otherwise(
-        F.try_variant_get(_OBJECT, "$.helpful", "array<int>")
+    judged = items.withColumn("reason", reason)
+    helpful = F.when(F.col("helpful").isNull(), F.array(F.lit(0), F.lit(0))).otherwise(
+        F.try_variant_get("helpful", "$", "array<int>")
     )
-    verified = F.when(_field("verified").isNull(), F.lit(False)).otherwise(
-        F.try_variant_get(_OBJECT, "$.verified", "boolean")
+    verified = F.when(F.col("verified").isNull(), F.lit(False)).otherwise(
+        F.try_variant_get("verified", "$", "boolean")
     )
-    rows = judged.filter(F.col("reason").isNull()).select(
-        *[_text(name).alias(name) for name in ("asin", "reviewerID", "reviewerName", "reviewText", "summary")],
+    texts = ("asin", "reviewerID", "reviewerName", "reviewText", "summary")
+    columns = [
+        *[_text(name).alias(name) for name in texts],
         _number("overall", "double").alias("overall"),
         verified.alias("verified"),
         _text("reviewTime").alias("reviewTime"),
@@ -179,5 +197,6 @@ def read_reviews(
         helpful.alias("helpful"),
         _string_map("style").alias("style"),
         _text("vote").alias("vote"),
-    )
-    return Scan(rows, judged.filter(F.col("reason").isNotNull()).select("value", "reason"))
+    ]
+    stop = F.raise_error(F.concat(F.lit("unusable review, "), "reason", F.lit(": "), "value"))
+    return _scan(judged, columns, stop if on_bad == "fail" else None)
