@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from critiq import fixed_values as fixed
 from critiq.functions import text as T
 from critiq.functions.arrays import array_sum
-from critiq.operators.bounds import rows_if_small
 from critiq.operators.content import with_content_checks
 from critiq.session import written
 
 # The vocabulary is held by the driver and every task; this bounds it.
 MAX_VOCABULARY = 1 << 18
 
+# Words fetched beyond the vocabulary, to see which are tied with its last word.
+TIED_WORDS = 10_000
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -60,28 +62,28 @@ def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
     )
 
 
-def _most_frequent(counts: DataFrame, max_features: int, min_df: int) -> list[Row]:
+def _most_frequent(counts: DataFrame, rows: int, min_df: int) -> list[Row]:
     return (
         counts.filter(F.col("documents") >= min_df)
         .orderBy(F.desc("occurrences"), "term")
-        .limit(max_features)
+        .limit(rows)
         .collect()
     )
 
 
-def _words_pairs_may_use(
-    single: DataFrame, best: list[Row], max_features: int, min_df: int
-) -> list[str] | None:
-    """The words a kept pair can consist of; None if they are too many to list.
+def _words_pairs_may_use(frequent: list[Row], max_features: int, complete: bool) -> list[str] | None:
+    """The words a kept pair can consist of; None if not all of them are at hand.
 
     A pair occurs no more often, and in no more documents, than either of its
     words. So once max_features words are found, only words at least as
     frequent as the last of them can make up a pair that is kept.
     """
-    least = best[-1]["occurrences"] if len(best) == max_features else 1
-    frequent = single.filter((F.col("documents") >= min_df) & (F.col("occurrences") >= least))
-    rows = rows_if_small(frequent.select("term"), 10 * max_features)
-    return None if rows is None else [row["term"] for row in rows]
+    if len(frequent) < max_features:
+        return [row["term"] for row in frequent]
+    least = frequent[max_features - 1]["occurrences"]
+    if not complete and frequent[-1]["occurrences"] >= least:
+        return None
+    return [row["term"] for row in frequent if row["occurrences"] >= least]
 
 
 def fit_vocabulary(
@@ -99,12 +101,12 @@ def fit_vocabulary(
     """
     if max_features > MAX_VOCABULARY:
         raise ValueError(f"max_features is limited to {MAX_VOCABULARY}")
-    single = term_counts(docs, F.col(words))
-    best = _most_frequent(single, max_features, min_df)
-    pair_words: list[str] | None = []
+    fetched = max_features + TIED_WORDS if pairs else max_features
+    frequent = _most_frequent(term_counts(docs, F.col(words)), fetched, min_df)
+    best = frequent[:max_features]
     if pairs and best:
-        pair_words = _words_pairs_may_use(single, best, max_features, min_df)
-        double = term_counts(docs, T.word_pairs(F.col(words), pair_words))
+        among = _words_pairs_may_use(frequent, max_features, len(frequent) < fetched)
+        double = term_counts(docs, T.word_pairs(F.col(words), among))
         best += _most_frequent(double, max_features, min_df)
         best.sort(key=lambda row: (-row["occurrences"], row["term"].encode()))
         best = best[:max_features]
