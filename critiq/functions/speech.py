@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -36,7 +37,7 @@ def exaggeration_pattern(vocabulary: SpeechVocabulary) -> str:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.rlike(text, F.lit(f"(?iu){pattern}")), F.lit(False))
+    return F.coalesce(F.rlike(F.lower(text), F.lit(pattern)), F.lit(False))
 
 
 def is_sarcastic(text: Column, vocabulary: SpeechVocabulary = DEFAULT_VOCABULARY) -> Column:
@@ -55,17 +56,37 @@ def is_recommendation(text: Column, vocabulary: SpeechVocabulary = DEFAULT_VOCAB
     return _found(text, T.whole_words(vocabulary.recommendation))
 
 
-def speech_analysis(
-    text: Column, polarity: Column, vocabulary: SpeechVocabulary = DEFAULT_VOCABULARY
-) -> Column:
-    """All speech flags and the emotional intensity as one struct."""
-    return F.struct(
-        F.abs(polarity).alias("emotional_intensity"),
-        is_sarcastic(text, vocabulary).alias("is_sarcastic"),
-        is_exaggerated(text, vocabulary).alias("is_exaggerated"),
-        is_personal(text, vocabulary).alias("is_personal"),
-        is_recommendation(text, vocabulary).alias("is_recommendation"),
-    )
+def _has_any(words: Column, wanted: tuple[str, ...]) -> Column:
+    known = F.array(*[F.lit(word.lower()) for word in wanted]).cast("array<string>")
+    return F.coalesce(F.arrays_overlap(words, known), F.lit(False))
+
+
+def speech_flags(
+    cleaned: Column, words: Column, vocabulary: SpeechVocabulary = DEFAULT_VOCABULARY
+) -> dict[str, Column]:
+    """The four flags of a cleaned text, given its words too.
+
+    A cleaned text is words and single spaces, so a whole-word pattern on it is
+    membership of a word, which is much cheaper than searching for the pattern.
+    A vocabulary with anything but plain words is searched for all the same.
+    """
+    by_word = vocabulary.intensifiers + vocabulary.exaggeration
+    by_word += vocabulary.personal + vocabulary.recommendation
+    if not all(re.fullmatch(r"\w+", word) for word in by_word):
+        return {
+            "is_sarcastic": is_sarcastic(cleaned, vocabulary),
+            "is_exaggerated": is_exaggerated(cleaned, vocabulary),
+            "is_personal": is_personal(cleaned, vocabulary),
+            "is_recommendation": is_recommendation(cleaned, vocabulary),
+        }
+    before_last = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    return {
+        "is_sarcastic": is_sarcastic(cleaned, vocabulary),
+        "is_exaggerated": _has_any(words, vocabulary.exaggeration)
+        | _has_any(before_last, vocabulary.intensifiers),
+        "is_personal": _has_any(words, vocabulary.personal),
+        "is_recommendation": _has_any(words, vocabulary.recommendation),
+    }
 
 
 def is_emotional(intensity: Column) -> Column:

@@ -27,14 +27,14 @@ DIGITS = r"\p{Nd}+"
 
 
 def whole_words(words: Iterable[str]) -> str:
-    """Pattern that finds any of the words between non-word characters."""
-    options = "|".join(re.escape(word) for word in words)
+    """Pattern that finds any of the words in a lower-case text, between non-word characters."""
+    options = "|".join(re.escape(word.lower()) for word in words)
     return f"(?:^|{NON_WORD})(?:{options})(?:$|{NON_WORD})"
 
 
 def word_then_word(words: Iterable[str]) -> str:
-    """Pattern that finds any of the words followed by white space and another word."""
-    options = "|".join(re.escape(word) for word in words)
+    """Pattern that finds any of the words before white space and another word, in lower case."""
+    options = "|".join(re.escape(word.lower()) for word in words)
     return f"(?:^|{NON_WORD})(?:{options}){SPACE}+{WORD}"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from critiq import fixed_values as fixed
 from critiq.functions import speech as S
 from critiq.functions import text as T
-from critiq.operators.sentiment import with_sentiment
+from critiq.operators.sentiment import cleaned_words, with_word_sentiment
 
 # Review type -> condition over an analysed review.
 TYPE_FLAGS = {
@@ -51,24 +51,27 @@ def analyze_reviews(
     """
     outside = F.col(transformer_score) if transformer_score else F.lit(None)
     cleaned = reviews.withColumn("cleaned_text", T.clean_review_text(F.col(text)))
-    scored = with_sentiment(cleaned, "cleaned_text", lexicon, key, name="_sentiment")
+    split = cleaned.withColumn("_words", cleaned_words("cleaned_text"))
+    scored = with_word_sentiment(split, "_words", lexicon, key, "_sentiment")
+    # Flags are columns before they are fields: a report that looks at a flag
+    # several times then still searches the text for it once.
+    flags = S.speech_flags(F.col("cleaned_text"), F.col("_words"), vocabulary)
+    flagged = scored.withColumns({f"_{name}": flag for name, flag in flags.items()})
+    sentiment = F.struct(
+        F.col("_sentiment.polarity").alias("textblob_sentiment"),
+        F.struct(
+            "_sentiment.neg", "_sentiment.neu", "_sentiment.pos", "_sentiment.compound"
+        ).alias("vader_scores"),
+        outside.cast("double").alias("transformer_sentiment"),
+    )
+    speech = F.struct(
+        F.abs(F.col("_sentiment.polarity")).alias("emotional_intensity"),
+        *[F.col(f"_{name}").alias(name) for name in flags],
+    )
     return (
-        scored.withColumn(
-            "sentiment_analysis",
-            F.struct(
-                F.col("_sentiment.polarity").alias("textblob_sentiment"),
-                F.struct(
-                    "_sentiment.neg", "_sentiment.neu", "_sentiment.pos", "_sentiment.compound"
-                ).alias("vader_scores"),
-                outside.cast("double").alias("transformer_sentiment"),
-            ),
-        )
-        .withColumn(
-            "speech_analysis",
-            S.speech_analysis(F.col("cleaned_text"), F.col("_sentiment.polarity"), vocabulary),
-        )
+        flagged.withColumns({"sentiment_analysis": sentiment, "speech_analysis": speech})
         .withColumn("is_anomaly", S.is_anomaly(polarity(), F.col("speech_analysis")))
-        .drop("_sentiment")
+        .drop("_words", "_sentiment", *[f"_{name}" for name in flags])
     )
 
 

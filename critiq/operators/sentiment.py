@@ -89,24 +89,24 @@ def _scores(tally: Column, n_words: Column) -> Column:
     )
 
 
-def with_sentiment(
+def cleaned_words(cleaned: str) -> Column:
+    """The words of a cleaned text; none for a missing text."""
+    return F.coalesce(T.tokens(F.col(cleaned)), F.array().cast("array<string>"))
+
+
+def with_word_sentiment(
     df: DataFrame,
-    cleaned: str = "cleaned_text",
+    words: str,
     lexicon: Mapping[str, float] | DataFrame = fixed.DEFAULT_LEXICON,
     key: Sequence[str] = (),
     name: str = "sentiment",
 ) -> DataFrame:
-    """Add struct (polarity, neg, neu, pos, compound) of a cleaned text.
+    """Add struct (polarity, neg, neu, pos, compound) of a column of words.
 
     A lexicon given as a data frame (word, score) is read into the plan when it
     is small; otherwise it is joined, and `key` must name columns that identify
     a row.
     """
-    # The words are a column of their own, so that each use does not split again.
-    words = F.col("_words")
-    df = df.withColumn(
-        "_words", F.coalesce(T.tokens(F.col(cleaned)), F.array().cast("array<string>"))
-    )
     if isinstance(lexicon, DataFrame):
         rows = rows_if_small(lexicon.select("word", "score"))
         if rows is not None:
@@ -114,9 +114,21 @@ def with_sentiment(
     if isinstance(lexicon, DataFrame):
         if not key:
             raise ValueError("a large lexicon is joined; name the key columns of a row")
-        tallied = _tally_by_join(df, words, lexicon, key)
+        tallied = _tally_by_join(df, F.col(words), lexicon, key)
     else:
-        tallied = df.withColumn("_tally", tally_tokens(words, lexicon))
-    counted = tallied.withColumn("_n_words", F.size(words)).drop("_words")
-    scores = _scores(F.col("_tally"), F.col("_n_words"))
-    return counted.withColumn(name, scores).drop("_tally", "_n_words")
+        tallied = df.withColumn("_tally", tally_tokens(F.col(words), lexicon))
+    scores = _scores(F.col("_tally"), F.size(words))
+    return tallied.withColumn(name, scores).drop("_tally")
+
+
+def with_sentiment(
+    df: DataFrame,
+    cleaned: str = "cleaned_text",
+    lexicon: Mapping[str, float] | DataFrame = fixed.DEFAULT_LEXICON,
+    key: Sequence[str] = (),
+    name: str = "sentiment",
+) -> DataFrame:
+    """with_word_sentiment of a cleaned text."""
+    # The words are a column of their own, so that each use does not split again.
+    split = df.withColumn("_words", cleaned_words(cleaned))
+    return with_word_sentiment(split, "_words", lexicon, key, name).drop("_words")

@@ -48,7 +48,7 @@ ORACLES["clean_text"] = (
 
 
 def _found(text: str, pattern: str) -> str:
-    return f"regexp_matches({text}, {_quote('(?i)' + pattern)})"
+    return f"regexp_matches(lower({text}), {_quote(pattern)})"
 
 
 def _flags(text: str, vocabulary: S.SpeechVocabulary) -> str:
