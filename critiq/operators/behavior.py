@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from critiq.operators.ordered import running_totals
+
 
 def _seconds(micros: Column) -> Column:
     return micros / F.lit(1_000_000.0)
@@ -45,6 +47,29 @@ def behavioral_features(events: DataFrame) -> DataFrame:
     )
 
 
+def review_gaps(events: DataFrame) -> DataFrame:
+    """Each moment a user wrote at, with how many reviews and the seconds since the one before.
+
+    Reviews of the same moment are one row; their gaps among themselves are 0.
+    A user with a very large share of the rows is worked on in ranges of time.
+    """
+    moments = (
+        events.filter(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
+        .groupBy("user_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
+        .agg(F.count("*").alias("n_reviews"))
+    )
+    # From the last moment to the first, the next row is the moment before.
+    steps = running_totals(
+        moments, "us", ["n_reviews"], within=["user_id"], carry_next=["us"], descending=True
+    )
+    return steps.select(
+        "user_id",
+        F.timestamp_micros("us").alias("timestamp"),
+        "n_reviews",
+        _seconds(F.col("us") - F.col("next_us")).alias("gap_seconds"),
+    )
+
+
 def behavioral_features_windowed(events: DataFrame, time_window: str = "1 day") -> DataFrame:
     """The features per user and window of time; works on a stream with a watermark."""
     return (

@@ -21,7 +21,8 @@ _RANGE = "_range"
 def _with_range(df: DataFrame, order_by: str, ranges: int) -> DataFrame:
     """Add the number of the range a value falls in, by cut points fixed up front."""
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(order_by, shares, 100 * ranges)).first()[0]
+    accuracy = max(1000, 4 * ranges)  # bounds the sketches that meet in one task
+    cuts = df.agg(F.percentile_approx(order_by, shares, accuracy)).first()[0]
     cuts = sorted({float(cut) for cut in cuts or []})
     if not cuts:
         return df.withColumn(_RANGE, F.lit(0.0))
@@ -42,21 +43,20 @@ def running_totals(
     """Add cum_<total> up to and including each row, all_<total> of the whole group, and
     next_<column> of the row after it.
 
-    Expects one row per (within, order_by) and no null in order_by: count equal
-    values together first, so that a frequent value is one row. Works within
+    Expects one row per (within, order_by), and no nulls: count equal values
+    together first, so that a frequent value is one row. Works within
     each group of `within`; a large group is cut into ranges like the whole.
     The table is read several times, so it is written first; switch that off
     for a table that is cheap to read as it is.
     """
     df = written(df, "ordered") if write_first else df
     direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    earliest = F.max if descending else F.min
+    at_start = F.max_by if descending else F.min_by
     ranged = _with_range(df, order_by, ranges or range_count(df.sparkSession))
 
-    following = F.struct(order_by, *[c for c in carry_next if c != order_by])
     per_range = ranged.groupBy(*within, _RANGE).agg(
         *[F.sum(total).alias(f"_sum_{total}") for total in totals],
-        earliest(following).alias("_first"),
+        *[at_start(c, order_by).alias(f"_first_{c}") for c in carry_next],
     )
     # One row per range and group: this window stays small whatever the table.
     in_order = W.partitionBy(*within).orderBy(direction(_RANGE))
@@ -69,7 +69,7 @@ def running_totals(
             for total in totals
         ],
         *[F.sum(f"_sum_{total}").over(W.partitionBy(*within)).alias(f"all_{total}") for total in totals],
-        F.lead("_first").over(in_order).alias("_first_after"),
+        *[F.lead(f"_first_{c}").over(in_order).alias(f"_after_{c}") for c in carry_next],
     )
 
     inside = W.partitionBy(*within, _RANGE).orderBy(direction(order_by))
@@ -77,15 +77,14 @@ def running_totals(
     local = ranged.select(
         "*",
         *[F.sum(total).over(so_far).alias(f"_in_{total}") for total in totals],
-        F.lead(following).over(inside).alias("_next"),
+        *[F.lead(c).over(inside).alias(f"_next_{c}") for c in carry_next],
     )
     joined = local.join(offsets, [*within, _RANGE])
-    after = F.coalesce("_next", "_first_after")
     return joined.select(
         *df.columns,
         *[(F.col(f"_in_{t}") + F.col(f"_before_{t}")).alias(f"cum_{t}") for t in totals],
         *[f"all_{t}" for t in totals],
-        *[after[c].alias(f"next_{c}") for c in carry_next],
+        *[F.coalesce(f"_next_{c}", f"_after_{c}").alias(f"next_{c}") for c in carry_next],
     )
 
 

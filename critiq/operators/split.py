@@ -31,12 +31,11 @@ def train_test_split_exact(
         .select("_prefix", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("_before"))
         .filter(F.col("_before") < test_size)
     )
-    last_prefix = before.select(F.max("_prefix")).scalar()
-    taken = before.select(F.max("_before")).scalar()
+    last = before.select(F.max(F.struct("_prefix", "_before"))).scalar()
     last_test = (
-        hashed.filter(F.col("_prefix") == last_prefix)
+        hashed.filter(F.col("_prefix") == last["_prefix"])
         .withColumn("_rank", F.row_number().over(W.orderBy("_hash")))
-        .filter(F.col("_rank") <= test_size - taken)
+        .filter(F.col("_rank") <= test_size - last["_before"])
         .select(F.max("_hash"))
         .scalar()
     )

@@ -97,24 +97,24 @@ typed AS (
 
 
 def _share(count: str) -> str:
-    return f"round(CASE WHEN n_words > 0 THEN ({count}) / n_words::DOUBLE ELSE 0 END, 6)"
+    return f"CASE WHEN n_words > 0 THEN ({count}) / n_words::DOUBLE ELSE 0 END"
 
 
 ORACLES["lexicon_sentiment"] = f"""{_ANALYSED}
-SELECT doc_id, round(polarity, 6) AS polarity, {_share('negative')} AS neg,
+SELECT doc_id, polarity, {_share('negative')} AS neg,
   {_share('n_words - negative - positive')} AS neu, {_share('positive')} AS pos,
-  round(total / sqrt(total * total + 15), 6) AS compound
+  total / sqrt(total * total + 15) AS compound
 FROM scored"""
 ORACLES["speech_patterns"] = f"""{_ANALYSED}
-SELECT doc_id, round(intensity, 6) AS emotional_intensity, is_sarcastic, is_exaggerated,
+SELECT doc_id, intensity AS emotional_intensity, is_sarcastic, is_exaggerated,
   is_personal, is_recommendation FROM analysed"""
 ORACLES["speech_patterns_builtin"] = f"""
 SELECT conv_id, turn, {_flags('text', S.DEFAULT_VOCABULARY)} FROM conversations"""
 ORACLES["review_anomaly"] = f"""{_ANALYSED}
-SELECT doc_id, round(polarity, 6) AS polarity, is_sarcastic, is_exaggerated, is_emotional, is_anomaly
+SELECT doc_id, polarity, is_sarcastic, is_exaggerated, is_emotional, is_anomaly
 FROM analysed"""
 ORACLES["review_stream"] = f"""{_ANALYSED}
-SELECT doc_id, round(polarity, 6) AS polarity, is_anomaly FROM analysed"""
+SELECT doc_id, polarity, is_anomaly FROM analysed"""
 ORACLES["review_report"] = f"""{_ANALYSED}
 SELECT count(*) AS total_reviews, count(*) FILTER (is_anomaly) AS anomaly_count,
   round(100.0::DOUBLE * count(*) FILTER (is_anomaly) / nullif(count(*), 0), 6) AS anomaly_pct,
@@ -154,14 +154,14 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, token)::INTEGER AS rank FROM counted)
 SELECT type, token, n, rank FROM ranked WHERE rank <= 50"""
 ORACLES["review_timeline"] = f"""{_ANALYSED}
-SELECT strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS event_ts, round(polarity, 6) AS polarity,
+SELECT strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS event_ts, polarity,
   CASE WHEN is_emotional THEN 'Emotional' WHEN is_sarcastic THEN 'Sarcastic'
     WHEN is_personal THEN 'Personal' WHEN is_recommendation THEN 'Recommendation'
     ELSE 'Other' END AS type, is_anomaly
 FROM analysed a JOIN events e ON e.event_id = a.doc_id"""
 ORACLES["review_features"] = f"""{_ANALYSED}
-SELECT doc_id, round(polarity, 6) AS f0, round(n_chars / (n_chars + 1000::DOUBLE), 6) AS f1,
-  round(intensity, 6) AS f2, is_sarcastic::DOUBLE AS f3, is_exaggerated::DOUBLE AS f4,
+SELECT doc_id, polarity AS f0, n_chars / (n_chars + 1000::DOUBLE) AS f1,
+  intensity AS f2, is_sarcastic::DOUBLE AS f3, is_exaggerated::DOUBLE AS f4,
   is_personal::DOUBLE AS f5, is_recommendation::DOUBLE AS f6 FROM analysed"""
 
 # --- Word lists --------------------------------------------------------------
@@ -317,6 +317,10 @@ ORACLES["behavioral_features"] = f"""{_USERS}
 SELECT user_id, review_frequency, round(avg_gap_seconds, 6) AS avg_gap_seconds,
   round(global_avg_gap_seconds, 6) AS global_avg_gap_seconds, round(avg_rating, 6) AS avg_rating,
   round(rating_std, 6) AS rating_std, round(avg_review_length, 6) AS avg_review_length FROM users"""
+ORACLES["review_gaps"] = """
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS review_time, n AS n_reviews,
+  round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6, 6) AS gap_seconds
+FROM (SELECT user_id, ts, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL)"""
 ORACLES["behavioral_features_windowed"] = """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id,
   count(ts) AS review_frequency, round(avg(value), 6) AS avg_rating,

@@ -84,7 +84,7 @@ def lexicon_sentiment(spark, folder):
     )
     scored = with_sentiment(cleaned, lexicon=P.LEXICON)
     names = ("polarity", "neg", "neu", "pos", "compound")
-    return scored.select("doc_id", *[r6(f"sentiment.{name}").alias(name) for name in names])
+    return scored.select("doc_id", *[F.col(f"sentiment.{name}").alias(name) for name in names])
 
 
 @query
@@ -92,7 +92,7 @@ def speech_patterns(spark, folder):
     flags = ("is_sarcastic", "is_exaggerated", "is_personal", "is_recommendation")
     return _analysed(spark, folder).select(
         "doc_id",
-        r6("speech_analysis.emotional_intensity").alias("emotional_intensity"),
+        F.col("speech_analysis.emotional_intensity").alias("emotional_intensity"),
         *[F.col(f"speech_analysis.{flag}").alias(flag) for flag in flags],
     )
 
@@ -115,7 +115,7 @@ def speech_patterns_builtin(spark, folder):
 def review_anomaly(spark, folder):
     return _analysed(spark, folder).select(
         "doc_id",
-        r6(reviews.polarity()).alias("polarity"),
+        reviews.polarity().alias("polarity"),
         F.col("speech_analysis.is_sarcastic").alias("is_sarcastic"),
         F.col("speech_analysis.is_exaggerated").alias("is_exaggerated"),
         reviews.type_flag("Emotional").alias("is_emotional"),
@@ -157,7 +157,7 @@ def review_timeline(spark, folder):
     timed = reviews.review_timeline(_analysed(spark, folder).join(times, "doc_id"))
     return timed.select(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_ts"),
-        r6("sentiment").alias("polarity"),
+        F.col("sentiment").alias("polarity"),
         "type",
         "is_anomaly",
     )
@@ -166,7 +166,7 @@ def review_timeline(spark, folder):
 @query
 def review_features(spark, folder):
     featured = reviews.review_features(_analysed(spark, folder))
-    return featured.select("doc_id", *[r6(F.col("features")[i]).alias(f"f{i}") for i in range(7)])
+    return featured.select("doc_id", *[F.col("features")[i].alias(f"f{i}") for i in range(7)])
 
 
 # --- Word lists --------------------------------------------------------------
@@ -510,6 +510,17 @@ def behavioral_features(spark, folder):
     )
 
 
+@query
+def review_gaps(spark, folder):
+    found = behavior.review_gaps(_events(spark, folder))
+    return found.select(
+        "user_id",
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("review_time"),
+        "n_reviews",
+        r6("gap_seconds").alias("gap_seconds"),
+    )
+
+
 @query
 def behavioral_features_windowed(spark, folder):
     found = behavior.behavioral_features_windowed(_events(spark, folder))
@@ -801,7 +812,7 @@ def review_stream(spark, folder):
     )
     scored = streams.score_stream(
         documents, text="text", lexicon=P.LEXICON, vocabulary=P.VOCABULARY
-    ).select("doc_id", r6(reviews.polarity()).alias("polarity"), "is_anomaly")
+    ).select("doc_id", reviews.polarity().alias("polarity"), "is_anomaly")
     path = scratch_path(spark, "stream")
     streams.write_available(scored, f"{path}/rows", f"{path}/state").awaitTermination()
     return spark.read.schema(scored.schema).parquet(f"{path}/rows")

@@ -34,8 +34,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def range_count(spark: SparkSession) -> int:
-    """How many ranges ordered work is cut into: one per shuffle partition."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """How many ranges ordered work is cut into: one per shuffle partition, 2000 at most."""
+    return min(2000, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def spread_rows(df: DataFrame) -> DataFrame:

@@ -99,6 +99,10 @@ def test_behavior(spark):
     assert one["rating_std"] == pytest.approx(np.std([1, 3, 5, 7], ddof=1))
     assert two["rating_std"] is None and two["avg_gap_seconds"] is None
     assert three["review_frequency"] == 0 and three["avg_gap_seconds"] is None
+    gaps = behavior.review_gaps(df).orderBy("user_id", "timestamp").collect()
+    assert [(r["user_id"], r["n_reviews"], r["gap_seconds"]) for r in gaps] == [
+        (1, 1, None), (1, 1, 43200.0), (1, 1, 129600.0), (2, 1, None),
+    ]
     daily = behavior.behavioral_features_windowed(df).filter("user_id = 1").orderBy("window_start")
     assert [r["review_frequency"] for r in daily.collect()] == [2, 1]
 
