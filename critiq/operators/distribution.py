@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from critiq import fixed_values as fixed
 from critiq.functions.arrays import equal_width_bin, mean_squared_difference
 from critiq.operators.ordered import running_totals
+from critiq.session import written
 
 # Vectors per block of the pairwise distance; a block pair is one task's work.
 BLOCK_ROWS = 2048
@@ -89,10 +90,11 @@ def diversity_score(
                 total /= 2  # both orders of each pair were added
         return pd.DataFrame({"total": [total]})
 
-    distinct = (
+    distinct = written(
         df.select(F.col(vector).cast("array<double>").alias("vec"))
         .groupBy("vec")
-        .agg(F.count("*").alias("w"))
+        .agg(F.count("*").alias("w")),
+        "vectors",
     )
     blocks = -(-distinct.count() // block_rows) or 1
     placed = distinct.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int"))
@@ -108,7 +110,7 @@ def diversity_score(
         .cogroup(right.groupBy("i", "j"))
         .applyInPandas(block_pair_total, "total double")
     )
-    n = df.select(F.count("*").cast("double")).scalar()
+    n = distinct.select(F.sum("w").cast("double")).scalar()
     return sums.agg(
         (2 * F.sum("total") / F.nullif(n * (n - 1), F.lit(0.0))).alias("diversity_score")
     )

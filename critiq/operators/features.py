@@ -382,7 +382,7 @@ def content_analysis(
         "_v.values",
         lambda i, v: F.struct((-v).alias("order"), F.get(names, i).alias("keyword"), v.alias("score")),
     )
-    best = F.slice(F.array_sort(F.filter(cells, lambda c: c["score"] > 0)), 1, top_n)
+    best = F.slice(F.sort_array(F.filter(cells, lambda c: c["score"] > 0)), 1, top_n)
     return vectors.withColumn(
         "keywords",
         F.transform(best, lambda c: F.struct(c["keyword"].alias("keyword"), c["score"].alias("score"))),

@@ -45,6 +45,19 @@ ORACLES["clean_review_text"] = f"SELECT doc_id, {_CLEANED} AS cleaned_text FROM
 ORACLES["clean_text"] = (
     f"SELECT doc_id, array_to_string({_CONTENT_TOKENS}, ' ') AS cleaned_text FROM documents"
 )
+_LEMMATISED = f"""
+WITH lemmas AS (
+  SELECT DISTINCT token, left(token, length(token) - 1) AS lemma
+  FROM (SELECT unnest(string_split({_CLEANED}, ' ')) AS token FROM benchmark) WHERE token LIKE '__%s'),
+words AS (
+  SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS place
+  FROM (SELECT doc_id, {_CONTENT_TOKENS} AS ws FROM documents)),
+texts AS (
+  SELECT doc_id, string_agg(coalesce(lemma, token), ' ' ORDER BY place) AS cleaned_text
+  FROM words LEFT JOIN lemmas USING (token) GROUP BY doc_id)
+SELECT doc_id, coalesce(cleaned_text, '') AS cleaned_text FROM documents LEFT JOIN texts USING (doc_id)"""
+ORACLES["clean_text_lemmas"] = _LEMMATISED
+ORACLES["clean_text_lemmas_joined"] = _LEMMATISED
 
 
 def _found(text: str, pattern: str) -> str:
@@ -171,6 +184,10 @@ _PART_WORDS = """(SELECT p_brand AS list_name, p_name AS word, p_type AS categor
 ORACLES["words_by_list"] = f"SELECT * FROM {_PART_WORDS} WHERE list_name = 'Brand#3'"
 ORACLES["words_by_severity"] = f"SELECT * FROM {_PART_WORDS} WHERE severity BETWEEN 2 AND 4"
 
+ORACLES["word_list_scan"] = """
+SELECT p_name AS word, p_type AS category, (p_size % 5 + 1)::INTEGER AS severity FROM part
+WHERE p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 13 <> 0"""
+
 _ENTRY_ROWS = ", ".join(
     f"({_quote(name)}, {_quote(word)}, {severity})"
     for name, lines in fixed.DEFAULT_WORD_LISTS.items()

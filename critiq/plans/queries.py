@@ -10,6 +10,7 @@ from critiq.functions import text as T
 from critiq.functions import speech as S
 from critiq.operators import (
     behavior,
+    cleaning,
     content,
     distribution,
     evaluation,
@@ -23,7 +24,7 @@ from critiq.operators.ordered import row_positions
 from critiq.operators.sentiment import with_sentiment
 from critiq.plans import parameters as P
 from critiq.session import scratch_path, spread_rows, written
-from critiq.sources import csv_reviews, jsonl, profile
+from critiq.sources import csv_reviews, jsonl, profile, word_lists
 from critiq.streaming import reviews as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,37 @@ def clean_text(spark, folder):
     )
 
 
+def _lemmas(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the benchmark texts that end in s, with the word without it as lemma."""
+    words = T.tokens(T.clean_review_text(F.col("text")))
+    plurals = table(spark, folder, "benchmark").select(F.explode(words).alias("token"))
+    return (
+        plurals.filter("token LIKE '__%s'")
+        .distinct()
+        .withColumn("lemma", F.left("token", F.length("token") - 1))
+    )
+
+
+@query
+def clean_text_lemmas(spark, folder):
+    return cleaning.clean_texts(
+        _documents(spark, folder), ["doc_id"], "text", P.STOP_WORDS, _lemmas(spark, folder)
+    )
+
+
+@query
+def clean_text_lemmas_joined(spark, folder):
+    """The way for a lemma table too long to write into the plan, with the same result."""
+    return cleaning.clean_texts(
+        _documents(spark, folder),
+        ["doc_id"],
+        "text",
+        P.STOP_WORDS,
+        _lemmas(spark, folder),
+        literal_entries=0,
+    )
+
+
 @query
 def lexicon_sentiment(spark, folder):
     cleaned = _documents(spark, folder).select(
@@ -193,6 +225,22 @@ def words_by_severity(spark, folder):
     return content.words_by_severity(_lists_from_parts(spark, folder), 2, 4)
 
 
+@query
+def word_list_scan(spark, folder):
+    """Parts written as word-list files with comments and bad lines, and read back."""
+    path = scratch_path(spark, "lists")
+    size = F.col("p_size")
+    line = F.concat_ws(" | ", "p_name", "p_type", (size % 5 + 1).cast("string"))
+    lines = (
+        F.when(size % 11 == 0, F.concat(F.lit("# "), line))
+        .when(size % 7 == 0, F.concat(line, F.lit(".5")))
+        .when(size % 13 == 0, "")
+        .otherwise(line)
+    )
+    table(spark, folder, "part").select(lines).write.text(path)
+    return word_lists.read_word_lists(spark, path).rows.select("word", "category", "severity")
+
+
 @query
 def content_matches(spark, folder):
     found = content.content_matches(

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from critiq.functions import speech as S
 from critiq.functions import text as T
+from critiq.operators.cleaning import clean_texts
 
 
 def one(spark, column, text):
@@ -106,3 +107,14 @@ def test_word_membership_equals_patterns_on_cleaned_text(spark):
     flags = S.speech_flags(F.col("c"), T.tokens(F.col("c")), phrases)
     mine = spark.createDataFrame([("well in my opinion yes",)], "c string")
     assert mine.select(flags["is_personal"]).first()[0] is True
+
+
+def test_lemmas_written_into_the_plan_or_joined(spark):
+    docs = spark.createDataFrame(
+        [(1, "Foxes ate the hens, foxes!"), (2, ""), (3, None), (4, "hens")], "id long, text string"
+    )
+    lemmas = spark.createDataFrame([("foxes", "fox"), ("hens", "hen")], "token string, lemma string")
+    for entries in (1000, 0):
+        found = clean_texts(docs, ["id"], stop_words=["the"], lemmas=lemmas, literal_entries=entries)
+        assert dict(map(tuple, found.collect())) == {1: "fox ate hen fox", 2: "", 3: None, 4: "hen"}
+    assert clean_texts(docs, ["id"], lemmas=lemmas.limit(0)).count() == 4
