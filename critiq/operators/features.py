@@ -24,6 +24,9 @@ MAX_VOCABULARY = 1 << 18
 # Words fetched beyond the vocabulary, to see which are tied with its last word.
 TIED_WORDS = 10_000
 
+# Pairs are restricted to a list of words only while the list fits well into a plan.
+LISTED_WORDS = 20_000
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -106,6 +109,7 @@ def fit_vocabulary(
     best = frequent[:max_features]
     if pairs and best:
         among = _words_pairs_may_use(frequent, max_features, len(frequent) < fetched)
+        among = among if among is not None and len(among) <= LISTED_WORDS else None
         double = term_counts(docs, T.word_pairs(F.col(words), among))
         best += _most_frequent(double, max_features, min_df)
         best.sort(key=lambda row: (-row["occurrences"], row["term"].encode()))
@@ -123,7 +127,8 @@ def tfidf_vectors(
 ) -> DataFrame:
     """Add the TF-IDF vector of each document, sparse and of length one."""
     paired = sorted({word for term in vocabulary.terms if " " in term for word in term.split(" ")})
-    terms = F.concat(words, T.word_pairs(F.col(words), paired)) if paired else F.col(words)
+    among = paired if len(paired) <= LISTED_WORDS else None
+    terms = F.concat(words, T.word_pairs(F.col(words), among)) if paired else F.col(words)
     counted = CountVectorizerModel.from_vocabulary(
         list(vocabulary.terms), inputCol="_terms", outputCol="_counts"
     ).transform(docs.withColumn("_terms", terms))

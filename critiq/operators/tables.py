@@ -11,20 +11,38 @@ from critiq.operators.ordered import quantile_columns, value_counts
 
 
 def merge_books_and_reviews(
-    books: DataFrame, reviews: DataFrame, match_null_keys: bool = False
+    books: DataFrame, reviews: DataFrame, match_null_keys: bool = False, salts: int = 1
 ) -> DataFrame:
     """Reviews with title and main category of their book; several books fan out.
 
     Which side moves is left to Spark: a book table under the session's
     broadcast limit is broadcast, a larger one is shuffled and hot books are
-    split by adaptive execution.
+    split by adaptive execution. Where that is switched off, `salts` spreads
+    the reviews of each book over as many tasks, at the price of that many
+    copies of the three book columns.
     """
     wanted = books.select("asin", "title", "main_category")
+    if salts > 1:
+        hashable = [f.name for f in reviews.schema if "map<" not in f.dataType.simpleString()]
+        # A hash of the row, so that a repeated task gives each row the same salt.
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(salts))
+        every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+        salted = _merge_on(
+            wanted.withColumn("_salt", every_salt),
+            reviews.withColumn("_salt", salt),
+            match_null_keys,
+        )
+        return salted.drop("_salt")
+    return _merge_on(wanted, reviews, match_null_keys)
+
+
+def _merge_on(wanted: DataFrame, reviews: DataFrame, match_null_keys: bool) -> DataFrame:
+    keys = [name for name in ("asin", "_salt") if name in wanted.columns]
     if not match_null_keys:
-        return reviews.join(wanted, "asin", "left")
-    renamed = wanted.withColumnRenamed("asin", "_book_asin")
-    same = reviews["asin"].eqNullSafe(renamed["_book_asin"])
-    return reviews.join(renamed, same, "left").drop("_book_asin")
+        return reviews.join(wanted, keys, "left")
+    renamed = wanted.withColumnsRenamed({name: f"_book_{name}" for name in keys})
+    same = [reviews[name].eqNullSafe(renamed[f"_book_{name}"]) for name in keys]
+    return reviews.join(renamed, same, "left").drop(*[f"_book_{name}" for name in keys])
 
 
 def prepare_for_analysis(reviews: DataFrame) -> DataFrame:

@@ -220,6 +220,7 @@ _RATED = """(
 ORACLES["reviews_books_join"] = """
 SELECT l_partkey AS asin, l_orderkey, l_linenumber, p_name AS title, p_brand AS main_category
 FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON l_partkey = p_partkey"""
+ORACLES["reviews_books_join_salted"] = ORACLES["reviews_books_join"]
 ORACLES["prepare_reviews"] = f"""
 SELECT doc_id, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS review_time,
   length(text) AS review_length,

@@ -339,6 +339,15 @@ def reviews_books_join(spark, folder):
     return tables.merge_books_and_reviews(_books(spark, folder), lines)
 
 
+@query
+def reviews_books_join_salted(spark, folder):
+    """The way for clusters without adaptive execution, with the same result."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("asin")
+    )
+    return tables.merge_books_and_reviews(_books(spark, folder), lines, salts=4)
+
+
 @query
 def prepare_reviews(spark, folder):
     """Documents as reviews, dated by the order with the same number."""

@@ -22,15 +22,22 @@ def build_session(app_name: str = "critiq", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; a temporary one only in local mode without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="critiq-"))
+    return context.getCheckpointDir()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for written intermediate tables, in the cluster's shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="critiq-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"critiq-{name}-{uuid.uuid4().hex}")
+    return os.path.join(_shared_folder(spark), f"critiq-{name}-{uuid.uuid4().hex}")
 
 
 def range_count(spark: SparkSession) -> int:

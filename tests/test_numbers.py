@@ -318,8 +318,9 @@ def test_tfidf(spark, max_features, min_df):
     assert scores == pytest.approx(brute_tfidf(texts, max_features, min_df))
 
 
-def test_tied_words_beyond_reach_do_not_prune_pairs(spark, monkeypatch):
-    monkeypatch.setattr(features, "TIED_WORDS", 1)
+@pytest.mark.parametrize("limit", ["TIED_WORDS", "LISTED_WORDS"])
+def test_pairs_are_whole_where_they_cannot_be_restricted(spark, monkeypatch, limit):
+    monkeypatch.setattr(features, limit, 1)
     texts = ["zz yy", "xx ww", "vv uu", "aa bb"]
     found = features.tfidf_scores(documents(spark, texts), ["id"], max_features=3, min_df=1)
     scores = {(r["id"], r["term"]): r["score"] for r in found.collect()}

@@ -84,7 +84,11 @@ def test_reviews_and_their_books(spark, tmp_path):
     merged = tables.merge_books_and_reviews(books, scan.rows)
     titles = sorted((r["asin"], r["title"]) for r in merged.select("asin", F.coalesce("title", F.lit("-")).alias("title")).collect())
     assert titles == [("", "blank"), ("A", "t1"), ("A", "t2"), ("Z", "-")]
+    salted = tables.merge_books_and_reviews(books, scan.rows, salts=5)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, merged.collect()))
     nulls = spark.createDataFrame([(None,)], "asin string")
+    again = tables.merge_books_and_reviews(books, nulls, match_null_keys=True, salts=3)
+    assert again.columns == ["asin", "title", "main_category"] and again.first()["title"] == "null"
     assert tables.merge_books_and_reviews(books, nulls).first()["title"] is None
     assert tables.merge_books_and_reviews(books, nulls, match_null_keys=True).first()["title"] == "null"
 
