@@ -448,6 +448,7 @@ def reviews_scan(spark, folder):
     """Orders written as gzipped JSON lines, some broken, and read back as reviews."""
     path = scratch_path(spark, "reviews")
     key = F.col("o_orderkey")
+    since_1970 = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), "o_orderdate")
     record = F.to_json(
         F.struct(
             F.when(key % 11 != 0, F.col("o_custkey").cast("string")).alias("asin"),
@@ -456,9 +457,7 @@ def reviews_scan(spark, folder):
             F.col("o_totalprice").alias("overall"),
             (key % 2 == 0).alias("verified"),
             F.date_format("o_orderdate", "MM d, yyyy").alias("reviewTime"),
-            F.when(key % 3 != 0, F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias(
-                "unixReviewTime"
-            ),
+            F.when(key % 3 != 0, since_1970).alias("unixReviewTime"),
             F.when(key % 4 == 0, F.array((key % 9).cast("int"), F.lit(9))).alias("helpful"),
         )
     )
@@ -552,7 +551,7 @@ def json_value_summary(spark, folder):
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         "user_id",
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("ts").alias("timestamp"),
         F.col("value").alias("rating"),
         F.col("props").alias("text"),
         "event_type",
