@@ -117,17 +117,19 @@ def long_words(words: Column) -> Column:
 
 def word_pairs(words: Column, among: Iterable[str] | None = None) -> Column:
     """Neighbouring words joined by a space, or only the pairs made of the given words."""
-    after_first = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    before_last = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    if among is None:
-        return F.zip_with(before_last, after_first, lambda a, b: F.concat_ws(" ", a, b))
-    chosen = list(among)
-    pairs = F.zip_with(
-        before_last,
-        after_first,
-        lambda a, b: F.when(a.isin(chosen) & b.isin(chosen), F.concat_ws(" ", a, b)),
-    )
-    return F.filter(pairs, lambda pair: pair.isNotNull())
+    if among is not None:
+        chosen = list(among)
+        words = F.transform(words, lambda word: F.when(word.isin(chosen), word))
+
+    def neighbours(given: Column) -> Column:
+        n = F.greatest(F.size(given) - 1, F.lit(0))
+        both = F.zip_with(
+            F.slice(given, 1, n), F.slice(given, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)
+        )
+        return F.filter(both, lambda pair: pair.isNotNull())
+
+    # The one-element array binds the words once for both halves of the pairs.
+    return F.transform(F.array(words), neighbours)[0]
 
 
 def parse_review_time(text: Column, formats: Iterable[str] = fixed.REVIEW_DATE_FORMATS) -> Column:
