@@ -187,7 +187,7 @@ def score_quality(
         total = F.lit(0).cast("long")
     scored = counted.withColumns({"ratio_units": total, "n_grams": F.size("grams_").cast("long")})
     kept = ~F.col("base_failed") & (F.col("ratio_units") >= threshold * F.col("n_grams"))
-    return give_back(scored.withColumn("kept", kept), RESULTS)
+    return give_back(scored.withColumn("kept", kept), docs, RESULTS)
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:

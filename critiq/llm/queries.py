@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import quality_rules
+from critiq.llm import decontaminate, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _digest(text) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the words that stand inside windows of test items."""
+    found = decontaminate.find_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    items = _digest(F.array_join("items", ",")).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document; trusted are documents labelled good and not toxic."""
     trusted = quality_rules.trusted_documents(_table(spark, folder, "labels"))
@@ -24,5 +35,6 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
 }

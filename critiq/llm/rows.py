@@ -10,12 +10,15 @@ NO_ID = -(2**63)
 
 
 def hold(docs: DataFrame, **named: Column) -> DataFrame:
-    """The whole row as one struct `held_`, beside the named columns; no other name is taken."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("held_"), *[c.alias(n) for n, c in named.items()])
+    """All columns of the caller under hidden names, beside the named columns."""
+    kept = [F.col(f"`{c}`").alias(f"held_{i}_") for i, c in enumerate(docs.columns)]
+    return docs.select(*kept, *[c.alias(n) for n, c in named.items()])
 
 
-def give_back(held: DataFrame, results: list[str]) -> DataFrame:
+def give_back(held: DataFrame, docs: DataFrame, results: list[str]) -> DataFrame:
     """The caller's columns and the results; a result takes the place of a column of the same name."""
     taken = {c.lower() for c in results}
-    names = [f.name for f in held.schema["held_"].dataType.fields if f.name.lower() not in taken]
-    return held.select(*[F.col("held_").getField(n).alias(n) for n in names], *results)
+    kept = [
+        F.col(f"held_{i}_").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in taken
+    ]
+    return held.select(*kept, *results)
