@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import decontaminate, quality_rules
+from critiq.llm import decontaminate, quality_rules, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,15 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.RESULTS)
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of windows that stand earlier."""
+    kept = substring_dedup.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), quality_rules.BLANKS, " "))
+    return kept.select("doc_id", "n_words", "n_removed", _digest(words).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
