@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import decontaminate, quality_rules, substring_dedup
+from critiq.llm import decontaminate, quality_rules, sentencepiece_codec, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,26 @@ def _digest(text) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def piece_model() -> str:
+    """Where the vocabulary file of the queries lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.encode_texts(docs, piece_model())
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _digest(joined).alias("ids_sha256"),
+        _digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the words that stand inside windows of test items."""
     found = decontaminate.find_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -42,6 +62,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
