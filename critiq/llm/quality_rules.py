@@ -136,7 +136,7 @@ def gram_weights(
     bounded by `buckets`. It is empty if no target document has an n-gram.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = trusted_ids.toDF("id").distinct()
+    chosen = trusted_ids.toDF("id").distinct().hint("shuffle_hash")  # one way at every size
     raw = _bucket_counts(spread_rows(texts), orders, buckets, "raw")
     target = _bucket_counts(texts.join(chosen, "id"), orders, buckets, "target")
     counts = written(raw.join(target, "bucket", "left").na.fill(0, ["target"]), "gram-counts")
