@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import decontaminate, quality_rules, sentencepiece_codec, substring_dedup
+from critiq.llm import decontaminate, order_minhash, quality_rules, sentencepiece_codec, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,13 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.RESULTS)
 
 
+def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return order_minhash.with_classes(_table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id"
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the words of windows that stand earlier."""
     kept = substring_dedup.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
@@ -65,5 +72,6 @@ QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op9_order_minhash": op9_order_minhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
