@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import decontaminate, order_minhash, quality_rules, sentencepiece_codec, substring_dedup
+from critiq.llm import (
+    decontaminate,
+    language_mixture,
+    order_minhash,
+    quality_fm,
+    quality_rules,
+    sentencepiece_codec,
+    substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +48,19 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op3_quality_machine(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document; a fifth of all ids is held out from learning."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").where(_fold(5) != 0)
+    scored = quality_fm.score_quality(docs, labels)
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the words that stand inside windows of test items."""
     found = decontaminate.find_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -54,6 +75,14 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.RESULTS)
 
 
+def op8_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document; a quarter of all ids is held out from learning."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    judged = language_mixture.identify_languages(docs, learn_from=_fold(4) != 2)
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
+    return judged.select("doc_id", held_out, "lang_pred", "score", "languages")
+
+
 def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return order_minhash.with_classes(_table(spark, folder, "documents").select("doc_id", "text")).select(
@@ -70,8 +99,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_quality_machine": op3_quality_machine,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_mixture": op8_language_mixture,
     "op9_order_minhash": op9_order_minhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
