@@ -59,3 +59,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
        sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op4_warc_derivatives"] = r"""
+WITH responses AS (
+  SELECT page_id, url, coalesce(html, '') AS payload,
+         concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10),
+                'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR)) AS headers
+  FROM pages
+), bare AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(payload,
+      '(?s)<!--.*?(?:-->|\z)', '', 'g'),
+      '(?is)<script[ \t\r\n/>].*?(?:</script[ \t\r\n]*>|\z)', '', 'g'),
+      '(?is)<style[ \t\r\n/>].*?(?:</style[ \t\r\n]*>|\z)', '', 'g') AS t
+  FROM responses
+), untagged AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\n]+', ' ', 'g'),
+      '(?i)</?(?:p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|th|table|title|article|section|nav|header|footer|blockquote|pre|hr|form)(?:[ \t\r\n/][^>]*)?>',
+      chr(10), 'g'), '</?[A-Za-z!?][^>]*>', '', 'g') AS u
+  FROM bare
+), decoded AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(u, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+      '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS v
+  FROM untagged
+), texts AS (
+  SELECT *, trim(regexp_replace(regexp_replace(v, '[ \t\r\x0B\x0C]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), concat(chr(10), ' ')) AS text,
+         md5(concat_ws('|', 'response', CAST(page_id AS VARCHAR), url)) AS r
+  FROM decoded
+), named AS (
+  SELECT *, concat('<urn:uuid:', r[1:8], '-', r[9:12], '-', r[13:16], '-', r[17:20], '-', r[21:32], '>') AS refers_to,
+         concat('sha256:', sha256(concat(headers, chr(13), chr(10), chr(13), chr(10), payload))) AS source_block_digest,
+         concat('sha256:', sha256(payload)) AS source_payload_digest
+  FROM texts
+), ids AS (
+  SELECT *, md5(concat('conversion|', refers_to)) AS c, md5(concat('metadata|', refers_to)) AS m FROM named
+), linked AS (
+  SELECT *, concat('<urn:uuid:', c[1:8], '-', c[9:12], '-', c[13:16], '-', c[17:20], '-', c[21:32], '>') AS conversion_id,
+         concat('<urn:uuid:', m[1:8], '-', m[9:12], '-', m[13:16], '-', m[17:20], '-', m[21:32], '>') AS metadata_id
+  FROM ids
+), records AS (
+  SELECT *, metadata_id AS record_id, 'metadata' AS warc_type, CAST(NULL AS VARCHAR) AS concurrent_to,
+         'application/warc-fields' AS content_type,
+         concat('conversion: ', conversion_id, chr(13), chr(10), 'sourcePayloadDigest: ', source_payload_digest,
+                chr(13), chr(10), 'textLength: ', CAST(length(text) AS VARCHAR), chr(13), chr(10)) AS block
+  FROM linked
+  UNION ALL
+  SELECT *, conversion_id, 'conversion', metadata_id, 'text/plain; charset=utf-8', text FROM linked
+)
+SELECT page_id, record_id, warc_type, refers_to, concurrent_to, url AS target_uri, content_type,
+       CAST(strlen(block) AS BIGINT) AS content_length, concat('sha256:', sha256(block)) AS block_digest,
+       headers AS source_headers, source_block_digest, source_payload_digest
+FROM records
+"""

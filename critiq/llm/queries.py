@@ -14,7 +14,9 @@ from critiq.llm import (
     quality_fm,
     quality_rules,
     sentencepiece_codec,
+    shard_table,
     substring_dedup,
+    warc_derivatives,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +63,14 @@ def op3_quality_machine(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def op4_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of every page, their blocks as digests."""
+    responses = warc_derivatives.responses_of_pages(_table(spark, folder, "pages"))
+    return warc_derivatives.derive_records(responses).select(
+        "page_id", *[c for c in warc_derivatives.RESULTS if c not in ("block", "warc_date")]
+    )
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the words that stand inside windows of test items."""
     found = decontaminate.find_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -68,6 +78,15 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Slot and shard of every document, by its id."""
+    docs = _table(spark, folder, "documents").select("doc_id")
+    return shard_table.place(docs, SHARDS)
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document; trusted are documents labelled good and not toxic."""
     trusted = quality_rules.trusted_documents(_table(spark, folder, "labels"))
@@ -100,7 +119,9 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality_machine": op3_quality_machine,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_mixture": op8_language_mixture,
     "op9_order_minhash": op9_order_minhash,
