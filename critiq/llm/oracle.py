@@ -110,3 +110,79 @@ SELECT page_id, record_id, warc_type, refers_to, concurrent_to, url AS target_ur
        headers AS source_headers, source_block_digest, source_payload_digest
 FROM records
 """
+
+
+def _url_levels() -> str:
+    """The three levels of the tree, each from the one above."""
+    text = ""
+    for k in (1, 2, 3):
+        above = f"level{k - 1}"
+        text += f"""
+), wide{k} AS (
+  SELECT host, template, count(*) AS n_values, sum(n) AS n
+  FROM (SELECT host, template, s{k}, sum(pages) AS n FROM {above} WHERE s{k} IS NOT NULL GROUP BY ALL) GROUP BY ALL
+), branches{k} AS (
+  SELECT a.*, concat(a.template, CASE WHEN s{k} IS NULL THEN '' WHEN n_values > 20 AND n < 3 * n_values THEN '/*'
+                                      ELSE concat('/', s{k}) END) AS branch
+  FROM {above} a LEFT JOIN wide{k} w ON a.host = w.host AND a.template = w.template
+), sums{k} AS (
+  SELECT host, template, branch, purity, sum(labelled) AS n, sum(blocked) AS b FROM branches{k} GROUP BY ALL
+), tested{k} AS (
+  SELECT *, n = 0 OR abs(b - n * purity) <= 2.0::DOUBLE * sqrt(n * purity * (1.0::DOUBLE - purity)) AS alike FROM sums{k}
+), pooled{k} AS (
+  SELECT host, template, sum(n) AS n_alike, sum(b) AS b_alike FROM tested{k} WHERE alike GROUP BY ALL
+), judged{k} AS (
+  SELECT t.host, t.template, branch,
+         (CASE WHEN alike THEN b_alike ELSE b END + 4.0::DOUBLE * purity)
+           / (CASE WHEN alike THEN n_alike ELSE n END + 4.0::DOUBLE) AS below
+  FROM tested{k} t LEFT JOIN pooled{k} p ON t.host = p.host AND t.template = p.template
+), level{k} AS MATERIALIZED (
+  SELECT b.host, s1, s2, s3, pages, labelled, blocked, b.branch AS template, below AS purity
+  FROM branches{k} b JOIN judged{k} j ON b.host = j.host AND b.template = j.template AND b.branch = j.branch"""
+    return text
+
+
+ORACLES["op2_url_templates"] = (
+    r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests
+), rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fitting AS (
+  SELECT page_id, concat(rule_host, rule_path) AS rule, rule_verdict
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, concat('.', rule_host))) AND starts_with(path, rule_path)
+), ruled AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS by_rule
+  FROM fitting GROUP BY page_id
+), cut AS (
+  SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM parts LEFT JOIN ruled USING (page_id)
+), paged AS MATERIALIZED (
+  SELECT page_id, host, path, rule, by_rule, regexp_replace(p[1], '[0-9]+', '{n}', 'g') AS s1,
+         regexp_replace(p[2], '[0-9]+', '{n}', 'g') AS s2, regexp_replace(p[3], '[0-9]+', '{n}', 'g') AS s3,
+         CASE by_rule WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS label
+  FROM cut
+), shapes AS MATERIALIZED (
+  SELECT host, s1, s2, s3, count(*) AS pages, count(label) AS labelled, coalesce(sum(label), 0) AS blocked
+  FROM paged GROUP BY ALL
+), overall AS (
+  SELECT CASE WHEN sum(labelled) > 0 THEN CAST(sum(blocked) AS DOUBLE) / sum(labelled) ELSE 0 END AS q FROM shapes
+), hosts AS (
+  SELECT host, (sum(blocked) + 4.0::DOUBLE * any_value(q)) / (sum(labelled) + 4.0::DOUBLE) AS purity
+  FROM shapes, overall GROUP BY host
+), level0 AS (
+  SELECT shapes.*, '' AS template, purity FROM shapes JOIN hosts USING (host)"""
+    + _url_levels()
+    + """
+)
+SELECT page_id, paged.host, path, rule, template, round(purity, 6) AS purity,
+       coalesce(by_rule, CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM paged LEFT JOIN level3 l ON paged.host = l.host AND paged.s1 IS NOT DISTINCT FROM l.s1
+  AND paged.s2 IS NOT DISTINCT FROM l.s2 AND paged.s3 IS NOT DISTINCT FROM l.s3
+"""
+)

@@ -16,6 +16,7 @@ from critiq.llm import (
     sentencepiece_codec,
     shard_table,
     substring_dedup,
+    url_templates,
     warc_derivatives,
 )
 
@@ -50,6 +51,12 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on the url of every page."""
+    judged = url_templates.judge_urls(_table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
@@ -118,6 +125,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_url_templates": op2_url_templates,
     "op3_quality_machine": op3_quality_machine,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
