@@ -186,7 +186,10 @@ def score_quality(
     else:
         total = F.lit(0).cast("long")
     scored = counted.withColumns({"ratio_units": total, "n_grams": F.size("grams_").cast("long")})
-    kept = ~F.col("base_failed") & (F.col("ratio_units") >= threshold * F.col("n_grams"))
+    # a filter on `kept` must not carry all these expressions down: it stops at the row number
+    scored = scored.withColumn("row_", F.monotonically_increasing_id())
+    alike = F.col("ratio_units") >= threshold * F.col("n_grams")
+    kept = ~F.col("base_failed") & alike & (F.col("row_") >= 0)
     return give_back(scored.withColumn("kept", kept), docs, RESULTS)
 
 
