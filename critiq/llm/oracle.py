@@ -186,3 +186,58 @@ FROM paged LEFT JOIN level3 l ON paged.host = l.host AND paged.s1 IS NOT DISTINC
   AND paged.s2 IS NOT DISTINCT FROM l.s2 AND paged.s3 IS NOT DISTINCT FROM l.s3
 """
 )
+
+ORACLES["op7_quality_rules"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lined AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS filled FROM d
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS place FROM repeated) GROUP BY doc_id
+), crc AS MATERIALIZED (
+  SELECT list(c ORDER BY n) AS crc_table
+  FROM (SELECT n, list_reduce(list_concat([n], range(0, 8)), lambda c, k:
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT unnest(range(0, 256)) AS n))
+), words AS MATERIALIZED (
+  SELECT doc_id, unnest(w) AS word FROM d
+), spelled AS (
+  SELECT word, list_transform(range(0, strlen(word)), lambda i: CAST(concat('0x', substr(hex(encode(word)), 2 * i + 1, 2)) AS BIGINT)) AS b
+  FROM (SELECT DISTINCT word FROM words)
+), buckets AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])),
+                   4294967295) % 16384 AS bucket
+  FROM spelled, crc
+), raw AS (
+  SELECT bucket, count(*) AS r FROM words JOIN buckets USING (word) GROUP BY bucket
+), trusted AS (
+  SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0
+), target AS (
+  SELECT bucket, count(*) AS t FROM words JOIN trusted USING (doc_id) JOIN buckets USING (word) GROUP BY bucket
+), totals AS (
+  SELECT (SELECT sum(r) FROM raw) AS all_r, coalesce((SELECT sum(t) FROM target), 0) AS all_t
+), weights AS MATERIALIZED (
+  SELECT bucket, CASE WHEN all_t = 0 THEN 0 ELSE
+           CAST(round(ln((coalesce(t, 0) + 4.0::DOUBLE) / (r * (all_t::DOUBLE / all_r::DOUBLE) + 4.0::DOUBLE)) * 10000)
+                AS BIGINT) END AS weight
+  FROM raw LEFT JOIN target USING (bucket), totals
+), sums AS (
+  SELECT doc_id, CAST(sum(weight) AS BIGINT) AS ratio_units
+  FROM words JOIN buckets USING (word) JOIN weights USING (bucket) GROUP BY doc_id
+), counted AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(ratio_units, 0) AS ratio_units
+  FROM d JOIN lined USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN sums USING (doc_id)
+)
+SELECT *, n_words AS n_grams, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ratio_units >= -2000 * n_words AS kept
+FROM counted
+"""

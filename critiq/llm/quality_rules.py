@@ -5,8 +5,9 @@ passes the fixed rules is scored by the mean over its n-grams of
 
     log P(n-gram | trusted target) - log P(n-gram | raw corpus)
 
-where both multinomials run over hash buckets, are counted over all documents and are
-smoothed by the same constant. The logarithms are rounded to whole units of 1/10000, so
+where both multinomials run over hash buckets and are counted over all documents. The raw counts
+are scaled to the size of the target and both get the same constant added, so buckets of rare
+n-grams, of which the target has none by chance, weigh little in a small corpus too. The logarithms are rounded to whole units of 1/10000, so
 scores are sums of whole numbers: the same in any order, on any number of executors.
 
 Counting needs one row per bucket and task to be shuffled; the text of trusted documents is
@@ -35,7 +36,7 @@ BLANKS = r"\s+"
 SYMBOLS = r"[#*$%&|<>]+"
 BUCKETS = 1 << 14
 ORDERS = (1,)
-SMOOTHING = 1
+SMOOTHING = 4
 UNITS = 10_000
 #: Mean log-likelihood ratio, in units, below which a document is rejected.
 THRESHOLD = -2_000
@@ -143,11 +144,8 @@ def gram_weights(
     totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     if not totals["target"]:
         return []
-    extra = smoothing * buckets
-    ratio = (
-        F.log((F.col("target") + smoothing) / (totals["target"] + extra))
-        - F.log((F.col("raw") + smoothing) / (totals["raw"] + extra))
-    )
+    share = totals["target"] / totals["raw"]
+    ratio = F.log((F.col("target") + float(smoothing)) / (F.col("raw") * share + float(smoothing)))
     unseen = 0  # a bucket without any n-gram of the corpus is never looked up
     weights = [unseen] * buckets
     for row in counts.select("bucket", F.round(ratio * UNITS).cast("long").alias("weight")).collect():
