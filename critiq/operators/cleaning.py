@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -20,34 +21,38 @@ def clean_texts(
 ) -> DataFrame:
     """Key and cleaned_text: content words joined by a space, each replaced by its lemma if it has one.
 
-    `lemmas` has the columns token and lemma, one row per token. A small table
-    is written into the plan; a larger one is joined, and `key` must then
-    identify a text.
+    `lemmas` has the columns token and lemma. A word without a lemma, or with a
+    null one, stays; of several lemmas the last in the alphabet counts. A small table is
+    written into the plan, a larger one is joined, with the same result.
     """
     split = docs.select(*key, T.content_tokens(F.col(text), stop_words).alias("_words"))
     if lemmas is None:
         return split.select(*key, F.array_join("_words", " ").alias("cleaned_text"))
-    rows = rows_if_small(lemmas.select("token", "lemma"), literal_entries)
+    known = lemmas.select("token", "lemma").where(F.col("token").isNotNull() & F.col("lemma").isNotNull())
+    known = known.groupBy("token").agg(F.max("lemma").alias("lemma"))
+    rows = rows_if_small(known, literal_entries)
     if rows == []:
         return clean_texts(docs, key, text, stop_words)
     if rows is not None:
-        known = {row["token"]: row["lemma"] for row in rows}
-        pairs = F.create_map(*[F.lit(part) for pair in known.items() for part in pair])
+        pairs = {row["token"]: row["lemma"] for row in rows}
+        lemma_of = F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
         replaced = F.transform(
             "_words",
-            lambda word: F.when(word.isin(list(known)), F.try_element_at(pairs, word)).otherwise(word),
+            lambda word: F.when(word.isin(list(pairs)), F.try_element_at(lemma_of, word)).otherwise(word),
         )
         return split.select(*key, F.array_join(replaced, " ").alias("cleaned_text"))
-    words = split.select(*key, F.posexplode_outer("_words").alias("place", "token"))
-    words = words.filter("token IS NOT NULL")
-    joined = words.join(lemmas.select("token", "lemma"), "token", "left")
+    # Lists of words are told apart by a digest, so rows need no key.
+    split = split.withColumn("_list", F.sha2(F.to_json("_words"), 256))
+    lists = split.select("_list", "_words").dropDuplicates(["_list"])
+    words = lists.select("_list", F.posexplode_outer("_words").alias("place", "token"))
+    joined = words.where("token IS NOT NULL").join(known, "token", "left")
     # One list per text, as long as the text has words.
     placed = F.array_sort(F.collect_list(F.struct("place", F.coalesce("lemma", "token").alias("word"))))
-    texts = joined.groupBy(*key).agg(
+    texts = joined.groupBy("_list").agg(
         F.array_join(F.transform(placed, lambda w: w["word"]), " ").alias("cleaned_text")
     )
     # A text without words has no list; a missing text stays missing.
-    given = docs.select(*key, F.when(F.col(text).isNotNull(), F.lit("")).alias("_none"))
-    return given.join(texts, list(key), "left").select(
+    none = F.when(F.col("_words").isNotNull(), F.lit(""))
+    return split.withColumn("_none", none).drop("_words").join(texts, "_list", "left").select(
         *key, F.coalesce("cleaned_text", "_none").alias("cleaned_text")
     )

@@ -65,12 +65,21 @@ def _matches_in_row(text: Column, rows: Sequence) -> Column:
     )[0]
 
 
-def _matches_by_join(df: DataFrame, text: str, words: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Candidates share the first characters of a word; the text then decides."""
+def _text_id(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256).alias("_text_id")
+
+
+def _matches_by_join(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """(_text_id and entry) of every distinct text and entry found in it.
+
+    Candidates share the first characters of a word; the text then decides. Texts are told apart
+    by a digest, so rows need no key, and equal texts are searched once.
+    """
     entries = words.select(
         "list_name", "word", "severity", "position", F.lower("word").alias("needle")
     ).withColumn("gram", F.left("needle", F.lit(PREFIX)))
-    lowered = df.select(*key, F.lower(text).alias("_text"))
+    lowered = df.select(_text_id(text), F.lower(text).alias("_text"))
+    lowered = lowered.where(F.col("_text").isNotNull()).dropDuplicates(["_text_id"])
     lengths = entries.agg(F.collect_set(F.length("gram"))).first()[0]  # at most PREFIX numbers
     grams = F.flatten(
         F.array(
@@ -81,11 +90,11 @@ def _matches_by_join(df: DataFrame, text: str, words: DataFrame, key: Sequence[s
         )
     )
     candidates = (
-        lowered.select(*key, F.explode(F.array_distinct(grams)).alias("gram"))
+        lowered.select("_text_id", F.explode(F.array_distinct(grams)).alias("gram"))
         .join(entries, "gram")
         .drop("gram")
     )
-    found = candidates.join(lowered, list(key)).filter(F.contains("_text", "needle"))
+    found = candidates.join(lowered, "_text_id").filter(F.contains("_text", "needle"))
     return found.drop("_text", "needle")
 
 
@@ -103,7 +112,8 @@ def content_matches(
     """One row per text and word-list entry found in it, however often it occurs."""
     rows = _small(words, literal_entries)
     if rows is None:
-        return _matches_by_join(docs, text, words, key)
+        found = _matches_by_join(docs, text, words)
+        return docs.select(*key, _text_id(text)).join(found, "_text_id").drop("_text_id")
     return docs.select(*key, F.inline(_matches_in_row(F.col(text), rows))).drop("needle")
 
 
@@ -133,11 +143,12 @@ def content_check(
     """Per text and list with a match: number of matches and total severity."""
     rows = _small(words, literal_entries)
     if rows is None:
-        return (
-            _matches_by_join(docs, text, words, key)
-            .groupBy(*key, "list_name")
+        totals = (
+            _matches_by_join(docs, text, words)
+            .groupBy("_text_id", "list_name")
             .agg(F.count("*").alias("n_matches"), F.sum("severity").alias("total_severity"))
         )
+        return docs.select(*key, _text_id(text)).join(totals, "_text_id").drop("_text_id")
     return docs.select(*key, _matches_in_row(F.col(text), rows).alias("_matches")).select(
         *key, F.inline(_totals_in_row(F.col("_matches"), sorted({row["list_name"] for row in rows})))
     )
@@ -173,14 +184,14 @@ def with_content_checks(
     rows = _small(words, literal_entries)
     if rows is None:
         per_list = (
-            _matches_by_join(docs, text, words, key)
-            .groupBy(*key, "list_name")
+            _matches_by_join(docs, text, words)
+            .groupBy("_text_id", "list_name")
             .agg(
                 F.array_sort(F.collect_list(F.struct("position", "word", "severity"))).alias("found"),
                 F.sum("severity").alias("total"),
             )
         )
-        checks = per_list.groupBy(*key).agg(
+        checks = per_list.groupBy("_text_id").agg(
             F.map_from_entries(
                 F.array_sort(
                     F.collect_list(
@@ -197,7 +208,7 @@ def with_content_checks(
                 F.array_sort(F.collect_list(F.struct("list_name", "total")))
             ).alias("severity_summary"),
         )
-        checked = docs.join(checks, list(key), "left").withColumns(
+        checked = docs.withColumn("_text_id", _text_id(text)).join(checks, "_text_id", "left").drop("_text_id").withColumns(
             {
                 "matches": F.coalesce("matches", F.create_map().cast("map<string,array<struct<word:string,severity:int>>>")),
                 "severity_summary": F.coalesce("severity_summary", F.create_map().cast("map<string,bigint>")),

@@ -22,6 +22,10 @@ def _f1(precision: Column, recall: Column) -> Column:
     return _safe_ratio(2 * precision * recall, precision + recall)
 
 
+#: Labels that a confusion matrix may have.
+MOST_CLASSES = 1000
+
+
 def pair_counts(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     return scored.groupBy(F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(
         F.count("*").alias("n")
@@ -29,16 +33,25 @@ def pair_counts(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred
 
 
 def confusion_matrix(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """Counts for every pair of labels that occur anywhere, zeros included."""
+    """Counts for every pair of labels that occur anywhere, zeros included.
+
+    A missing label is a class of its own. More than `MOST_CLASSES` labels are an error, because
+    the cells are as many as their square.
+    """
     counts = pair_counts(scored, y_true, y_pred)
-    labels = counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).agg(
-        F.array_sort(F.collect_set("label")).alias("labels")
-    )
-    cells = labels.select("labels", F.explode("labels").alias("y_true")).select(
-        "y_true", F.explode("labels").alias("y_pred")
-    )
-    return cells.join(counts, ["y_true", "y_pred"], "left").withColumn(
-        "n", F.coalesce("n", F.lit(0))
+    found = counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
+    labels = [F.lit(row["label"]) for row in found.limit(MOST_CLASSES + 1).collect()]
+    if len(labels) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} labels")
+    if not labels:
+        return counts
+    kind = found.schema["label"].dataType
+    every = F.array(*[F.struct(label.cast(kind).alias("label")) for label in labels])
+    cells = scored.sparkSession.range(1).select(F.explode(every).alias("t")).select("t", F.explode(every).alias("p"))
+    cells = cells.select(F.col("t.label").alias("_true"), F.col("p.label").alias("_pred"))
+    same = F.col("_true").eqNullSafe(F.col("y_true")) & F.col("_pred").eqNullSafe(F.col("y_pred"))
+    return cells.join(counts, same, "left").select(
+        F.col("_true").alias("y_true"), F.col("_pred").alias("y_pred"), F.coalesce("n", F.lit(0).cast("long")).alias("n")
     )
 
 
@@ -142,7 +155,10 @@ def prediction_distribution(scored: DataFrame, y_pred: str = "y_pred") -> DataFr
 
 
 def _threshold_counts(scored: DataFrame, y_true: str, score: str, positive: int) -> DataFrame:
-    per_score = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+    # Rows without a score or a label cannot be placed on the curve and are left out.
+    value = F.col(score).cast("double")
+    known = scored.where(value.isNotNull() & ~F.isnan(value) & F.col(y_true).isNotNull())
+    per_score = known.groupBy(value.alias("threshold")).agg(
         F.count_if(F.col(y_true) == positive).alias("tp"),
         F.count_if(F.col(y_true) != positive).alias("fp"),
     )

@@ -8,6 +8,7 @@ The cut points decide only how even the ranges are, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -23,7 +24,7 @@ def _with_range(df: DataFrame, order_by: str, ranges: int) -> DataFrame:
     shares = [i / ranges for i in range(1, ranges)]
     accuracy = max(1000, 4 * ranges)  # bounds the sketches that meet in one task
     cuts = df.agg(F.percentile_approx(order_by, shares, accuracy)).first()[0]
-    cuts = sorted({float(cut) for cut in cuts or []})
+    cuts = sorted({float(cut) for cut in cuts or [] if math.isfinite(cut)})
     if not cuts:
         return df.withColumn(_RANGE, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
@@ -43,7 +44,7 @@ def running_totals(
     """Add cum_<total> up to and including each row, all_<total> of the whole group, and
     next_<column> of the row after it.
 
-    Expects one row per (within, order_by), and no nulls: count equal values
+    Expects one row per (within, order_by), and neither nulls nor NaN: count equal values
     together first, so that a frequent value is one row. Works within
     each group of `within`; a large group is cut into ranges like the whole.
     The table is read several times, so it is written first; switch that off
@@ -96,8 +97,9 @@ def row_positions(df: DataFrame, key: str, name: str = "position") -> DataFrame:
 
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:
-    """Distinct non-null values with their counts and running counts."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    """Distinct values with their counts and running counts; nulls and NaN are left out."""
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    counts = df.filter(known).groupBy(value).agg(F.count("*").alias("n"))
     return running_totals(counts, value, ["n"])
 
 

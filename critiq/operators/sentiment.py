@@ -6,32 +6,42 @@ of a text does not depend on the order of addition and sign tests are exact.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from critiq import fixed_values as fixed
 from critiq.functions import text as T
-from critiq.operators.bounds import rows_if_small
+from critiq.operators.bounds import LITERAL_ENTRIES, rows_if_small
 
 UNITS = 10_000
 TALLY_TYPE = "struct<units: bigint, hits: bigint, positive: bigint, negative: bigint>"
 
 
+def exact_units(score: float) -> int:
+    """A score in whole units; finer scores are an error, not rounded."""
+    units = round(score * UNITS)
+    if abs(score * UNITS - units) > 1e-6:
+        raise ValueError(f"scores have four decimals at most: {score}")
+    return units
+
+
+def _known_scores(lexicon: DataFrame) -> DataFrame:
+    """One row per word: of a word that is listed twice the highest score counts; nulls are left out."""
+    given = lexicon.select("word", F.col("score").cast("double").alias("score"))
+    given = given.where(F.col("word").isNotNull() & F.col("score").isNotNull())
+    return given.groupBy("word").agg(F.max("score").alias("score"))
+
+
 def tally_tokens(words: Column, lexicon: Mapping[str, float]) -> Column:
     """Sum of scores and counts of scored words, within the row."""
-    by_units: dict[int, list[str]] = {}
-    for word, score in lexicon.items():
-        by_units.setdefault(round(score * UNITS), []).append(word)
-    scored = [word for group in by_units.values() for word in group]
-
-    def units_of(word: Column) -> Column:
-        units = F.lit(0)
-        for value, group in by_units.items():
-            units = F.when(word.isin(group), F.lit(value)).otherwise(units)
-        return units
-
-    units = F.transform(F.filter(words, lambda word: word.isin(scored)), units_of)
+    by_word = {word: exact_units(score) for word, score in lexicon.items()}
+    scored = list(by_word)
+    # Words that are not listed are sorted out by a hash set before the map is searched.
+    units_of = F.from_json(F.lit(json.dumps(by_word)), "map<string,bigint>")
+    listed = F.filter(words, lambda word: word.isin(scored))
+    units = F.transform(listed, lambda word: F.try_element_at(units_of, word))
     empty = F.struct(*[F.lit(0).cast("long").alias(name) for name in ("units", "hits", "positive", "negative")])
     return F.aggregate(
         units,
@@ -45,16 +55,22 @@ def tally_tokens(words: Column, lexicon: Mapping[str, float]) -> Column:
     )
 
 
-def _tally_by_join(
-    df: DataFrame, words: Column, lexicon: DataFrame, key: Sequence[str]
-) -> DataFrame:
-    """The same tally for a lexicon of any size: words meet their scores in a join."""
-    scores = lexicon.select(
-        "word", F.round(F.col("score") * UNITS).cast("long").alias("value")
-    )
+def _tally_by_join(df: DataFrame, words: Column, lexicon: DataFrame) -> DataFrame:
+    """The same tally for a lexicon of any size: words meet their scores in a join.
+
+    Lists of words are told apart by a digest, so rows need no key and equal lists are tallied once.
+    """
+    exact = F.col("score") * UNITS
+    finer = F.abs(exact - F.round(exact)) > 1e-6
+    message = F.concat(F.lit("scores have four decimals at most: "), F.col("score").cast("string"))
+    value = F.when(finer, F.raise_error(message).cast("long")).otherwise(F.round(exact).cast("long"))
+    scores = lexicon.select("word", value.alias("value"))
+    df = df.withColumn("_list", F.sha2(F.to_json(words), 256))
+    key = ["_list"]
+    lists = df.select("_list", words.alias("_words")).dropDuplicates(["_list"])
     occurrences = (
-        df.select(*key, F.explode(words).alias("word"))
-        .groupBy(*key, "word")
+        lists.select("_list", F.explode("_words").alias("word"))
+        .groupBy("_list", "word")
         .agg(F.count("*").alias("n"))
     )
     tallies = (
@@ -70,7 +86,7 @@ def _tally_by_join(
         )
     )
     zero = F.struct(*[F.lit(0).cast("long").alias(name) for name in ("units", "hits", "positive", "negative")])
-    return df.join(tallies, list(key), "left").withColumn("_tally", F.coalesce("_tally", zero))
+    return df.join(tallies, key, "left").withColumn("_tally", F.coalesce("_tally", zero)).drop("_list")
 
 
 def _scores(tally: Column, n_words: Column) -> Column:
@@ -100,21 +116,21 @@ def with_word_sentiment(
     lexicon: Mapping[str, float] | DataFrame = fixed.DEFAULT_LEXICON,
     key: Sequence[str] = (),
     name: str = "sentiment",
+    literal_entries: int = LITERAL_ENTRIES,
 ) -> DataFrame:
     """Add struct (polarity, neg, neu, pos, compound) of a column of words.
 
     A lexicon given as a data frame (word, score) is read into the plan when it
-    is small; otherwise it is joined, and `key` must name columns that identify
-    a row.
+    has at most `literal_entries` words and joined otherwise, with the same
+    result. Scores have four decimals at most.
     """
     if isinstance(lexicon, DataFrame):
-        rows = rows_if_small(lexicon.select("word", "score"))
+        lexicon = _known_scores(lexicon)
+        rows = rows_if_small(lexicon, literal_entries)
         if rows is not None:
             lexicon = {row["word"]: row["score"] for row in rows}
     if isinstance(lexicon, DataFrame):
-        if not key:
-            raise ValueError("a large lexicon is joined; name the key columns of a row")
-        tallied = _tally_by_join(df, F.col(words), lexicon, key)
+        tallied = _tally_by_join(df, F.col(words), lexicon)
     else:
         tallied = df.withColumn("_tally", tally_tokens(F.col(words), lexicon))
     scores = _scores(F.col("_tally"), F.size(words))
@@ -127,8 +143,9 @@ def with_sentiment(
     lexicon: Mapping[str, float] | DataFrame = fixed.DEFAULT_LEXICON,
     key: Sequence[str] = (),
     name: str = "sentiment",
+    literal_entries: int = LITERAL_ENTRIES,
 ) -> DataFrame:
     """with_word_sentiment of a cleaned text."""
     # The words are a column of their own, so that each use does not split again.
     split = df.withColumn("_words", cleaned_words(cleaned))
-    return with_word_sentiment(split, "_words", lexicon, key, name).drop("_words")
+    return with_word_sentiment(split, "_words", lexicon, key, name, literal_entries).drop("_words")

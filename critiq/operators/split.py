@@ -21,7 +21,10 @@ def train_test_split_exact(
     per hash prefix tell in which prefix the last test row lies; only rows with
     that prefix are ordered, and all others are decided by comparison alone.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    parts = [F.col(k).cast("string") for k in key]
+    if len(parts) > 1:  # quoted, so that no two keys look alike; a null part is written as such
+        parts = [F.to_json(F.array(*parts))]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
     hashed = df.select(digest.alias("_hash")).withColumn("_prefix", F.left("_hash", F.lit(_PREFIX)))
     # At most 16 ** _PREFIX rows, whatever the table.
     in_order = W.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)

@@ -117,8 +117,13 @@ def top_categories(
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
-    """Rows per bin of equal width between the smallest and the largest value."""
-    known = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    """Rows per bin of equal width between the smallest and the largest value.
+
+    Nulls, NaN and infinite values are left out.
+    """
+    known = df.select(F.col(value).cast("double").alias("_v"))
+    known = known.filter(F.abs("_v") < float("inf"))
+    known = known.filter(~F.isnan("_v"))
     low = known.select(F.min("_v")).scalar()
     high = known.select(F.max("_v")).scalar()
     binned = known.select(equal_width_bin(F.col("_v"), low, high, bins).alias("bin"))

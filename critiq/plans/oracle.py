@@ -118,6 +118,27 @@ SELECT doc_id, polarity, {_share('negative')} AS neg,
   {_share('n_words - negative - positive')} AS neu, {_share('positive')} AS pos,
   total / sqrt(total * total + 15) AS compound
 FROM scored"""
+ORACLES["lexicon_sentiment_large"] = f"""
+WITH cleaned AS (SELECT doc_id, {_CLEANED} AS cleaned_text FROM documents),
+lexicon AS (
+  SELECT DISTINCT w, (length(w) % 9 - 4) * 1250 AS units
+  FROM (SELECT unnest(string_split({_CLEANED}, ' ')) AS w FROM benchmark) WHERE w <> ''),
+words AS (
+  SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split(cleaned_text, ' ')) AS w FROM cleaned) WHERE w <> ''),
+tally AS (
+  SELECT doc_id, sum(units) AS units, count(units) AS hits, count(*) AS n_words,
+    count(*) FILTER (units > 0) AS positive, count(*) FILTER (units < 0) AS negative
+  FROM words LEFT JOIN lexicon USING (w) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(positive, 0) AS positive,
+    coalesce(negative, 0) AS negative, coalesce(units, 0) / 10000::DOUBLE AS total,
+    CASE WHEN hits > 0 THEN units / (10000::DOUBLE * hits) ELSE 0::DOUBLE END AS polarity
+  FROM cleaned LEFT JOIN tally USING (doc_id))
+SELECT doc_id, polarity, {_share('negative')} AS neg,
+  {_share('n_words - negative - positive')} AS neu, {_share('positive')} AS pos,
+  total / sqrt(total * total + 15) AS compound
+FROM scored"""
+ORACLES["lexicon_sentiment_joined"] = ORACLES["lexicon_sentiment_large"]
 ORACLES["speech_patterns"] = f"""{_ANALYSED}
 SELECT doc_id, intensity AS emotional_intensity, is_sarcastic, is_exaggerated,
   is_personal, is_recommendation FROM analysed"""
@@ -171,7 +192,7 @@ SELECT strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS event_ts, polarity,
   CASE WHEN is_emotional THEN 'Emotional' WHEN is_sarcastic THEN 'Sarcastic'
     WHEN is_personal THEN 'Personal' WHEN is_recommendation THEN 'Recommendation'
     ELSE 'Other' END AS type, is_anomaly
-FROM analysed a JOIN events e ON e.event_id = a.doc_id"""
+FROM analysed a LEFT JOIN events e ON e.event_id = a.doc_id"""
 ORACLES["review_features"] = f"""{_ANALYSED}
 SELECT doc_id, polarity AS f0, n_chars / (n_chars + 1000::DOUBLE) AS f1,
   intensity AS f2, is_sarcastic::DOUBLE AS f3, is_exaggerated::DOUBLE AS f4,
@@ -216,10 +237,10 @@ ORACLES["content_appropriate"] = f"{_MATCHED} SELECT doc_id, is_appropriate FROM
 
 _RATED = """(
   SELECT l_quantity AS rating, length(l_returnflag) AS review_length, p_brand AS category
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON l_partkey = p_partkey)"""
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)"""
 ORACLES["reviews_books_join"] = """
 SELECT l_partkey AS asin, l_orderkey, l_linenumber, p_name AS title, p_brand AS main_category
-FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON l_partkey = p_partkey"""
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey"""
 ORACLES["reviews_books_join_salted"] = ORACLES["reviews_books_join"]
 ORACLES["prepare_reviews"] = f"""
 SELECT doc_id, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS review_time,
@@ -227,12 +248,17 @@ SELECT doc_id, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS review_time,
   len(regexp_extract_all(text, {_quote(T.NON_SPACE + '+')})) AS word_count
 FROM documents LEFT JOIN orders ON o_orderkey = doc_id"""
 _CSV = """
-SELECT source AS title, CASE WHEN lang <> 'de' THEN text ELSE '' END AS text,
-  CASE WHEN n_chars % 7 <> 0 THEN n_chars::DOUBLE ELSE 0 END AS rating,
+SELECT source AS title, coalesce(text, '') AS text, coalesce(n_chars, 0)::DOUBLE AS rating,
   'book_' || rn AS asin, 'book_' || rn AS parent_asin, 'user_' || rn AS user_id,
   0 AS helpful_votes, 0 AS sort_timestamp, false AS verified_purchase
 FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)"""
 ORACLES["csv_reviews_normalize"] = _CSV
+ORACLES["csv_reviews_first_rows"] = f"{_CSV} WHERE rn < 130"
+ORACLES["lines_first"] = """
+WITH first_lines AS (SELECT * FROM documents ORDER BY doc_id LIMIT 130)
+SELECT 'doc_id' AS field, 'number' AS value_kind, count(*) AS n FROM first_lines WHERE doc_id IS NOT NULL HAVING count(*) > 0
+UNION ALL SELECT 'lang', 'string', count(*) FROM first_lines WHERE lang IS NOT NULL HAVING count(*) > 0
+UNION ALL SELECT 'even', 'string', count(*) FROM first_lines WHERE n_chars % 2 = 0 HAVING count(*) > 0"""
 ORACLES["csv_reviews_load"] = _CSV
 ORACLES["training_text"] = """
 SELECT doc_id, 'Title: ' || source || ' Review: ' || text AS text,
@@ -347,6 +373,10 @@ FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2"""
 ORACLES["train_test_split_exact"] = f"""
 SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('{fixed.SEED}:' || doc_id)) <= {P.TEST_ROWS}
   THEN 'test' ELSE 'train' END AS split FROM documents"""
+ORACLES["train_test_split_by_two_columns"] = f"""
+SELECT conv_id, turn, CASE WHEN row_number() OVER (
+    ORDER BY md5('{fixed.SEED}:["' || conv_id || '","' || turn || '"]')) <= {P.TEST_ROWS}
+  THEN 'test' ELSE 'train' END AS split FROM conversations"""
 
 # --- Evaluation --------------------------------------------------------------
 
@@ -509,10 +539,11 @@ FROM cells"""
 ORACLES["combined_features"] = f"""{_USERS},
 kinds AS (
   SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b,
-    count(*) FILTER (event_type = 'error') AS c FROM events GROUP BY user_id),
+    count(*) FILTER (event_type = 'error') AS c, count(*) FILTER (event_type = 'purchase') AS p,
+    count(*) FILTER (event_type = 'signup') AS s FROM events GROUP BY user_id),
 listed AS (
-  SELECT user_id, unnest([a::DOUBLE, b, c, review_frequency, avg_gap_seconds, avg_rating, rating_std,
-    avg_review_length]) AS v, unnest(range(8))::INTEGER AS pos FROM kinds JOIN users USING (user_id))
+  SELECT user_id, unnest([a::DOUBLE, b, c, p, s, review_frequency, avg_gap_seconds, avg_rating, rating_std,
+    avg_review_length]) AS v, unnest(range(10))::INTEGER AS pos FROM kinds JOIN users USING (user_id))
 SELECT user_id, pos, round((v - avg(v) OVER (PARTITION BY pos))
   / CASE WHEN stddev_pop(v) OVER (PARTITION BY pos) > 1e-9 THEN stddev_pop(v) OVER (PARTITION BY pos) ELSE 1 END, 6) AS value
 FROM listed"""

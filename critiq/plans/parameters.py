@@ -33,3 +33,4 @@ INSULTS = ("idiot", "scum", "stupid", "trash", "worthless")
 MAX_SEVERITY = fixed.MAX_SEVERITY
 RECONSTRUCTION_CUT = 0.9
 TEST_ROWS = 200
+FIRST_ROWS = 130

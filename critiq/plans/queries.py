@@ -119,6 +119,35 @@ def lexicon_sentiment(spark, folder):
     return scored.select("doc_id", *[F.col(f"sentiment.{name}").alias(name) for name in names])
 
 
+def _benchmark_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of the test items, scored by their length."""
+    cleaned = table(spark, folder, "benchmark").select(T.clean_review_text(F.col("text")).alias("t"))
+    words = cleaned.select(F.explode_outer(F.split("t", " ")).alias("word")).where("word <> ''").distinct()
+    return words.withColumn("score", (F.length("word") % 9 - 4) / 8.0)
+
+
+def _large_sentiment(spark: SparkSession, folder: str, literal_entries: int) -> DataFrame:
+    cleaned = _documents(spark, folder).select(
+        "doc_id", T.clean_review_text(F.col("text")).alias("cleaned_text")
+    )
+    lexicon = _benchmark_lexicon(spark, folder)
+    scored = with_sentiment(cleaned, lexicon=lexicon, literal_entries=literal_entries)
+    names = ("polarity", "neg", "neu", "pos", "compound")
+    return scored.select("doc_id", *[F.col(f"sentiment.{name}").alias(name) for name in names])
+
+
+@query
+def lexicon_sentiment_large(spark, folder):
+    """Every word of the test items as a lexicon written into the plan."""
+    return _large_sentiment(spark, folder, literal_entries=100_000)
+
+
+@query
+def lexicon_sentiment_joined(spark, folder):
+    """The way for a lexicon too long to write into the plan, with the same result."""
+    return _large_sentiment(spark, folder, literal_entries=0)
+
+
 @query
 def speech_patterns(spark, folder):
     flags = ("is_sarcastic", "is_exaggerated", "is_personal", "is_recommendation")
@@ -186,7 +215,7 @@ def review_timeline(spark, folder):
     times = table(spark, folder, "events").select(
         F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("timestamp")
     )
-    timed = reviews.review_timeline(_analysed(spark, folder).join(times, "doc_id"))
+    timed = reviews.review_timeline(_analysed(spark, folder).join(times, "doc_id", "left"))
     return timed.select(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_ts"),
         F.col("sentiment").alias("polarity"),
@@ -310,8 +339,8 @@ def content_analysis(spark, folder):
 
 
 def _books(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts as books; every fifth is missing so that some reviews find none."""
-    return table(spark, folder, "part").filter(F.col("p_partkey") % 5 != 0).select(
+    """Parts as books."""
+    return table(spark, folder, "part").select(
         F.col("p_partkey").alias("asin"),
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("main_category"),
@@ -369,9 +398,9 @@ def _csv_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select(
         "doc_id",
         F.col("source").alias("Title"),
-        F.when(F.col("lang") != "de", F.col("text")).alias("description"),
+        F.col("text").alias("description"),
         F.col("lang").alias("authors"),
-        F.when(F.col("n_chars") % 7 != 0, F.col("n_chars").cast("string")).alias("ratingsCount"),
+        F.col("n_chars").cast("string").alias("ratingsCount"),
     )
 
 
@@ -391,6 +420,27 @@ def csv_reviews_load(spark, folder):
     return csv_reviews.load_reviews(spark, path, limit=None)
 
 
+@query
+def csv_reviews_first_rows(spark, folder):
+    """The first rows of several CSV files, in the order of the files."""
+    path = scratch_path(spark, "csv")
+    rows = _csv_rows(spark, folder).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+    rows.write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return csv_reviews.load_reviews(spark, path, limit=P.FIRST_ROWS)
+
+
+@query
+def lines_first(spark, folder):
+    """The first lines of several JSON files, in the order of the files, profiled by field."""
+    path = scratch_path(spark, "lines")
+    rows = table(spark, folder, "documents").select("doc_id", "lang", F.when(F.col("n_chars") % 2 == 0, "x").alias("even"))
+    lines = rows.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(F.to_json(F.struct("*")))
+    lines.write.text(path)
+    return profile.json_profile(profile.read_lines(spark, path, P.FIRST_ROWS))
+
+
 @query
 def training_text(spark, folder):
     votes = _documents(spark, folder).select(
@@ -594,6 +644,12 @@ def train_test_split_exact(spark, folder):
     return split.train_test_split_exact(documents, ["doc_id"], P.TEST_ROWS)
 
 
+@query
+def train_test_split_by_two_columns(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn")
+    return split.train_test_split_exact(turns, ["conv_id", "turn"], P.TEST_ROWS)
+
+
 # --- Evaluation --------------------------------------------------------------
 
 
@@ -782,7 +838,7 @@ def combined_features(spark, folder):
         F.array(
             *[
                 F.count_if(F.col("event_type") == kind).cast("double")
-                for kind in ("click", "view", "error")
+                for kind in ("click", "view", "error", "purchase", "signup")
             ]
         ).alias("text_features")
     )

@@ -9,6 +9,10 @@ from critiq import fixed_values as fixed
 from critiq.operators.ordered import row_positions
 
 
+#: Above so many scan tasks the table of file blocks is joined instead of broadcast.
+BROADCAST_BLOCKS = 100_000
+
+
 def resolve_csv(spark: SparkSession, path: str, fallback_folder: str) -> str:
     """The path if it can be read, else the first CSV file by name in the folder."""
     try:
@@ -34,9 +38,11 @@ def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """All columns as text, quoted line breaks kept, cells that mean 'missing' as null."""
-    rows = _raw_csv(spark, path)
-    return _null_missing(rows.limit(limit) if limit else rows)
+    """All columns as text, quoted line breaks kept, cells that mean 'missing' as null.
+
+    With a limit, the first rows in the order of path and offset.
+    """
+    return _null_missing(first_rows(_raw_csv(spark, path), limit))
 
 
 def file_positions(rows: DataFrame, name: str = "position") -> DataFrame:
@@ -45,6 +51,7 @@ def file_positions(rows: DataFrame, name: str = "position") -> DataFrame:
     Numbering within a file block comes with the scan; only the block sizes are
     aggregated.
     """
+    blocks = rows.rdd.getNumPartitions()  # of a scan: a task reads at least one block
     located = rows.select(
         "*",
         F.col("_metadata.file_path").alias("_path"),
@@ -58,6 +65,8 @@ def file_positions(rows: DataFrame, name: str = "position") -> DataFrame:
     offsets = sizes.select(
         "_path", "_start", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
     )
+    # one row per file block: a few bytes for every block of a whole file system directory
+    offsets = F.broadcast(offsets) if blocks <= BROADCAST_BLOCKS else offsets
     return (
         located.join(offsets, ["_path", "_start"])
         .withColumn(name, F.col("_id") - F.col("_first") + F.col("_before"))
@@ -65,6 +74,16 @@ def file_positions(rows: DataFrame, name: str = "position") -> DataFrame:
     )
 
 
+def first_rows(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows as read from files, in the order of path and offset; all for None or 0.
+
+    Every task numbers its own rows and keeps those below the limit.
+    """
+    if not limit:
+        return rows
+    return file_positions(rows, "_place").where(F.col("_place") < limit).drop("_place")
+
+
 def _rating(on_bad: str) -> Column:
     number = F.col("rating").try_cast("double")
     filled = F.coalesce(number, F.lit(0.0))
@@ -111,17 +130,14 @@ def normalize_reviews(
 def load_reviews(
     spark: SparkSession,
     path: str,
-    limit: int | None = 20_000,
+    limit: int | None = None,
     fallback_folder: str | None = None,
     on_bad: str = "fail",
 ) -> DataFrame:
-    """Review CSV in the common shape, rows numbered in file order."""
+    """Review CSV in the common shape, rows numbered in file order; the first `limit` of them if given."""
     if fallback_folder is not None:
         path = resolve_csv(spark, path, fallback_folder)
-    rows = _raw_csv(spark, path)
+    placed = file_positions(_raw_csv(spark, path))
     if limit:
-        # A limited table is one partition, so the ids are consecutive.
-        placed = rows.limit(limit).withColumn("position", F.monotonically_increasing_id())
-    else:
-        placed = file_positions(rows)
+        placed = placed.where(F.col("position") < limit)
     return normalize_reviews(_null_missing(placed), on_bad=on_bad, position="position")

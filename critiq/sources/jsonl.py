@@ -2,7 +2,8 @@
 
 Each line is parsed once into a variant. A missing key takes its default, an
 explicit null where a number or list is needed makes the line unusable, and a
-number may also be written as a string.
+number may also be written as a string. Of a key that stands twice the last value
+counts; NaN, Infinity and -Infinity are numbers.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from critiq.session import spread_rows
+from critiq.sources.csv_reviews import first_rows
+
+#: A value that is one of the names Python's JSON writer uses for numbers beyond JSON.
+NOT_FINITE = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,\]}])"
+
 
 class Scan(NamedTuple):
     """Usable rows, and the lines that were not usable with the reason."""
@@ -21,15 +27,22 @@ class Scan(NamedTuple):
     rejects: DataFrame
 
 
+def _parsed(line: Column) -> Column:
+    """The line as a variant; numbers that JSON has no form for are taken from their names."""
+    named = F.regexp_replace(line, NOT_FINITE, r'$1"$2"')
+    return F.coalesce(F.try_parse_json(line), F.try_parse_json(named))
+
+
 def _read_items(
     spark: SparkSession, path: str, fields: Sequence[str], limit: int | None
 ) -> DataFrame:
     """The lines with the wanted fields as variants: null if missing, variant null if null."""
-    lines = spark.read.text(path)
-    # The limit counts lines, unusable ones included; 0 means all.
-    lines = lines.limit(limit) if limit else lines
+    # The limit counts lines in file order, unusable ones included; 0 means all.
+    lines = first_rows(spark.read.text(path), limit)
+    # Of a key that stands twice in an object the last value counts.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # A gzip file is one split, and parsing costs more than dealing out its lines.
-    parsed = spread_rows(lines).withColumn("_json", F.try_parse_json(F.trim("value")))
+    parsed = spread_rows(lines).withColumn("_json", _parsed(F.trim("value")))
     shape = ", ".join(f"{name}: variant" for name in fields)
     taken = parsed.withColumn("_item", F.try_variant_get("_json", "$", f"struct<{shape}>"))
     return taken.select(

@@ -57,10 +57,9 @@ def test_large_lexicon_is_joined_with_the_same_result(spark):
     small = {r["id"]: r["sentiment_analysis"] for r in analysed(spark, texts).collect()}
     rows = [(i, text) for i, text in enumerate(texts)]
     df = spark.createDataFrame(rows, "id long, review_text string")
-    joined = R.analyze_reviews(df, lexicon=table, key=["id"]).collect()
-    assert {r["id"]: r["sentiment_analysis"] for r in joined} == small
-    with pytest.raises(ValueError):
-        R.analyze_reviews(df, lexicon=table)
+    for key in (["id"], []):  # rows need no key
+        joined = R.analyze_reviews(df, lexicon=table, key=key).collect()
+        assert {r["id"]: r["sentiment_analysis"] for r in joined} == small
 
 
 def test_report(spark):
