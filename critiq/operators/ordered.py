@@ -53,7 +53,7 @@ def running_totals(
     df = written(df, "ordered") if write_first else df
     direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     at_start = F.max_by if descending else F.min_by
-    ranged = _with_range(df, order_by, ranges or range_count(df.sparkSession))
+    ranged = _with_range(df, order_by, ranges or range_count(df.sparkSession, df.count()))
 
     per_range = ranged.groupBy(*within, _RANGE).agg(
         *[F.sum(total).alias(f"_sum_{total}") for total in totals],

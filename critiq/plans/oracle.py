@@ -227,6 +227,13 @@ judged AS (
     coalesce(sum(n_matches), 0)::BIGINT AS n_matches
   FROM documents LEFT JOIN summed USING (doc_id) GROUP BY doc_id)
 """
+_SPEECH_ROWS = ", ".join(
+    f"({_quote(phrase)}, {severity})"
+    for phrase, _, severity in (line.split(", ") for line in fixed.SPEECH_PATTERNS.strip().splitlines())
+)
+ORACLES["speech_list_matches"] = f"""
+WITH phrases(word, severity) AS (VALUES {_SPEECH_ROWS})
+SELECT doc_id, word, severity::INTEGER AS severity FROM documents JOIN phrases ON contains(lower(text), lower(word))"""
 ORACLES["content_matches"] = f"{_MATCHED} SELECT * FROM matched"
 ORACLES["content_matches_joined"] = ORACLES["content_matches"]
 ORACLES["severity_summary"] = f"{_MATCHED} SELECT doc_id, list_name, total_severity FROM summed"
@@ -572,10 +579,10 @@ ORACLES["top_keywords"] = f"""{_TFIDF}
 SELECT term, round(sum(score) / any_value(docs), 6) AS score FROM scores, size
 GROUP BY term ORDER BY sum(score) DESC, term LIMIT {fixed.TOP_KEYWORDS}"""
 ORACLES["scaled_tfidf"] = f"""{_TFIDF},
-moments AS (
+moments AS MATERIALIZED (
   SELECT term, sum(score) / any_value(docs) AS mean, sum(score * score) / any_value(docs) AS square
   FROM scores, size GROUP BY term),
-stats AS (SELECT term, mean, sqrt(square - mean * mean) AS dev FROM moments)
+stats AS MATERIALIZED (SELECT term, mean, sqrt(square - mean * mean) AS dev FROM moments)
 SELECT doc_id, term, round((score - mean) / dev, 6) AS value FROM scores JOIN stats USING (term)
 UNION ALL SELECT NULL, term, round(-mean / dev, 6) FROM stats"""
 ORACLES["content_analysis"] = f"""{_TFIDF}, {_MATCHED.strip()[len('WITH '):]},

@@ -270,6 +270,13 @@ def word_list_scan(spark, folder):
     return word_lists.read_word_lists(spark, path).rows.select("word", "category", "severity")
 
 
+@query
+def speech_list_matches(spark, folder):
+    """The phrases of the built-in speech list that each document holds."""
+    phrases = word_lists.speech_patterns(spark).rows
+    return content.content_matches(_documents(spark, folder), phrases, ["doc_id"]).select("doc_id", "word", "severity")
+
+
 @query
 def content_matches(spark, folder):
     found = content.content_matches(

@@ -40,19 +40,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(_shared_folder(spark), f"critiq-{name}-{uuid.uuid4().hex}")
 
 
-def range_count(spark: SparkSession) -> int:
-    """How many ranges ordered work is cut into: one per shuffle partition, 2000 at most."""
-    return min(2000, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+#: Rows that one range of ordered work holds, about.
+ROWS_PER_RANGE = 1_000_000
+
+
+def range_count(spark: SparkSession, rows: int) -> int:
+    """How many ranges ordered work on so many rows is cut into: one per shuffle partition at least."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE))
+
+
+#: An input of fewer splits is dealt out before costly work on its rows.
+FEW_SPLITS = 8
 
 
 def spread_rows(df: DataFrame) -> DataFrame:
     """Deal the rows of a small or unsplittable input to all cores.
 
     Work per row on text is worth a shuffle only when the scan would leave
-    cores idle; an input of many splits is returned as it is.
+    nearly all cores idle; an input of several splits is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS) else df.repartition(cores)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from critiq import fixed_values as fixed
+from critiq.sources.csv_reviews import file_positions
 from critiq.sources.jsonl import Scan
 
 
 def read_word_lists(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Scan:
     """Entries of all list files, named after the file; comments and blank lines are skipped.
 
-    A file that uses the bar anywhere is separated by bars, else by commas.
+    A file that uses the bar anywhere is separated by bars, else by commas. Positions follow the
+    order of paths and lines, however the files are split.
     """
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder)
+    named = raw.select("value", F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("list_name"), "_metadata")
     lines = (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(folder)
-        .select(
-            F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("list_name"),
-            F.monotonically_increasing_id().alias("position"),
-            F.trim("value").alias("line"),
-        )
+        file_positions(named)
+        .select("list_name", "position", F.trim("value").alias("line"))
         .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     )
     separators = lines.groupBy("list_name").agg(
@@ -43,6 +43,17 @@ def read_word_lists(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
     return Scan(entries, read.filter(~good).select("list_name", "line"))
 
 
+def speech_patterns(spark: SparkSession, folder: str | None = None, pattern: str = "*.txt") -> Scan:
+    """The speech-pattern lists of a folder, or the built-in list."""
+    if folder is not None:
+        return read_word_lists(spark, folder, pattern)
+    lines = [line.split(", ") for line in fixed.SPEECH_PATTERNS.strip().splitlines()]
+    rows = [("speech", word, category, int(severity), at) for at, (word, category, severity) in enumerate(lines)]
+    kinds = "list_name string, word string, category string, severity int, position long"
+    empty = spark.createDataFrame([], "list_name string, line string")
+    return Scan(spark.createDataFrame(rows, kinds), empty)
+
+
 def list_names(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """Names of all list files, also of those without a usable entry."""
     return (
