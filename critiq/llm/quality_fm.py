@@ -178,8 +178,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [
             batch.column("id"),
             batch.column("label"),
-            pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())),
-            pa.array([v for _, v in found], pa.list_(pa.float64())),
+            pa.array([p.astype(np.int32).tobytes() for p, _ in found], pa.binary()),
+            pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "places", "amounts"])
 
@@ -201,10 +201,13 @@ def learn_quality(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most `most_rows` ids and labels are broadcast
     chosen = texts.join(F.broadcast(sample), "id").select("id", "label", "text")
-    kinds = f"id {dict(chosen.dtypes)['id']}, label int, places array<int>, amounts array<double>"
+    kinds = f"id {dict(chosen.dtypes)['id']}, label int, places binary, amounts binary"
     rows = chosen.mapInArrow(_vectors, kinds).dropDuplicates(["id"]).toPandas()
     rows = rows.sort_values("id")
-    vectors = [(np.asarray(p, np.int64), np.asarray(a)) for p, a in zip(rows["places"], rows["amounts"])]
+    vectors = [
+        (np.frombuffer(p, np.int32), np.frombuffer(a, np.float32).astype(float))
+        for p, a in zip(rows.pop("places"), rows.pop("amounts"))
+    ]
     return fit(vectors, rows["label"].to_numpy(float))
 
 
