@@ -20,8 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")
     )
-    edges, before = written(edges.distinct(), "links"), None
-    while True:
+    edges = written(edges.distinct(), "links")
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
         least = both.groupBy("high").agg(F.min("low").alias("least"))
         least = least.select(F.col("high").alias("node"), F.least("high", "least").alias("least"))
@@ -32,9 +32,15 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(below, F.col("high") == F.col("node")).where(F.col("low") != F.col("least"))
         small = small.select(F.col("low").alias("high"), F.col("least").alias("low"))
         edges = written(small.unionByName(below.toDF("high", "low")).distinct(), "links")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first()
-        if now == before:
-            break
-        before = now
     stars = edges.select(F.col("high").alias("id"), F.col("low").alias("component"))
     return stars.unionByName(edges.select(F.col("low").alias("id"), F.col("low").alias("component")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every id has one lower neighbour at most, and none if it is one itself."""
+    ends = edges.select(F.col("high").alias("node"), F.lit(1).alias("is_high")).unionByName(
+        edges.select(F.col("low").alias("node"), F.lit(0).alias("is_high"))
+    )
+    ends = ends.groupBy("node").agg(F.sum("is_high").alias("high"), F.count("*").alias("all"))
+    mixed = (F.col("high") > 1) | ((F.col("high") == 1) & (F.col("all") > 1))
+    return ends.where(mixed).isEmpty()

@@ -47,7 +47,7 @@ PICKS = 5
 #: Entries that two texts of a bucket must have in common to be compared.
 AGREEMENTS = 3
 #: Members of a bucket that the others are compared with at once.
-FIRST_BLOCK = 64
+FIRST_BLOCK = 8
 FACTOR = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 8 << 20
 #: Numbers hashed together for one text.
@@ -266,7 +266,7 @@ def near_duplicates(
         if not links.isEmpty():
             found = components(links.unionByName(found.toDF("a", "b")))
         rest = rest.join(first.select("entry", "id"), ["entry", "id"], "left_anti").select("id", "entry")
-        block *= 8
+        block *= 4
 
     grouped = nodes.select("digest", "id").join(found, "id", "left")
     grouped = grouped.select("digest", F.coalesce("component", "id").alias("class_id"))
