@@ -140,21 +140,45 @@ def mixture(logs: np.ndarray, times: np.ndarray) -> tuple[list[int], np.ndarray]
     return chosen, share
 
 
-def _judge(languages: list[str], table: np.ndarray) -> Callable:
-    def word_logs(counted: Counter) -> tuple[np.ndarray, np.ndarray]:
-        grams = [(g, n) for g, n in ((_TRIGRAMS[w], n) for w, n in counted.items()) if len(g)]
-        if not grams:
-            return np.zeros((0, len(languages))), np.zeros(0)
-        starts = np.cumsum([0, *(len(g) for g, _ in grams[:-1])])
-        logs = np.add.reduceat(table[np.concatenate([g for g, _ in grams])], starts, axis=0)
-        return logs, np.array([n for _, n in grams], float)
+class _WordLogs:
+    """Log-likelihoods of words under every language, as rows of one array that is emptied when full."""
+
+    def __init__(self, table: np.ndarray, most: int = 100_000):
+        self.table, self.most = table, most
+        self.rows = np.zeros((most, table.shape[1]))
+        self.place: dict[bytes, int] = {}
+
+    def _log(self, word: bytes) -> np.ndarray | None:
+        grams = _TRIGRAMS[word]
+        return self.table[grams].sum(0) if len(grams) else None
+
+    def of(self, counted: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and counts of the words that have letters."""
+        if len(self.place) + len(counted) > self.most:
+            self.place.clear()
+        if len(counted) > self.most:  # one text with that many words
+            found = [(v, n) for v, n in ((self._log(w), n) for w, n in counted.items()) if v is not None]
+            return np.array([v for v, _ in found]).reshape(-1, self.table.shape[1]), np.array([n for _, n in found], float)
+        for word in [w for w in counted if w not in self.place]:
+            log = self._log(word)
+            self.place[word] = at = len(self.place)
+            self.rows[at] = np.nan if log is None else log
+        places = np.fromiter(map(self.place.__getitem__, counted), np.int64, len(counted))
+        times = np.fromiter(counted.values(), float, len(counted))
+        logs = self.rows[places]
+        lettered = ~np.isnan(logs[:, 0])
+        return logs[lettered], times[lettered]
+
 
+def _judge(languages: list[str], table: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordLogs(table) if languages else None
         for batch in slices(batches, "text", CHUNK_BYTES):
             best, score, sets = [], [], []
             for text in batch.column("text").to_pylist():
-                logs, times = word_logs(Counter((text or "").encode().split()))
-                if not len(times) or not languages:
+                counted = Counter(text.encode().split()) if text else None
+                logs, times = known.of(counted) if counted and known else ((), ())
+                if not len(times):
                     best.append(UNDECIDED), score.append(0.0), sets.append([])
                     continue
                 chosen, share = mixture(logs, times)
