@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critiq.llm import decontaminate, order_minhash, quality_rules, sentencepiece_codec, substring_dedup
-from critiq.llm.queries import piece_model
+from critiq.llm.queries import piece_model, share_code
 from critiq.session import written
 
 
@@ -24,11 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
+    share_code(spark)
     return order_minhash.one_per_class(docs)
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without word runs that stand earlier in the corpus."""
+    share_code(spark)
     kept = substring_dedup.remove_repeats(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast("long"))
@@ -43,6 +45,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, with an end id."""
+    share_code(spark)
     coded = sentencepiece_codec.encode_texts(docs, piece_model())
     return coded.select(*[c for c in docs.columns if c != "ids"], "ids", F.size("ids").cast("long").alias("n_tokens"))
 

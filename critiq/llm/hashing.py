@@ -17,7 +17,7 @@ class _WordHashes(dict):
     """The hash of every word met lately; emptied when full, long words are not kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 48:
@@ -49,13 +49,18 @@ def hash_windows(hashes: np.ndarray, starts: np.ndarray, length: int, factor: in
     return mix(total)
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """The bytes of 64-bit numbers, most alike bytes together, which compresses well."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+def planes(numbers: np.ndarray, low: int = 0, high: int = 8) -> bytes:
+    """The bytes `low` to `high` (from the least) of 64-bit numbers, those of one rank together."""
+    parts = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8)[:, low:high]
+    return np.ascontiguousarray(parts.T).tobytes()
 
 
-def from_planes(data: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+def from_planes(data: bytes, low: int = 0, high: int = 8, kind: type = np.int64) -> np.ndarray:
+    """The numbers again, with zero in the bytes left out."""
+    parts = np.frombuffer(data, np.uint8).reshape(high - low, -1).T
+    whole = np.zeros((len(parts), 8), np.uint8)
+    whole[:, low:high] = parts
+    return whole.view(kind).ravel()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +21,22 @@ from critiq.llm import (
     url_templates,
     warc_derivatives,
 )
+from critiq.llm.rows import NO_ID
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers that are started in another folder import this package."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -116,11 +129,38 @@ def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _kept_digest(text: Column) -> Column:
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), quality_rules.BLANKS, " "))
+    return _digest(words)
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without the words of windows that stand earlier."""
-    kept = substring_dedup.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
-    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), quality_rules.BLANKS, " "))
-    return kept.select("doc_id", "n_words", "n_removed", _digest(words).alias("kept_sha256"))
+    """Every document without the words of windows that stand earlier.
+
+    The numbers of unchanged documents come from where they are; only changed texts are moved.
+    """
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    changed = substring_dedup.changed_texts(docs)
+    partly = changed.where(~F.col("copy")).select(
+        F.col("id").alias("cut_id"), F.col("digest").alias("cut_digest"), "n_removed", _kept_digest(F.col("text")).alias("cut")
+    )
+    copies = changed.where("copy").select(F.col("id").alias("copy_id"), "copy")
+    counted = docs.select(
+        "doc_id",
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
+        F.xxhash64("text").alias("digest"),
+        F.size(quality_rules.text_words(F.col("text"))).cast("long").alias("n_words"),
+        _kept_digest(F.col("text")).alias("whole"),
+    )
+    found = counted.join(partly, (F.col("id") == F.col("cut_id")) & (F.col("digest") == F.col("cut_digest")), "left")
+    found = found.join(copies, F.col("id") == F.col("copy_id"), "left")
+    gone = F.coalesce("copy", F.lit(False)) & (F.col("n_words") >= substring_dedup.WINDOW)
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(gone, _digest(F.lit(""))).otherwise(F.coalesce("cut", "whole")).alias("kept_sha256"),
+    )
 
 
 QUERIES: dict[str, Query] = {

@@ -9,7 +9,7 @@ only at positions whose remainder by 13 is in {0, 1, 3, 9}. These remainders are
 cover: for any two positions there is a shift below 13 that takes both onto the cover. Two equal
 windows of 20 words therefore share an anchor of 8 words at the same place, 4 of 13 positions
 are enough, and nothing is missed. Then the anchors found twice are extended: the windows of 20
-words that hold one are hashed with 128 bits, and the first of equal windows stays.
+words that hold one are hashed with 96 bits, and the first of equal windows stays.
 
 The steps, each a Spark shuffle by hash:
 
@@ -26,12 +26,13 @@ Edge cases: null and blank texts have no words; texts of fewer than 20 words los
 with the same id are one document: at equal places neither is earlier, and if their texts differ,
 places found in one count in all. A null id comes before
 all others. Removed words take the blanks before them along. All columns stay; one that has the
-name of a result is replaced. Two different windows pass for equal with a chance of 2^-128.
+name of a result is replaced. Two different windows pass for equal with a chance of 2^-96.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,13 @@ BUCKET_BYTES = 16 << 20
 #: Bytes of text that a task looks at together.
 CHUNK_BYTES = 8 << 20
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes of a hash that are sent: a bucket holds about a million anchors however large the corpus
+#: is, and two of those that agree by chance only cost a look; windows are told apart by 96 bits.
+ANCHOR_HIGH, WINDOW_HIGH, WINDOW_LOW = (3, 8), (0, 8), (4, 8)
 RESULTS = ["n_words", "n_removed"]
 
 PACKED = "bucket int, known boolean, high binary, low binary, id binary, place binary"
+FOUND = "bucket int, id binary, place binary"
 PLACES = "id bigint, places array<int>"
 
 
@@ -93,16 +98,16 @@ def _deal(
         known = twice & ~head
     target = np.where(known, ids.view(np.uint64), high) % np.uint64(buckets)
     flagged = known if first_stays else twice
-    by = np.lexsort((flagged, target))
+    by = np.lexsort((places, ids, flagged, target))
     high, low, ids, places, target, known, flagged = (x[by] for x in (high, low, ids, places, target, known, flagged))
     cuts = np.flatnonzero(np.r_[True, (target[1:] != target[:-1]) | (flagged[1:] != flagged[:-1]), True])
     rows: dict[str, list] = {n: [] for n in ("bucket", "known", "high", "low", "id", "place")}
     for a, b in zip(cuts[:-1], cuts[1:]):
         rows["bucket"].append(int(target[a]))
         rows["known"].append(bool(flagged[a]))
-        sent = ~known[a:b]  # the hash of a known entry is of use only if others may share it
-        rows["high"].append(np.where(sent, high[a:b], 0).tobytes())
-        rows["low"].append(np.where(sent, low[a:b], 0).tobytes() if first_stays else b"")
+        sent = ~known[a:b]  # the hash of a known entry is of no use
+        rows["high"].append(planes(np.where(sent, high[a:b], 0), *(WINDOW_HIGH if first_stays else ANCHOR_HIGH)))
+        rows["low"].append(planes(np.where(sent, low[a:b], 0), *WINDOW_LOW) if first_stays else b"")
         rows["id"].append(planes(ids[a:b]))
         rows["place"].append(planes((places[a:b] << 1 | known[a:b]).astype(np.int64)))
     kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -160,20 +165,42 @@ def window_packer(buckets: int, window: int, period: int) -> Callable:
     return pack
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    join = lambda name: b"".join(table.column(name).to_pylist())
-    high = np.frombuffer(join("high"), np.uint64)
-    low = np.frombuffer(join("low"), np.uint64)
-    ids = np.concatenate([from_planes(x) for x in table.column("id").to_pylist()])
-    packed = np.concatenate([from_planes(x) for x in table.column("place").to_pylist()])
-    sizes = [len(x) // 8 for x in table.column("high").to_pylist()]
+def _unpack(table: pa.Table, high: tuple[int, int], low: tuple[int, int] | None) -> tuple[np.ndarray, ...]:
+    def column(name: str, *parts: int) -> np.ndarray:
+        return np.concatenate([from_planes(x, *parts) for x in table.column(name).to_pylist()])
+
+    ids, packed = column("id"), column("place")
+    sizes = [len(x) // 8 for x in table.column("id").to_pylist()]
     flagged = np.repeat(np.array(table.column("known").to_pylist(), bool), sizes)
-    return high, low, ids, packed >> 1, (packed & 1).astype(bool), flagged
+    second = column("low", *low) if low else np.zeros_like(ids)
+    return column("high", *high), second, ids, packed >> 1, (packed & 1).astype(bool), flagged
+
+
+def _by_document(ids: np.ndarray, places: np.ndarray, buckets: int) -> pa.Table:
+    """Places packed by buckets of documents."""
+    target = ids.view(np.uint64) % np.uint64(buckets)
+    order = np.lexsort((places, ids, target))
+    ids, places, target = ids[order], places[order].astype(np.int64), target[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, target[1:] != target[:-1]]), len(ids)] if len(ids) else np.zeros(1, np.int64)
+    parts = list(zip(cuts[:-1], cuts[1:]))
+    return pa.table(
+        {
+            "bucket": pa.array([int(target[a]) for a, _ in parts], pa.int32()),
+            "id": pa.array([planes(ids[a:b]) for a, b in parts], pa.binary()),
+            "place": pa.array([planes(places[a:b]) for a, b in parts], pa.binary()),
+        }
+    )
+
 
+def places_of_documents(table: pa.Table) -> pa.Table:
+    """Of one bucket of documents: a row for each with its places."""
+    column = lambda name: np.concatenate([from_planes(x) for x in table.column(name).to_pylist()])
+    return _places_table(column("id"), column("place"))
 
-def anchors_found_twice(table: pa.Table) -> pa.Table:
+
+def anchors_found_twice(table: pa.Table, buckets: int) -> pa.Table:
     """Of one bucket: the places of anchors whose hash stands twice."""
-    high, _, ids, places, known, flagged = _unpack(table)
+    high, _, ids, places, known, flagged = _unpack(table, ANCHOR_HIGH, None)
     twice = known.copy()
     asked = np.flatnonzero(~known)
     order = asked[np.argsort(high[asked], kind="stable")]
@@ -183,12 +210,12 @@ def anchors_found_twice(table: pa.Table) -> pa.Table:
     entries = np.bincount(group)
     inside = np.bincount(group, weights=flagged[order])
     twice[order] = (entries[group] > 1) | (inside[group] > 0)
-    return _places_table(ids[twice], places[twice])
+    return _by_document(ids[twice], places[twice], buckets)
 
 
-def windows_not_first(table: pa.Table) -> pa.Table:
+def windows_not_first(table: pa.Table, buckets: int) -> pa.Table:
     """Of one bucket: the places of windows that also start earlier."""
-    high, low, ids, places, known, _ = _unpack(table)
+    high, low, ids, places, known, _ = _unpack(table, WINDOW_HIGH, WINDOW_LOW)
     later = known.copy()
     asked = np.flatnonzero(~known)
     order = asked[np.lexsort((places[asked], ids[asked], low[asked], high[asked]))]
@@ -197,7 +224,16 @@ def windows_not_first(table: pa.Table) -> pa.Table:
     new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     later[order] = (i != i[first]) | (p != p[first])
-    return _places_table(ids[later], places[later])
+    return _by_document(ids[later], places[later], buckets)
+
+
+def _judged(packed: DataFrame, judge: Callable[[pa.Table, int], pa.Table], buckets: int) -> DataFrame:
+    """(id, places) of what a judge of buckets finds; both ways are packed, so rows do not multiply."""
+
+    def found(table: pa.Table) -> pa.Table:
+        return judge(table, buckets)
+
+    return packed.groupBy("bucket").applyInArrow(found, FOUND).groupBy("bucket").applyInArrow(places_of_documents, PLACES)
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
@@ -209,30 +245,40 @@ def later_copies(docs: DataFrame) -> DataFrame:
     return texts.join(several, "digest").where(F.col("id") > F.col("first")).select("id").distinct()
 
 
-def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, copy, places): for every document with repeated windows their starts, in order.
+@dataclass
+class Repeats:
+    """Where the words of a corpus stand earlier, by id and digest of a text.
 
-    `docs` has the columns id (not null) and text. A later copy of a whole text is told by
-    `copy` and has no places.
+    places: (id, copy, places) of every document with repeated windows: their starts, in order.
+    A later copy of a whole text is told by `copy` and has no places.
+    texts: (id, text) of documents that may have such places; of copies it has none.
     """
+
+    places: DataFrame
+    texts: DataFrame
+
+
+def find_repeats(docs: DataFrame, window: int = WINDOW) -> Repeats:
+    """The repeats of `docs`, which has the columns id (not null) and text."""
     if window < WINDOW:
         raise ValueError(f"windows of fewer than {WINDOW} words need a difference cover of a shorter period")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     anchors = docs.mapInArrow(anchor_packer(buckets, window, PERIOD, COVER), PACKED)
-    twice = anchors.groupBy("bucket").applyInArrow(anchors_found_twice, PLACES)
+    twice = _judged(anchors, anchors_found_twice, buckets)
     copies = written(later_copies(docs), "copies")
     marks = twice.select("id", "places", F.lit(False).alias("copy")).unionByName(
         copies.select("id", F.array().cast("array<int>").alias("places"), F.lit(True).alias("copy"))
     )
     marks = marks.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"), F.max("copy").alias("copy"))
-    searched = docs.join(marks.where(~F.col("copy")), "id").select("id", "text", "places")
+    marks = marks.where(~F.col("copy")).hint("merge")  # one way at every size
+    searched = written(docs.join(marks, "id").select("id", "text", "places"), "searched")
     windows = searched.mapInArrow(window_packer(buckets, window, PERIOD), PACKED)
-    later = windows.groupBy("bucket").applyInArrow(windows_not_first, PLACES)
-    places = later.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-    return places.select("id", F.lit(False).alias("copy"), "places").unionByName(
+    places = _judged(windows, windows_not_first, buckets)
+    places = places.select("id", F.lit(False).alias("copy"), "places").unionByName(
         copies.select("id", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("places"))
     )
+    return Repeats(written(places, "places"), searched.select("id", "text"))
 
 
 def _kept(window: int) -> Callable:
@@ -274,6 +320,35 @@ def _cut(text: str, words: list[bytes], stay: np.ndarray) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
+def _cut_all(rows: DataFrame, window: int) -> DataFrame:
+    """Rows with text, copy and places: the text without repeated words, n_words and n_removed instead."""
+    fields = [f for f in rows.schema.fields if f.name not in ("text", "copy", "places")]
+    schema = [*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "n_words bigint, n_removed bigint, text string"]
+    return rows.mapInArrow(_kept(window), ", ".join(schema))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return docs.select(ids.alias("id"), F.col(text_col).alias("text"))
+
+
+def changed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, digest, copy, n_removed, text) of the documents that lose words, by id and xxhash64 of their text.
+
+    Only texts that may hold repeats are moved. A later copy of a whole text has a null digest, number
+    and text: it loses all words if it has `window` of them.
+    """
+    found = find_repeats(_keyed(docs, id_col, text_col), window)
+    partly = found.texts.select("id", F.xxhash64("text").alias("digest"), "text").dropDuplicates(["id", "digest"])
+    partly = _cut_all(partly.join(found.places.where(~F.col("copy")).hint("merge"), "id"), window)
+    partly = partly.where(F.col("n_removed") > 0)
+    whole = found.places.where("copy").select(
+        "id", *[F.lit(None).cast(k).alias(n) for n, k in (("digest", "long"), ("n_removed", "long"), ("text", "string"))]
+    )
+    partly = partly.select("id", "digest", F.lit(False).alias("copy"), "n_removed", "text")
+    return partly.unionByName(whole.select("id", "digest", F.lit(True).alias("copy"), "n_removed", "text"))
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
@@ -281,12 +356,8 @@ def remove_repeats(
 
     Words that stay keep the blanks before them.
     """
+    places = find_repeats(_keyed(docs, id_col, text_col), window).places
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    places = repeated_places(docs.select(ids.alias("id"), F.col(text_col).alias("text")), window)
     held = hold(docs, id=ids, text=F.col(text_col))
-    joined = held.join(places, "id", "left").drop("id")
-    fields = [f for f in joined.schema.fields if f.name not in ("text", "copy", "places")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    schema += ("," if schema else "") + "n_words bigint, n_removed bigint, text string"
-    kept = joined.mapInArrow(_kept(window), schema)
+    kept = _cut_all(held.join(places, "id", "left").drop("id"), window)
     return give_back(kept.withColumnRenamed("text", text_col), docs, [text_col, *RESULTS])
