@@ -3,7 +3,9 @@
 A text is its sequence of shingles of five words. Each of several hash functions picks the
 smallest few shingles of a text, where repeated shingles count as different ones by their
 occurrence, and keeps what it picked in the order of the text: an entry of the sketch. Texts
-that agree in an entry are candidates. A pair is linked if, with L shingles aligned in order,
+that agree in an entry are candidates. Of short texts, entries are their rarest shingles instead, as
+many as are needed for two similar texts to have one in common. A pair is linked if, with L shingles
+aligned in order,
 
     L / (shingles of one + shingles of the other - L) >= 0.8.
 
@@ -14,10 +16,13 @@ Equal texts are one node, known by a digest of their words. Nodes with the same
 bucket. First every member is compared with the smallest id of its bucket, which settles most
 of them. Then only buckets remain in which several components meet. Their members are compared
 with the first members of their bucket, in blocks that grow, until every one was compared or
-joined the others' component; of a pair, the texts are read once, and only if it agrees in three
-entries at least. So no bucket is collected and no pair of one component is compared for nothing,
-but no candidate is left out: the blocks have no cap. Two texts at exactly 0.8 agree in three of
-32 entries of five with a probability of 0.9996; the more similar, the surer.
+joined the others' component; of a pair, the texts are read once, and only if their lengths allow
+the similarity. So no bucket is collected and no pair of one component is compared for nothing,
+but no candidate is left out: one common entry is enough, and the blocks have no cap.
+
+If the shorter text has at most 60 shingles, every similar pair is a candidate. Of two longer ones at
+exactly 0.8, whose shingles are distinct, one of 32 entries of five agrees with a probability above
+0.99999 at every length; the more similar, the surer.
 
 Edge cases: a text of fewer than five words is one shingle; texts without words are never
 grouped. A null id gets a null class. Rows with the same id are in one class. The class id is
@@ -31,7 +36,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from critiq.llm.components import components
@@ -44,8 +49,8 @@ SIMILARITY = 0.8
 #: Entries of a sketch, and shingles in an entry.
 ENTRIES = 32
 PICKS = 5
-#: Entries that two texts of a bucket must have in common to be compared.
-AGREEMENTS = 3
+#: Shingles up to which a text is found by its rarest shingles instead of a sketch.
+EXACT = 60
 #: Members of a bucket that the others are compared with at once.
 FIRST_BLOCK = 8
 FACTOR = 0x9E3779B97F4A7C15
@@ -53,7 +58,7 @@ CHUNK_BYTES = 8 << 20
 #: Numbers hashed together for one text.
 BLOCK = 1 << 20
 
-SKETCHES = "id bigint, digest binary, entries array<bigint>"
+SKETCHES = "id bigint, digest binary, n int, entries array<bigint>, marked array<bigint>"
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -103,23 +108,48 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def sketcher(entries: int, picks: int, size: int) -> Callable:
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
+    values = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
+def sketcher(entries: int, picks: int, size: int, similarity: float) -> Callable:
+    """The sketch of a text that is not short, and the shingles of one that can be similar to a short one."""
+    none, most = np.zeros(0, np.uint64), int(EXACT / similarity + 1e-9)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
-            digests, rows = [], []
+            digests, counts, rows, marked = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = _words(text)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                rows.append(sketch(shingles(hash_words(words), size), entries, picks).view(np.int64))
-            offsets = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
-            values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-            columns = [batch.column("id"), pa.array(digests, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "entries"])
+                sequence = shingles(hash_words(words), size)
+                counts.append(len(sequence))
+                rows.append(sketch(sequence, entries, picks) if len(sequence) > EXACT else none)
+                marked.append(labelled(sequence) if 0 < len(sequence) <= most else none)
+            columns = [batch.column("id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int32())]
+            columns += [_lists(rows), _lists(marked)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "entries", "marked"])
 
     return run
 
 
+def rarest_shingles(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(digest, rarest) of nodes with `marked` shingles: the rarest ones, less those that stand in one text only.
+
+    A similar text shares at least ceil(similarity * n) of the n shingles. So if both texts leave out
+    fewer than they must share, in one order of all shingles, the first shared one is in both.
+    """
+    found = nodes.where(F.size("marked") > 0).select("digest", "n", F.explode("marked").alias("shingle"))
+    counts = found.groupBy("shingle").agg(F.count("*").alias("texts"))
+    ranked = found.join(counts, "shingle").groupBy("digest", "n")
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("ranked"))
+    needed = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1
+    first = F.filter(F.slice("ranked", 1, needed), lambda x: x["texts"] > 1)
+    return ranked.select("digest", first["shingle"].alias("rarest"))
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     """How many numbers two sequences share, each as often as in both."""
     x, nx = np.unique(a, return_counts=True)
@@ -223,24 +253,33 @@ def near_duplicates(
     """(id, class_id): one row per id that is not null."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     given = given.where(F.col("id").isNotNull())
-    sketches = written(given.mapInArrow(sketcher(entries, picks, size), SKETCHES), "sketches")
-    with_words = sketches.where(F.size("entries") > 0)
-    nodes = with_words.groupBy("digest").agg(F.min("id").alias("id"), F.first("entries").alias("entries"))
+    sketches = given.mapInArrow(sketcher(entries, picks, size, similarity), SKETCHES)
+    sketches = written(sketches, "sketches")
+    with_words = sketches.where(F.col("n") > 0).groupBy("digest")
+    nodes = with_words.agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "entries", "marked")])
     nodes = written(nodes, "nodes")
-    members = nodes.select("id", F.explode("entries").alias("entry"))
+    keys = F.concat("entries", F.coalesce("rarest", F.array().cast("array<bigint>")))
+    nodes = nodes.join(rarest_shingles(nodes, similarity), "digest", "left").select("digest", "id", "n", keys.alias("entries"))
+    nodes = written(nodes, "nodes")
+    members = nodes.select("id", "n", F.explode("entries").alias("entry"))
+
+    def close(n: str, m: str) -> Column:
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
-    buckets = members.groupBy("entry").agg(F.min("id").alias("b"), F.max("id").alias("last"))
-    buckets = buckets.where(F.col("b") < F.col("last")).drop("last")
+    buckets = members.groupBy("entry").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last"))
+    buckets = buckets.where(F.col("first.id") < F.col("last")).select("entry", "first.id", "first.n").toDF("entry", "b", "m")
     pairs = members.join(buckets, "entry").where(F.col("id") != F.col("b"))
-    pairs = written(pairs.select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    pairs = written(pairs.select(F.col("id").alias("a"), "b", close("n", "m").alias("close")).distinct(), "pairs")
     asked = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "asked")
     texts = written(given.join(asked, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    links = written(_verified(pairs, texts, similarity, size), "verified")
+    links = written(_verified(pairs.where("close").select("a", "b"), texts, similarity, size), "verified")
+    pairs = pairs.select("a", "b")
     found = components(links)
 
     # buckets in which components meet: members against the first ones, in blocks that grow
     whole = nodes.join(asked, "id").groupBy("id")
-    whole = written(whole.agg(F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries")), "whole")
+    every = F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries")
+    whole = written(whole.agg(F.min("n").alias("n"), every), "whole")
     rest = whole.select("id", F.explode("entries").alias("entry"))
     block, apart = FIRST_BLOCK, F.col("x") < F.col("y")
     while True:
@@ -253,12 +292,16 @@ def near_duplicates(
         first = written(rest.withColumn("place", place).where(F.col("place") <= block).drop("place"), "first")
         one = rest.join(whole, "id")
         other = first.join(whole, "id").select(
-            "entry", F.col("id").alias("b"), F.col("component").alias("other"), F.col("entries").alias("others")
+            "entry",
+            F.col("id").alias("b"),
+            F.col("component").alias("other"),
+            F.col("n").alias("m"),
+            F.col("entries").alias("others"),
         )
         shared = F.array_intersect("entries", "others")
-        # a pair that agrees often enough is made once: in the bucket of its smallest common entry
-        worth = (F.col("id") > F.col("b")) & (F.col("component") != F.col("other"))
-        worth = worth & (F.size(shared) >= AGREEMENTS) & (F.array_min(shared) == one["entry"])
+        # a pair is made once: in the bucket of its smallest common entry
+        worth = (F.col("id") > F.col("b")) & (F.col("component") != F.col("other")) & close("n", "m")
+        worth = worth & (F.array_min(shared) == one["entry"])
         new = one.join(other, (one["entry"] == other["entry"]) & worth).select(F.col("id").alias("a"), "b").distinct()
         new = written(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = pairs.unionByName(new)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -119,6 +120,35 @@ def test_members_unlike_the_first_of_their_bucket(spark, prose):
     assert found == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3}
 
 
+def test_short_pairs_behind_a_smaller_id(spark, prose):
+    """Texts that just reach the similarity, in buckets whose smallest id is like neither."""
+    rows, pairs = [], []
+    for kind, (words, more) in enumerate([((8, 0), 1), ((9, 0), 1), ((13, 1), 1), ((22, 2), 2)]):
+        for k in range(40):
+            length, dropped = words
+            text = [f"{w}{kind}x{k}" for w in prose(1000 * kind + k, length)]
+            text = [f"{w}n{i}" for i, w in enumerate(text)]
+            other = text[: length - dropped] + [f"new{kind}x{k}n{i}" for i in range(more)]
+            third = text[: length // 2 + 3] + [f"far{kind}x{k}n{i}" for i in range(length)]
+            at = len(rows)
+            rows += [(at, " ".join(third)), (at + 1, " ".join(text)), (at + 2, " ".join(other))]
+            pairs.append(at)
+    found = {r["doc_id"]: r["class_id"] for r in classes(spark, rows).collect()}
+    assert found == {at + k: at + min(k, 1) for at in pairs for k in range(3)} == brute(rows)
+
+
+def test_probability_of_a_common_entry_at_every_length():
+    """Of longer texts at the similarity; texts of EXACT shingles and less are found by rarest shingles."""
+    worst = 1.0
+    for n in range(O.EXACT + 1, 400):
+        for m in range(n, int(n / O.SIMILARITY) + 1):
+            shared = -(-4 * (n + m) // 9)  # the smallest L with L / (n + m - L) >= 0.8
+            if shared <= n:
+                agrees = math.comb(shared, O.PICKS) / math.comb(n + m - shared, O.PICKS)
+                worst = min(worst, 1 - (1 - agrees) ** O.ENTRIES)
+    assert worst > 0.99999
+
+
 def test_components(spark):
     chance = random.Random(6)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, 5), (7, 3), (3, 7)]
