@@ -144,7 +144,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     partly = changed.where(~F.col("copy")).select(
         F.col("id").alias("cut_id"), F.col("digest").alias("cut_digest"), "n_removed", _kept_digest(F.col("text")).alias("cut")
     )
-    copies = changed.where("copy").select(F.col("id").alias("copy_id"), "copy")
+    copies = changed.where("copy").select(F.col("id").alias("copy_id"), F.col("digest").alias("copy_digest"), "copy")
     counted = docs.select(
         "doc_id",
         F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
@@ -153,7 +153,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         _kept_digest(F.col("text")).alias("whole"),
     )
     found = counted.join(partly, (F.col("id") == F.col("cut_id")) & (F.col("digest") == F.col("cut_digest")), "left")
-    found = found.join(copies, F.col("id") == F.col("copy_id"), "left")
+    found = found.join(copies, (F.col("id") == F.col("copy_id")) & (F.col("digest") == F.col("copy_digest")), "left")
     gone = F.coalesce("copy", F.lit(False)) & (F.col("n_words") >= substring_dedup.WINDOW)
     return found.select(
         "doc_id",

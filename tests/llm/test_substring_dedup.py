@@ -82,6 +82,24 @@ def test_repeated_rows_and_empty_table(spark, prose):
     assert run(spark, []) == []
 
 
+def test_different_texts_without_id_or_with_one_id(spark, prose):
+    passage, own, other = prose(1, 30), prose(2, 40), prose(3, 45)
+    rows = [
+        (None, " ".join(prose(4, 35))),
+        (None, " ".join(passage + prose(5, 10) + passage)),
+        (1, " ".join(own)),
+        (5, " ".join(own)),  # a copy
+        (5, " ".join(other)),  # clean, under the same id
+        (6, " ".join(other + ["end"])),
+    ]
+    removed = {text: n for (_, text), n in zip(rows, [0, 30, 0, 40, 0, 45])}
+    removed[rows[3][1]] = None  # the text of 1 and 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = S.remove_repeats(docs.withColumn("was", docs["text"])).collect()
+    assert {r["was"]: r["n_removed"] for r in found if r["was"] != rows[2][1]} == {t: n for t, n in removed.items() if n is not None}
+    assert sorted((r["doc_id"], r["n_removed"]) for r in found if r["was"] == rows[2][1]) == [(1, 0), (5, 40)]
+
+
 def test_blanks_between_kept_words_stay(spark, prose):
     passage = " ".join(prose(1, 30))
     docs = spark.createDataFrame([(1, passage), (2, f"a  b\n{passage}\n c\td ")], "doc_id long, text string")
