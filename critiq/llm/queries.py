@@ -66,7 +66,7 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on the url of every page."""
-    judged = url_templates.judge_urls(_table(spark, folder, "pages").select("page_id", "url"))
+    judged = url_templates.judge_urls(_table(spark, folder, "pages").select("page_id", "url"), depth=None)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 

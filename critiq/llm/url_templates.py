@@ -17,8 +17,9 @@ grouped sum that is added up before it is shuffled. Verdicts go back to the page
 shape; a host with a third of all pages makes that join uneven, which adaptive execution splits.
 
 Edge cases: a null url and one without `://` have an empty host and path, and are judged as a
-host of that name. Paths deeper than `depth` segments are judged by their first ones. Without
-labels nothing is blocked. Rows are judged one by one; input columns stay, one that has the name
+host of that name. With a `depth`, deeper paths are judged by their first segments; without one, level
+by level to their last. Paths of fewer than three segments end as a branch of their own down to the
+third level. Without labels nothing is blocked. Rows are judged one by one; input columns stay, one that has the name
 of a result is replaced.
 """
 
@@ -34,6 +35,7 @@ from critiq.llm.rows import give_back, hold
 from critiq.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Levels of the tree that every path goes through; those of a call without `depth=None` in all.
 DEPTH = 3
 #: Children become a wildcard if they take more values than this, each on fewer pages than that.
 MOST_VALUES, FEWEST_PAGES = 20, 3
@@ -85,24 +87,28 @@ def judged_by(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Co
     return name, verdict
 
 
-def _segments(path: Column, depth: int) -> list[Column]:
-    """The first segments of a path with digits generalised; null where the path has ended."""
+def _segments(path: Column, depth: int | None) -> Column:
+    """The segments of a path with digits generalised, or the first ones of them."""
     parts = F.array_remove(F.split(path, "/"), "")
-    return [F.regexp_replace(F.get(parts, k), "[0-9]+", "{n}") for k in range(depth)]
+    parts = parts if depth is None else F.slice(parts, 1, depth)
+    return F.transform(parts, lambda part: F.regexp_replace(part, "[0-9]+", "{n}"))
 
 
-def shapes_of(pages: DataFrame, depth: int) -> DataFrame:
-    """(host, s1.., pages, labelled, blocked) from host, s1.. and label (1 blocked, 0 allowed, or null)."""
-    steps = [f"s{k + 1}" for k in range(depth)]
-    return pages.groupBy("host", *steps).agg(
+def shapes_of(pages: DataFrame) -> DataFrame:
+    """(host, segments, pages, labelled, blocked) from host, segments and label (1 blocked, 0 allowed, or null)."""
+    return pages.groupBy("host", "segments").agg(
         F.count("*").alias("pages"),
         F.count("label").alias("labelled"),
         F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"),
     )
 
 
-def template_purity(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, s1.., template, purity) of every shape."""
+def template_purity(shapes: DataFrame, depth: int | None = DEPTH) -> DataFrame:
+    """(host, segments, template, purity) of every shape."""
+    every = DEPTH if depth is None else depth
+    deepest = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
+    levels = max(every, deepest) if depth is None else depth
+    results, ended = ["host", "segments", "template", "purity"], []
     total = shapes.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
     overall = total["blocked"] / total["labelled"] if total["labelled"] else 0.0
 
@@ -110,8 +116,12 @@ def template_purity(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
     purity = (F.col("b") + PRIOR * overall) / (F.col("n") + PRIOR)
     tree = shapes.join(of_host.select("host", purity.alias("purity")), "host")
     tree = written(tree.withColumn("template", F.lit("")), "url-tree")
-    for k in range(depth):
-        step, above = f"s{k + 1}", ["host", "template"]
+    for k in range(levels):
+        if k >= every:
+            ended.append(tree.where(F.size("segments") <= k).select(*results))
+            tree = tree.where(F.size("segments") > k)
+        step, above = "step", ["host", "template"]
+        tree = tree.withColumn(step, F.get("segments", F.lit(k)))
         values = tree.where(F.col(step).isNotNull()).groupBy(*above, step).agg(F.sum("pages").alias("n"))
         wide = values.groupBy(*above).agg(F.count("*").alias("values"), F.sum("n").alias("n"))
         many = (F.col("values") > MOST_VALUES) & (F.col("n") < FEWEST_PAGES * F.col("values"))
@@ -130,9 +140,8 @@ def template_purity(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
         b = F.when(F.col("alike"), F.col("b_alike")).otherwise(F.col("b"))
         below = (b + PRIOR * F.col("purity")) / (n + PRIOR)
         tree = tree.drop("purity").join(sums.select(*above, "branch", below.alias("purity")), [*above, "branch"])
-        tree = written(tree.drop("template").withColumnRenamed("branch", "template"), "url-tree")
-    steps = [f"s{k + 1}" for k in range(depth)]
-    return tree.select("host", *steps, "template", "purity")
+        tree = written(tree.drop("template").withColumnRenamed("branch", "template").drop(step), "url-tree")
+    return reduce(DataFrame.unionByName, ended, tree.select(*results))
 
 
 def judge_urls(
@@ -140,26 +149,24 @@ def judge_urls(
     rules: list[Rule] = RULES,
     url_col: str = "url",
     label: Column | None = None,
-    depth: int = DEPTH,
+    depth: int | None = DEPTH,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """All rows and columns of `pages` with host, path, rule, template, purity and verdict.
 
     `label` is an integer column of `pages` (1 for bad pages, 0 for good ones, else null); without
     it the rules' verdicts are the labels. `template` and `purity` are those of the method, also
-    where a rule decides.
+    where a rule decides. With `depth=None` paths are judged down to their last segment.
     """
     host, path = host_and_path(F.col(url_col))
     held = hold(pages, host=host, path=path, given=F.lit(None).cast("int") if label is None else label)
     name, verdict = judged_by(rules, F.col("host"), F.col("path"))
-    steps = _segments(F.col("path"), depth)
-    held = held.withColumns({"rule": name, "by_rule": verdict, **{f"s{k + 1}": s for k, s in enumerate(steps)}})
+    held = held.withColumns({"rule": name, "by_rule": verdict, "segments": _segments(F.col("path"), depth)})
     by_rule = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
-    names = [f"s{k + 1}" for k in range(depth)]
-    labelled = held.select("host", *names, (by_rule if label is None else F.col("given")).alias("label"))
-    shapes = written(shapes_of(labelled, depth), "url-shapes")
+    labelled = held.select("host", "segments", (by_rule if label is None else F.col("given")).alias("label"))
+    shapes = written(shapes_of(labelled), "url-shapes")
     templates = template_purity(shapes, depth)
-    keys = [held["host"] == templates["host"], *[held[n].eqNullSafe(templates[n]) for n in names]]
-    found = held.join(templates.hint("merge"), keys, "left").drop(templates["host"], *[templates[n] for n in names])
+    keys = [held[n] == templates[n] for n in ("host", "segments")]
+    found = held.join(templates.hint("merge"), keys, "left").drop(templates["host"], templates["segments"])
     method = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
     return give_back(found.withColumn("verdict", F.coalesce("by_rule", method)), pages, RESULTS)

@@ -65,6 +65,24 @@ def test_many_values_become_a_wildcard_and_alike_branches_one(spark):
     assert len({r["purity"] for r in found.values()}) == 1  # merged, because their labels do not differ
 
 
+def test_templates_that_differ_at_the_fifth_segment(spark):
+    rows = [(f"x://h.net/a/b/c/d/{kind}/{i}", bad) for kind, bad in (("spam", 1), ("news", 0)) for i in range(40)]
+    rows += [("x://h.net/a/b/c/d/spam/999", None), ("x://h.net/a/b/c/d/news/999", None), ("x://h.net/a/b", None)]
+    pages = spark.createDataFrame([(i, u, label) for i, (u, label) in enumerate(rows)], "page_id long, url string, bad int")
+    found = {r["page_id"]: r for r in U.judge_urls(pages, rules=[], label=pages["bad"], depth=None).collect()}
+    assert len(found) == 83 and [found[i]["verdict"] for i in (80, 81, 82)] == ["block", "allow", "allow"]
+    assert [found[i]["template"] for i in (80, 81, 82)] == ["/a/b/c/d/spam/{n}", "/a/b/c/d/news/{n}", "/a/b"]
+
+
+def test_query_reads_whole_paths(spark, tmp_path):
+    from critiq.llm.queries import QUERIES
+
+    urls = [(1, "x://h.com/a/b/c/d/e/f"), (2, "x://h.com/a"), (3, None)]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["op2_url_templates"](spark, str(tmp_path)).collect()
+    assert {r["page_id"]: r["template"] for r in found} == {1: "/a/b/c/d/e/f", 2: "/a", 3: ""}
+
+
 def test_edge_cases(spark):
     urls = ["x://h.com/de/1"] * 3 + [None, None, "x://h.com//a///b/c/d/e/f"]
     found = judge(spark, urls)
