@@ -241,3 +241,20 @@ SELECT *, n_words AS n_grams, n_words < 10 OR 100 * n_repeat_words > 20 * n_word
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ratio_units >= -2000 * n_words AS kept
 FROM counted
 """
+
+ORACLES["op13_block_neighbours"] = r"""
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, q.e AS own, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND (q.vec_id <> c.vec_id OR q.e <> c.e)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT query_id, vec_id, score,
+             row_number() OVER (PARTITION BY query_id, own ORDER BY round(score, 12) DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""

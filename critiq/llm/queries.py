@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from critiq.llm import (
+    block_neighbours,
     decontaminate,
     language_mixture,
     order_minhash,
@@ -163,6 +164,12 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_block_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return block_neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_templates": op2_url_templates,
@@ -174,4 +181,5 @@ QUERIES: dict[str, Query] = {
     "op8_language_mixture": op8_language_mixture,
     "op9_order_minhash": op9_order_minhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_block_neighbours": op13_block_neighbours,
 }
