@@ -82,9 +82,9 @@ class Slice:
         # a power of two changes no digit; squares then neither overflow nor vanish
         _, power = np.frexp(np.abs(self.exact).max(axis=1))
         scaled = np.ldexp(self.exact, -power[:, None])
-        self.lengths = np.sqrt((scaled * scaled).sum(axis=1))
+        self.squares = (scaled * scaled).sum(axis=1)
         self.scaled = scaled
-        unit = scaled / self.lengths[:, None]
+        unit = scaled / np.sqrt(self.squares)[:, None]
         self.step = np.abs(unit).max(axis=1) / 127
         self.int8 = np.rint(unit / self.step[:, None]).astype(np.int8)
         rounded = self.int8 * self.step[:, None]
@@ -110,7 +110,7 @@ def cosines(a: Slice, i: np.ndarray, b: Slice, j: np.ndarray) -> np.ndarray:
     step = max(1, (8 << 20) // (8 * a.scaled.shape[1]))
     for start in range(0, len(i), step):
         x, y = i[start : start + step], j[start : start + step]
-        out[start : start + step] = (a.scaled[x] * b.scaled[y]).sum(axis=1) / (a.lengths[x] * b.lengths[y])
+        out[start : start + step] = (a.scaled[x] * b.scaled[y]).sum(axis=1) / np.sqrt(a.squares[x] * b.squares[y])
     return out
 
 

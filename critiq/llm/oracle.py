@@ -258,3 +258,41 @@ FROM (SELECT query_id, vec_id, score,
              row_number() OVER (PARTITION BY query_id, own ORDER BY round(score, 12) DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 5
 """
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH crc_table AS MATERIALIZED (
+  SELECT list(c ORDER BY n) AS crc_table
+  FROM (SELECT n, list_reduce(list_concat([n], range(0, 8)), lambda c, k:
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS n))
+), turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), own AS MATERIALIZED (
+  SELECT conv_id, list({'id': id, 'b': b} ORDER BY turn NULLS FIRST, id) AS own,
+         CAST(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+                lambda c, d: xor(c >> 8, any_value(crc_table)[(xor(c, d) & 255) + 1])), 4294967295) % 9 AS BIGINT) AS h
+  FROM (SELECT conv_id, turn, md5(concat(CAST(strlen(r) AS VARCHAR), ':', r, x)) AS id, strlen(x) AS b FROM turns), crc_table
+  GROUP BY conv_id
+), built AS (
+  SELECT c.conv_id, list_concat(coalesce(p.own[1:c.h], []), c.own[c.h + 1:]) AS s
+  FROM own c LEFT JOIN own p ON p.conv_id = c.conv_id - c.conv_id % 5
+), places AS (
+  SELECT conv_id, len(s) AS whole, d, array_to_string(list_transform(s[1:d], lambda t: t.id), '') AS prefix, coalesce(s[d].b, 0) AS b
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)
+), nodes AS MATERIALIZED (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = whole) AS ends
+  FROM places GROUP BY d, prefix
+), children AS (
+  SELECT d - 1 AS d, left(prefix, CAST(32 * (d - 1) AS BIGINT)) AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), counted AS MATERIALIZED (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (d, prefix)
+), subtrees AS (
+  SELECT k AS d, left(prefix, CAST(32 * k AS BIGINT)) AS prefix,
+         count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * b) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM counted) GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+       sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM counted n JOIN subtrees s USING (d, prefix)
+  LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = left(n.prefix, CAST(32 * (n.d - 1) AS BIGINT))
+"""

@@ -14,6 +14,7 @@ from critiq.llm import (
     decontaminate,
     language_mixture,
     order_minhash,
+    prefix_trie,
     quality_fm,
     quality_rules,
     sentencepiece_codec,
@@ -164,12 +165,23 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the trie of conversations, of which four in five begin as another one does."""
+    convs = prefix_trie.conversations(_table(spark, folder, "conversations"))
+    conv = F.col("conv_id")
+    shared = (F.crc32(conv.cast("string").cast("binary")) % SHARED_TURNS).cast("int")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(convs, conv - conv % 5, shared, SHARED_TURNS - 1))
+
+
 def op13_block_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50."""
     vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
     return block_neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
+#: A conversation shares fewer turns than this with the one it begins as.
+SHARED_TURNS = 9
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_templates": op2_url_templates,
@@ -181,5 +193,6 @@ QUERIES: dict[str, Query] = {
     "op8_language_mixture": op8_language_mixture,
     "op9_order_minhash": op9_order_minhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_block_neighbours": op13_block_neighbours,
 }

@@ -56,7 +56,7 @@ def test_edge_rows(spark):
     rows = [
         (0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [2.0, -1.0]), (1, [1.0, 2.0]), (2, [2.0, 4.0]), (50, [1.0, 2.0]), (3, [0.0, 0.0]),
         (100, [0.0, 0.0]), (150, None), (200, [1.0, None]), (250, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]),
-        (300, []), (350, [1.0, 1.0, 1.0]), (400, [1e-30, 2e-30]), (450, [3e38, 3e38]), (5, [-0.0, 1.0]), (6, [0.0, 1.0]),
+        (300, []), (350, [1.0, 1.0, 1.0]), (400, [1e-30, 3e-30]), (450, [3e38, 3e38]), (5, [-0.0, 1.0]), (6, [0.0, 1.0]),
     ]
     found = run(spark, rows)
     assert found == brute(rows)
