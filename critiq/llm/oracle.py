@@ -296,3 +296,31 @@ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_chil
 FROM counted n JOIN subtrees s USING (d, prefix)
   LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = left(n.prefix, CAST(32 * (n.d - 1) AS BIGINT))
 """
+
+ORACLES["op11_ranked_search"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), asked AS MATERIALIZED (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0
+), wanted AS (
+  SELECT item, term, count(*) AS times FROM (SELECT item, unnest(t) AS term FROM asked) GROUP BY item, term
+), counted AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM wanted) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counted, totals GROUP BY term
+), lengths AS (
+  SELECT r, doc_id, 75 + (25 * len(t) * n_docs) // n_terms AS m FROM d, totals
+), scored AS (
+  SELECT item, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (r) GROUP BY item, r, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+  JOIN asked USING (item)
+WHERE rank <= 20
+"""

@@ -17,6 +17,7 @@ from critiq.llm import (
     prefix_trie,
     quality_fm,
     quality_rules,
+    ranked_search,
     sentencepiece_codec,
     shard_table,
     substring_dedup,
@@ -165,6 +166,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: A conversation shares fewer turns than this with the one it begins as.
+SHARED_TURNS = 9
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """The nodes of the trie of conversations, of which four in five begin as another one does."""
     convs = prefix_trie.conversations(_table(spark, folder, "conversations"))
@@ -179,8 +184,11 @@ def op13_block_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return block_neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
-#: A conversation shares fewer turns than this with the one it begins as.
-SHARED_TURNS = 9
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents for every test item."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return ranked_search.rank_documents(docs, _table(spark, folder, "benchmark").select("item_id", "text"))
+
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -193,6 +201,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_mixture": op8_language_mixture,
     "op9_order_minhash": op9_order_minhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ranked_search": op11_ranked_search,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_block_neighbours": op13_block_neighbours,
 }
