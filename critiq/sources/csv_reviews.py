@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from critiq import fixed_values as fixed
 from critiq.operators.ordered import row_positions
-
-
-#: Above so many scan tasks the table of file blocks is joined instead of broadcast.
-BROADCAST_BLOCKS = 100_000
+from critiq.sources import limits
 
 
 def resolve_csv(spark: SparkSession, path: str, fallback_folder: str) -> str:
@@ -33,55 +33,26 @@ def _null_missing(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(~F.col(f"`{c}`").isin(missing), F.col(f"`{c}`")) for c in rows.columns if c != "position"})
 
 
-def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
-
-
-def read_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """All columns as text, quoted line breaks kept, cells that mean 'missing' as null.
-
-    With a limit, the first rows in the order of path and offset.
-    """
-    return _null_missing(first_rows(_raw_csv(spark, path), limit))
-
+def _reader(spark: SparkSession, path: str, limit: int | None) -> limits.Reader:
+    """Reads CSV files; with a limit the first file names the columns of all."""
 
-def file_positions(rows: DataFrame, name: str = "position") -> DataFrame:
-    """Add the zero-based position of rows as read from files, in the order of path and offset.
+    def read(paths: Sequence[str], schema: StructType | None = None) -> DataFrame:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.csv(list(paths), header=True, multiLine=True, escape='"')
 
-    Numbering within a file block comes with the scan; only the block sizes are
-    aggregated.
-    """
-    blocks = rows.rdd.getNumPartitions()  # of a scan: a task reads at least one block
-    located = rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-    ).withColumn("_id", F.monotonically_increasing_id())
-    sizes = located.groupBy("_path", "_start").agg(
-        F.count("*").alias("_rows"), F.min("_id").alias("_first")
-    )
-    # One row per file block.
-    earlier = W.orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_path", "_start", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
-    )
-    # one row per file block: a few bytes for every block of a whole file system directory
-    offsets = F.broadcast(offsets) if blocks <= BROADCAST_BLOCKS else offsets
-    return (
-        located.join(offsets, ["_path", "_start"])
-        .withColumn(name, F.col("_id") - F.col("_first") + F.col("_before"))
-        .drop("_path", "_start", "_id", "_first", "_before")
-    )
+    if not limit:
+        return read
+    files = limits.files_in_order(spark, path)
+    schema = read(files[:1] or [path]).schema or read([path]).schema
+    return lambda paths: read(paths, schema)
 
 
-def first_rows(rows: DataFrame, limit: int | None) -> DataFrame:
-    """The first rows as read from files, in the order of path and offset; all for None or 0.
+def read_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """All columns as text, quoted line breaks kept, cells that mean 'missing' as null.
 
-    Every task numbers its own rows and keeps those below the limit.
+    With a limit, the first rows in the order of path and offset; files behind them are not read.
     """
-    if not limit:
-        return rows
-    return file_positions(rows, "_place").where(F.col("_place") < limit).drop("_place")
+    return _null_missing(limits.first_rows(spark, path, _reader(spark, path, limit), limit))
 
 
 def _rating(on_bad: str) -> Column:
@@ -137,7 +108,8 @@ def load_reviews(
     """Review CSV in the common shape, rows numbered in file order; the first `limit` of them if given."""
     if fallback_folder is not None:
         path = resolve_csv(spark, path, fallback_folder)
-    placed = file_positions(_raw_csv(spark, path))
+    read = _reader(spark, path, limit)
+    placed = limits.file_positions(read(limits.first_files(spark, path, read, limit)))
     if limit:
         placed = placed.where(F.col("position") < limit)
     return normalize_reviews(_null_missing(placed), on_bad=on_bad, position="position")

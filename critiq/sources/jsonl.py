@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from critiq.session import spread_rows
-from critiq.sources.csv_reviews import first_rows
+from critiq.sources.limits import first_lines
 
 #: A value that is one of the names Python's JSON writer uses for numbers beyond JSON.
 NOT_FINITE = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,\]}])"
@@ -38,7 +38,7 @@ def _read_items(
 ) -> DataFrame:
     """The lines with the wanted fields as variants: null if missing, variant null if null."""
     # The limit counts lines in file order, unusable ones included; 0 means all.
-    lines = first_rows(spark.read.text(path), limit)
+    lines = first_lines(spark, path, limit)
     # Of a key that stands twice in an object the last value counts.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # A gzip file is one split, and parsing costs more than dealing out its lines.

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from critiq.sources.csv_reviews import first_rows
+from critiq.sources.limits import first_lines
 
 
 def read_lines(spark: SparkSession, path: str, sample_size: int | None = None) -> DataFrame:
     """Lines of a file, the first sample_size of them if given."""
-    return first_rows(spark.read.text(path), sample_size)
+    return first_lines(spark, path, sample_size)
 
 
 def json_fields(records: DataFrame, column: str = "value", key: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from critiq import fixed_values as fixed
-from critiq.sources.csv_reviews import file_positions
+from critiq.sources.limits import file_positions
 from critiq.sources.jsonl import Scan
 
 

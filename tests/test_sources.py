@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from critiq.operators import tables
-from critiq.sources import artifacts, csv_reviews, jsonl, profile
+from critiq.sources import artifacts, csv_reviews, jsonl, limits, profile
 
 
 def write_lines(path, lines):
@@ -136,7 +136,7 @@ def test_file_positions_over_several_files(spark, tmp_path):
     for name, start in (("a", 0), ("b", 100), ("c", 200)):
         (tmp_path / f"{name}.csv").write_text("v\n" + "".join(f"{start + i}\n" for i in range(50)))
     rows = spark.read.csv(str(tmp_path), header=True)
-    placed = {int(r["v"]): r["position"] for r in csv_reviews.file_positions(rows).collect()}
+    placed = {int(r["v"]): r["position"] for r in limits.file_positions(rows).collect()}
     assert placed == {start + i: k * 50 + i for k, start in enumerate((0, 100, 200)) for i in range(50)}
 
 
@@ -189,3 +189,58 @@ def test_profile(spark, tmp_path):
         ("d", "null"), ("e", "1.5"), ("a", "s"), ("f", "true"),
     }
     assert profile.json_profile(profile.read_lines(spark, path, 2)).count() == 5
+
+
+def numbered_files(folder, sizes, name="part-%03d.txt"):
+    """Text files of running numbers; the last one cannot be read."""
+    n = 0
+    for i, size in enumerate(sizes):
+        (folder / (name % i)).write_text("".join(f"{n + k}\n" for k in range(size)))
+        n += size
+    (folder / "zz-broken.txt.gz").write_bytes(b"no gzip at all")
+    return n
+
+
+def test_a_limit_leaves_later_files_alone(spark, tmp_path):
+    total = numbered_files(tmp_path, [3, 0, 40, 1, 1, 1, 1, 90, 5, 7, 200] + [1] * 20)
+    for limit in (1, 3, 4, 43, 44, 46, 47, 48, 137, 138, 340):
+        found = sorted(int(r["value"]) for r in limits.first_lines(spark, str(tmp_path), limit).collect())
+        assert found == list(range(limit))
+    with pytest.raises(Exception):
+        limits.first_lines(spark, str(tmp_path), total + 1).collect()
+
+
+def test_files_counted_for_a_limit(spark):
+    sizes = {f"f{i:02d}": s for i, s in enumerate([2, 2, 2, 50, 2, 2] + [9] * 30)}
+    asked = []
+
+    def read(paths):
+        asked.append(list(paths))
+        return spark.range(sum(sizes[p] for p in paths))
+
+    whole, last, left = limits.leading_files(sorted(sizes), read, 57)
+    assert (whole, last, left) == ([f"f{i:02d}" for i in range(4)], "f04", 1)
+    assert max(p for paths in asked for p in paths) <= "f06"
+    assert limits.leading_files(sorted(sizes), read, 10_000) == (sorted(sizes), None, 0)
+    assert limits.leading_files([], read, 3) == ([], None, 0)
+
+
+def test_a_limit_inside_a_file_of_many_splits(spark, tmp_path):
+    numbered_files(tmp_path, [500, 3])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        found = sorted(int(r["value"]) for r in limits.first_lines(spark, str(tmp_path), 321).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == list(range(321))
+
+
+def test_a_csv_limit_leaves_later_files_alone(spark, tmp_path):
+    for i in range(12):
+        rows = "".join(f'"t{3 * i + k}","line\nbreak"\n' for k in range(3))
+        (tmp_path / f"p{i:02d}.csv").write_text("Title,description\n" + rows)
+    (tmp_path / "zz.csv.gz").write_bytes(b"no gzip at all")
+    for limit in (1, 3, 5, 12):
+        assert sorted(r["Title"] for r in csv_reviews.read_csv(spark, str(tmp_path), limit).collect()) == sorted(f"t{i}" for i in range(limit))
+        found = csv_reviews.load_reviews(spark, str(tmp_path), limit).collect()
+        assert sorted((r["asin"], r["title"]) for r in found) == sorted((f"book_{i}", f"t{i}") for i in range(limit))
