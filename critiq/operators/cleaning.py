@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from critiq.functions import text as T
+from critiq.operators import lookup
 from critiq.operators.bounds import LITERAL_ENTRIES, rows_if_small
 
 
@@ -23,7 +24,7 @@ def clean_texts(
 
     `lemmas` has the columns token and lemma. A word without a lemma, or with a
     null one, stays; of several lemmas the last in the alphabet counts. A small table is
-    written into the plan, a larger one is joined, with the same result.
+    written into the plan, a larger one is broadcast in blocks, with the same result.
     """
     split = docs.select(*key, T.content_tokens(F.col(text), stop_words).alias("_words"))
     if lemmas is None:
@@ -41,18 +42,8 @@ def clean_texts(
             lambda word: F.when(word.isin(list(pairs)), F.try_element_at(lemma_of, word)).otherwise(word),
         )
         return split.select(*key, F.array_join(replaced, " ").alias("cleaned_text"))
-    # Lists of words are told apart by a digest, so rows need no key.
-    split = split.withColumn("_list", F.sha2(F.to_json("_words"), 256))
-    lists = split.select("_list", "_words").dropDuplicates(["_list"])
-    words = lists.select("_list", F.posexplode_outer("_words").alias("place", "token"))
-    joined = words.where("token IS NOT NULL").join(known, "token", "left")
-    # One list per text, as long as the text has words.
-    placed = F.array_sort(F.collect_list(F.struct("place", F.coalesce("lemma", "token").alias("word"))))
-    texts = joined.groupBy("_list").agg(
-        F.array_join(F.transform(placed, lambda w: w["word"]), " ").alias("cleaned_text")
-    )
-    # A text without words has no list; a missing text stays missing.
-    none = F.when(F.col("_words").isNotNull(), F.lit(""))
-    return split.withColumn("_none", none).drop("_words").join(texts, "_list", "left").select(
-        *key, F.coalesce("cleaned_text", "_none").alias("cleaned_text")
-    )
+    replaced = F.col("_words")
+    for block in lookup.dictionary_blocks(known, "token", split, F.col("_words")):
+        found = lookup.replacements(F.col("_words"), block)
+        replaced = F.zip_with(found, replaced, lambda lemma, word: F.coalesce(lemma, word))
+    return split.select(*key, F.array_join(replaced, " ").alias("cleaned_text"))

@@ -1,9 +1,10 @@
 """Severity-weighted word lists matched against texts.
 
 A word matches wherever it occurs, inside longer words too. Word lists of up
-to LITERAL_ENTRIES rows are written into the plan, and every operator is then a
-map over the texts without a shuffle. Longer lists meet the texts in a join on
-the first characters of each word.
+to LITERAL_ENTRIES rows are written into the plan; longer ones are broadcast in
+blocks, each searched for by one automaton. Either way every operator is a map
+over the texts without a shuffle. Without word lists nothing matches. An entry
+without a word or a list is left out; a missing severity weighs nothing.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from critiq import fixed_values as fixed
+from critiq.operators import lookup
 from critiq.operators.bounds import LITERAL_ENTRIES, rows_if_small
 
 WORD_LIST_SCHEMA = "list_name string, word string, category string, severity int, position long"
 _MATCH = "array<struct<list_name: string, word: string, severity: int, position: bigint, needle: string>>"
-PREFIX = 3
 
 
 def default_word_lists(spark: SparkSession) -> DataFrame:
@@ -41,65 +42,37 @@ def words_by_severity(words: DataFrame, low: int = 1, high: int = 5) -> DataFram
     return words.filter(F.col("severity").between(low, high))
 
 
-def _literal_words(rows: Sequence) -> Column:
-    entries = [
-        {
-            "list_name": row["list_name"],
-            "word": row["word"],
-            "severity": row["severity"],
-            "position": row["position"],
-            "needle": row["word"].lower(),
-        }
-        for row in sorted(rows, key=lambda row: (row["list_name"], row["position"]))
-    ]
-    return F.from_json(F.lit(json.dumps(entries)), _MATCH)
+def _entries(words: DataFrame) -> DataFrame:
+    """The entries with what is looked for; those without a word or a list are left out."""
+    listed = words.where(F.col("word").isNotNull() & F.col("list_name").isNotNull())
+    return listed.select(
+        "list_name", "word", F.col("severity").cast("int").alias("severity"), F.col("position").cast("long").alias("position"),
+        F.lower("word").alias("needle"),
+    )
 
 
 def _matches_in_row(text: Column, rows: Sequence) -> Column:
+    entries = F.from_json(F.lit(json.dumps([row.asDict() for row in rows])), _MATCH)
     # The one-element array binds the lower-case text once for all words.
     return F.transform(
         F.array(F.lower(text)),
-        lambda lowered: F.filter(
-            _literal_words(rows), lambda entry: F.contains(lowered, entry["needle"])
-        ),
+        lambda lowered: F.filter(entries, lambda entry: F.contains(lowered, entry["needle"])),
     )[0]
 
 
-def _text_id(text: str) -> Column:
-    return F.sha2(F.col(text).cast("binary"), 256).alias("_text_id")
-
-
-def _matches_by_join(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
-    """(_text_id and entry) of every distinct text and entry found in it.
-
-    Candidates share the first characters of a word; the text then decides. Texts are told apart
-    by a digest, so rows need no key, and equal texts are searched once.
-    """
-    entries = words.select(
-        "list_name", "word", "severity", "position", F.lower("word").alias("needle")
-    ).withColumn("gram", F.left("needle", F.lit(PREFIX)))
-    lowered = df.select(_text_id(text), F.lower(text).alias("_text"))
-    lowered = lowered.where(F.col("_text").isNotNull()).dropDuplicates(["_text_id"])
-    lengths = entries.agg(F.collect_set(F.length("gram"))).first()[0]  # at most PREFIX numbers
-    grams = F.flatten(
-        F.array(
-            *[
-                F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
-                for length in sorted(lengths)
-            ]
-        )
-    )
-    candidates = (
-        lowered.select("_text_id", F.explode(F.array_distinct(grams)).alias("gram"))
-        .join(entries, "gram")
-        .drop("gram")
-    )
-    found = candidates.join(lowered, "_text_id").filter(F.contains("_text", "needle"))
-    return found.drop("_text", "needle")
-
-
-def _small(words: DataFrame, entries: int) -> list | None:
-    return rows_if_small(words.select("list_name", "word", "severity", "position"), entries)
+def _matches(text: str, words: DataFrame, literal_entries: int) -> Column:
+    """The entries found in a text as an array, in the order of list and position; empty for a missing text."""
+    entries = _entries(words)
+    rows = rows_if_small(entries, literal_entries)
+    none = F.array().cast(_MATCH)
+    if rows == []:
+        return none
+    if rows is not None:
+        in_order = sorted(rows, key=lambda row: (row["list_name"], row["position"] is not None, row["position"] or 0, row["word"]))
+        return F.coalesce(_matches_in_row(F.col(text), in_order), none)
+    ordered = entries.orderBy("list_name", "position", "word")
+    found = [lookup.matcher(F.lower(text), block, _MATCH) for block in lookup.blocks(ordered)]
+    return found[0] if len(found) == 1 else F.concat(*found)
 
 
 def content_matches(
@@ -110,27 +83,23 @@ def content_matches(
     literal_entries: int = LITERAL_ENTRIES,
 ) -> DataFrame:
     """One row per text and word-list entry found in it, however often it occurs."""
-    rows = _small(words, literal_entries)
-    if rows is None:
-        found = _matches_by_join(docs, text, words)
-        return docs.select(*key, _text_id(text)).join(found, "_text_id").drop("_text_id")
-    return docs.select(*key, F.inline(_matches_in_row(F.col(text), rows))).drop("needle")
+    return docs.select(*key, F.inline(_matches(text, words, literal_entries))).drop("needle")
 
 
-def _totals_in_row(matches: Column, names: Sequence[str]) -> Column:
-    """Per list with a match: number of matches and their total severity."""
+def _totals(matches: Column) -> Column:
+    """Per list with a match: number of matches and their total severity; a missing severity adds nothing."""
 
-    def total(name: str) -> Column:
+    def total(name: Column) -> Column:
         own = F.filter(matches, lambda match: match["list_name"] == name)
+        weight = F.aggregate(
+            own, F.lit(0).cast("long"), lambda acc, match: acc + F.coalesce(match["severity"], F.lit(0))
+        )
         return F.struct(
-            F.lit(name).alias("list_name"),
-            F.size(own).cast("long").alias("n_matches"),
-            F.aggregate(
-                own, F.lit(0).cast("long"), lambda acc, match: acc + match["severity"]
-            ).alias("total_severity"),
+            name.alias("list_name"), F.size(own).cast("long").alias("n_matches"), weight.alias("total_severity")
         )
 
-    return F.filter(F.array(*[total(name) for name in names]), lambda t: t["n_matches"] > 0)
+    names = F.array_distinct(F.transform(matches, lambda match: match["list_name"]))
+    return F.transform(names, total)
 
 
 def content_check(
@@ -141,17 +110,8 @@ def content_check(
     literal_entries: int = LITERAL_ENTRIES,
 ) -> DataFrame:
     """Per text and list with a match: number of matches and total severity."""
-    rows = _small(words, literal_entries)
-    if rows is None:
-        totals = (
-            _matches_by_join(docs, text, words)
-            .groupBy("_text_id", "list_name")
-            .agg(F.count("*").alias("n_matches"), F.sum("severity").alias("total_severity"))
-        )
-        return docs.select(*key, _text_id(text)).join(totals, "_text_id").drop("_text_id")
-    return docs.select(*key, _matches_in_row(F.col(text), rows).alias("_matches")).select(
-        *key, F.inline(_totals_in_row(F.col("_matches"), sorted({row["list_name"] for row in rows})))
-    )
+    found = docs.select(*key, _matches(text, words, literal_entries).alias("_matches"))
+    return found.select(*key, F.inline(_totals(F.col("_matches"))))
 
 
 def severity_summary(
@@ -181,65 +141,30 @@ def with_content_checks(
     """
     if lists is not None:
         words = words.filter(F.col("list_name").isin(list(lists)))
-    rows = _small(words, literal_entries)
-    if rows is None:
-        per_list = (
-            _matches_by_join(docs, text, words)
-            .groupBy("_text_id", "list_name")
-            .agg(
-                F.array_sort(F.collect_list(F.struct("position", "word", "severity"))).alias("found"),
-                F.sum("severity").alias("total"),
-            )
-        )
-        checks = per_list.groupBy("_text_id").agg(
-            F.map_from_entries(
-                F.array_sort(
-                    F.collect_list(
-                        F.struct(
-                            "list_name",
+    checked = (
+        docs.withColumn("_matches", _matches(text, words, literal_entries))
+        .withColumn("_totals", _totals(F.col("_matches")))
+        .withColumns(
+            {
+                "matches": F.map_from_entries(
+                    F.transform(
+                        "_totals",
+                        lambda t: F.struct(
+                            t["list_name"],
                             F.transform(
-                                "found", lambda m: F.struct(m["word"], m["severity"])
-                            ).alias("found"),
-                        )
+                                F.filter("_matches", lambda m: m["list_name"] == t["list_name"]),
+                                lambda m: F.struct(m["word"].alias("word"), m["severity"].alias("severity")),
+                            ),
+                        ),
                     )
-                )
-            ).alias("matches"),
-            F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct("list_name", "total")))
-            ).alias("severity_summary"),
-        )
-        checked = docs.withColumn("_text_id", _text_id(text)).join(checks, "_text_id", "left").drop("_text_id").withColumns(
-            {
-                "matches": F.coalesce("matches", F.create_map().cast("map<string,array<struct<word:string,severity:int>>>")),
-                "severity_summary": F.coalesce("severity_summary", F.create_map().cast("map<string,bigint>")),
+                ),
+                "severity_summary": F.map_from_entries(
+                    F.transform("_totals", lambda t: F.struct(t["list_name"], t["total_severity"]))
+                ),
             }
         )
-    else:
-        names = sorted({row["list_name"] for row in rows})
-        checked = (
-            docs.withColumn("_matches", F.coalesce(_matches_in_row(F.col(text), rows), F.array().cast(_MATCH)))
-            .withColumn("_totals", _totals_in_row(F.col("_matches"), names))
-            .withColumns(
-                {
-                    "matches": F.map_from_entries(
-                        F.transform(
-                            "_totals",
-                            lambda t: F.struct(
-                                t["list_name"],
-                                F.transform(
-                                    F.filter("_matches", lambda m: m["list_name"] == t["list_name"]),
-                                    lambda m: F.struct(m["word"].alias("word"), m["severity"].alias("severity")),
-                                ),
-                            ),
-                        )
-                    ),
-                    "severity_summary": F.map_from_entries(
-                        F.transform("_totals", lambda t: F.struct(t["list_name"], t["total_severity"]))
-                    ),
-                }
-            )
-            .drop("_matches", "_totals")
-        )
+        .drop("_matches", "_totals")
+    )
     within = F.forall(F.map_values("severity_summary"), lambda total: total <= max_severity)
     return checked.withColumn("is_appropriate", within)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from critiq import fixed_values as fixed
 from critiq.functions import text as T
+from critiq.operators import lookup
 from critiq.operators.bounds import LITERAL_ENTRIES, rows_if_small
 
 UNITS = 10_000
@@ -55,38 +56,22 @@ def tally_tokens(words: Column, lexicon: Mapping[str, float]) -> Column:
     )
 
 
-def _tally_by_join(df: DataFrame, words: Column, lexicon: DataFrame) -> DataFrame:
-    """The same tally for a lexicon of any size: words meet their scores in a join.
-
-    Lists of words are told apart by a digest, so rows need no key and equal lists are tallied once.
-    """
+def _tally_by_blocks(df: DataFrame, words: Column, lexicon: DataFrame) -> Column:
+    """The same tally for a lexicon of any size, which is broadcast in blocks."""
     exact = F.col("score") * UNITS
     finer = F.abs(exact - F.round(exact)) > 1e-6
     message = F.concat(F.lit("scores have four decimals at most: "), F.col("score").cast("string"))
     value = F.when(finer, F.raise_error(message).cast("long")).otherwise(F.round(exact).cast("long"))
     scores = lexicon.select("word", value.alias("value"))
-    df = df.withColumn("_list", F.sha2(F.to_json(words), 256))
-    key = ["_list"]
-    lists = df.select("_list", words.alias("_words")).dropDuplicates(["_list"])
-    occurrences = (
-        lists.select("_list", F.explode("_words").alias("word"))
-        .groupBy("_list", "word")
-        .agg(F.count("*").alias("n"))
-    )
-    tallies = (
-        occurrences.join(scores, "word")
-        .groupBy(*key)
-        .agg(
-            F.struct(
-                F.sum(F.col("n") * F.col("value")).alias("units"),
-                F.sum("n").alias("hits"),
-                F.sum(F.when(F.col("value") > 0, F.col("n")).otherwise(0)).alias("positive"),
-                F.sum(F.when(F.col("value") < 0, F.col("n")).otherwise(0)).alias("negative"),
-            ).alias("_tally")
-        )
-    )
-    zero = F.struct(*[F.lit(0).cast("long").alias(name) for name in ("units", "hits", "positive", "negative")])
-    return df.join(tallies, key, "left").withColumn("_tally", F.coalesce("_tally", zero)).drop("_list")
+    scores.agg(F.max("value")).first()  # stops at a score that is too fine
+    found = [lookup.tallies(words, block, TALLY_TYPE) for block in lookup.dictionary_blocks(scores, "word", df, words)]
+    if not found:
+        return tally_tokens(words, {})
+    if len(found) == 1:
+        return found[0]
+    added = F.array(*found)
+    names = ("units", "hits", "positive", "negative")
+    return F.struct(*[F.aggregate(added, F.lit(0).cast("long"), lambda total, t: total + t[n]).alias(n) for n in names])
 
 
 def _scores(tally: Column, n_words: Column) -> Column:
@@ -121,8 +106,8 @@ def with_word_sentiment(
     """Add struct (polarity, neg, neu, pos, compound) of a column of words.
 
     A lexicon given as a data frame (word, score) is read into the plan when it
-    has at most `literal_entries` words and joined otherwise, with the same
-    result. Scores have four decimals at most.
+    has at most `literal_entries` words and broadcast in blocks otherwise, with the
+    same result. Scores have four decimals at most.
     """
     if isinstance(lexicon, DataFrame):
         lexicon = _known_scores(lexicon)
@@ -130,9 +115,10 @@ def with_word_sentiment(
         if rows is not None:
             lexicon = {row["word"]: row["score"] for row in rows}
     if isinstance(lexicon, DataFrame):
-        tallied = _tally_by_join(df, F.col(words), lexicon)
+        tally = _tally_by_blocks(df, F.col(words), lexicon)
     else:
-        tallied = df.withColumn("_tally", tally_tokens(F.col(words), lexicon))
+        tally = tally_tokens(F.col(words), lexicon)
+    tallied = df.withColumn("_tally", tally)
     scores = _scores(F.col("_tally"), F.size(words))
     return tallied.withColumn(name, scores).drop("_tally")
 

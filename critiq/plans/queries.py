@@ -98,7 +98,7 @@ def clean_text_lemmas(spark, folder):
 
 @query
 def clean_text_lemmas_joined(spark, folder):
-    """The way for a lemma table too long to write into the plan, with the same result."""
+    """The way for a lemma table too long to write into the plan: broadcast, with the same result."""
     return cleaning.clean_texts(
         _documents(spark, folder),
         ["doc_id"],
@@ -126,25 +126,25 @@ def _benchmark_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return words.withColumn("score", (F.length("word") % 9 - 4) / 8.0)
 
 
-def _large_sentiment(spark: SparkSession, folder: str, literal_entries: int) -> DataFrame:
+def _large_sentiment(spark: SparkSession, folder: str, **options) -> DataFrame:
     cleaned = _documents(spark, folder).select(
         "doc_id", T.clean_review_text(F.col("text")).alias("cleaned_text")
     )
     lexicon = _benchmark_lexicon(spark, folder)
-    scored = with_sentiment(cleaned, lexicon=lexicon, literal_entries=literal_entries)
+    scored = with_sentiment(cleaned, lexicon=lexicon, **options)
     names = ("polarity", "neg", "neu", "pos", "compound")
     return scored.select("doc_id", *[F.col(f"sentiment.{name}").alias(name) for name in names])
 
 
 @query
 def lexicon_sentiment_large(spark, folder):
-    """Every word of the test items as a lexicon written into the plan."""
-    return _large_sentiment(spark, folder, literal_entries=100_000)
+    """Every word of the test items as a lexicon."""
+    return _large_sentiment(spark, folder)
 
 
 @query
 def lexicon_sentiment_joined(spark, folder):
-    """The way for a lexicon too long to write into the plan, with the same result."""
+    """The way for a lexicon too long to write into the plan: broadcast, with the same result."""
     return _large_sentiment(spark, folder, literal_entries=0)
 
 
@@ -287,7 +287,7 @@ def content_matches(spark, folder):
 
 @query
 def content_matches_joined(spark, folder):
-    """The way for word lists too long to write into the plan, with the same result."""
+    """The way for word lists too long to write into the plan: one automaton, with the same result."""
     found = content.content_matches(
         _documents(spark, folder), content.default_word_lists(spark), ["doc_id"], literal_entries=0
     )
