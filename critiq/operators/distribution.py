@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,8 +14,10 @@ from critiq.functions.arrays import equal_width_bin, mean_squared_difference
 from critiq.operators.ordered import running_totals
 from critiq.session import written
 
-# Vectors per block of the pairwise distance; a block pair is one task's work.
-BLOCK_ROWS = 2048
+# Bytes of vectors in a block of the pairwise distance; a pair of blocks is one task's work.
+BLOCK_BYTES = 64 << 20
+# Vectors that are worth a block of their own in a small table.
+LEAST_ROWS = 256
 
 
 def _elements(df: DataFrame, vector: str, *others: str) -> DataFrame:
@@ -67,36 +68,66 @@ def wasserstein_distance(real: DataFrame, fake: DataFrame, vector: str = "vec")
     )
 
 
+def _tile_total():
+    """A function that adds up the distances between two blocks of weighted vectors, by array products."""
+    step = 1024
+
+    def total(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def block(table):
+            vectors = table.column("vec").combine_chunks()
+            return np.asarray(vectors.flatten()).reshape(table.num_rows, -1), np.asarray(table.column("w"), float)
+
+        result = 0.0
+        if left.num_rows and right.num_rows:
+            (a, wa), (b, wb) = block(left), block(right)
+            centre = b.mean(axis=0)  # differences stay, and products lose fewer digits
+            a, b = a - centre, b - centre
+            na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            for i in range(0, len(a), step):
+                for j in range(0, len(b), step):
+                    x, y = slice(i, i + step), slice(j, j + step)
+                    sizes = na[x, None] + nb[None, y]
+                    squares = sizes - 2 * (a[x] @ b[y].T)
+                    close = np.nonzero(squares <= 1e-6 * sizes)  # too few digits left: taken directly
+                    squares[close] = ((a[x][close[0]] - b[y][close[1]]) ** 2).sum(axis=1)
+                    result += float(wa[x] @ np.sqrt(np.maximum(squares, 0)) @ wb[y])
+            if left.column("i")[0] == left.column("j")[0]:
+                result /= 2  # both orders of each pair were added
+        return pa.table({"total": [result]})
+
+    return total
+
+
 def diversity_score(
-    df: DataFrame, vector: str = "vec", block_rows: int = BLOCK_ROWS
+    df: DataFrame, vector: str = "vec", block_rows: int | None = None
 ) -> DataFrame:
     """Mean Euclidean distance over all pairs of different rows, exactly.
 
     The number of distances grows with the square of the rows whatever is done;
     what is avoided is to have them as rows. Equal vectors are merged into one
-    with a weight, so copies cost nothing; the distinct vectors are spread over
-    blocks by hash, each pair of blocks is one unit of work, and only its sum
-    leaves the task.
+    with a weight, so copies cost nothing. The distinct vectors are spread over b
+    blocks by hash, as large as a task's memory allows, and each pair of blocks, in
+    one order, is a tile of a triangular grid: b (b + 1) / 2 tiles, b + 1 copies of
+    each vector. A tile is worked on by array products, and only its sum leaves the
+    task. Missing vectors are left out.
     """
-
-    # Defined here so that it travels to the workers by value.
-    def block_pair_total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        total = 0.0
-        if len(left) and len(right):
-            others, weights = np.stack(right["vec"].to_numpy()), right["w"].to_numpy(float)
-            for one, weight in zip(left["vec"], left["w"]):
-                total += weight * float(np.sqrt(((others - one) ** 2).sum(axis=1)) @ weights)
-            if left["block"].iloc[0] == right["block"].iloc[0]:
-                total /= 2  # both orders of each pair were added
-        return pd.DataFrame({"total": [total]})
-
+    spark = df.sparkSession
     distinct = written(
         df.select(F.col(vector).cast("array<double>").alias("vec"))
+        .where(F.col("vec").isNotNull())
         .groupBy("vec")
         .agg(F.count("*").alias("w")),
         "vectors",
     )
-    blocks = -(-distinct.count() // block_rows) or 1
+    n_distinct, width = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    rows = block_rows or max(1, BLOCK_BYTES // (8 * max(1, width)))
+    blocks = max(1, -(-n_distinct // rows))
+    if block_rows is None:  # small tables: enough tiles for all cores
+        tiles = 2 * spark.sparkContext.defaultParallelism
+        blocks = max(blocks, min(-(-n_distinct // LEAST_ROWS) or 1, math.isqrt(2 * tiles)))
     placed = distinct.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int"))
     last = F.lit(blocks - 1)
     left = placed.withColumn("j", F.explode(F.sequence("block", last))).withColumn(
@@ -108,7 +139,7 @@ def diversity_score(
     sums = (
         left.groupBy("i", "j")
         .cogroup(right.groupBy("i", "j"))
-        .applyInPandas(block_pair_total, "total double")
+        .applyInArrow(_tile_total(), "total double")
     )
     n = distinct.select(F.sum("w").cast("double")).scalar()
     return sums.agg(
@@ -161,29 +192,27 @@ def feature_histograms(
     real: DataFrame,
     fake: DataFrame,
     vector: str = "vec",
-    features: Sequence[int] = (0, 1, 2, 3, 4),
+    features: Sequence[int] | None = None,
     bins: int = 20,
 ) -> DataFrame:
-    """Histogram of each chosen feature, for the real and the generated sample apart."""
-
-    def chosen(sample: DataFrame, origin: str) -> DataFrame:
-        cells = F.array(
-            *[
-                F.struct(F.lit(p).alias("pos"), F.get(vector, F.lit(p)).cast("double").alias("value"))
-                for p in features
-            ]
-        )
-        return sample.select(F.lit(origin).alias("origin"), F.inline(cells)).filter(
-            F.col("value").isNotNull()
-        )
-
-    both = chosen(real, "Real").unionByName(chosen(fake, "Generated"))
+    """Histogram of each feature, or of the chosen ones, for the real and the generated sample apart.
+
+    Values that are null, NaN or infinite are left out. The spans of all features are one
+    partial aggregate; they are two rows a feature, so they are broadcast to the values.
+    """
+
+    def values(sample: DataFrame, origin: str) -> DataFrame:
+        cells = _elements(sample, vector).select(F.lit(origin).alias("origin"), "pos", "value")
+        known = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
+        return cells.where(known if features is None else known & F.col("pos").isin(list(features)))
+
+    both = values(real, "Real").unionByName(values(fake, "Generated"))
     spans = both.groupBy("origin", "pos").agg(
         F.min("value").alias("_low"), F.max("value").alias("_high")
     )
     bin_of = equal_width_bin(F.col("value"), F.col("_low"), F.col("_high"), bins)
     return (
-        both.join(spans, ["origin", "pos"])
+        both.join(F.broadcast(spans), ["origin", "pos"])
         .groupBy("origin", "pos", bin_of.alias("bin"))
         .agg(F.count("*").alias("n"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from critiq.functions.arrays import argmax, softmax
 from critiq.operators.ordered import running_totals
+from critiq.session import written
 
 
 def _safe_ratio(part: Column, whole: Column) -> Column:
@@ -155,15 +156,20 @@ def prediction_distribution(scored: DataFrame, y_pred: str = "y_pred") -> DataFr
 
 
 def _threshold_counts(scored: DataFrame, y_true: str, score: str, positive: int) -> DataFrame:
-    # Rows without a score or a label cannot be placed on the curve and are left out.
-    value = F.col(score).cast("double")
-    known = scored.where(value.isNotNull() & ~F.isnan(value) & F.col(y_true).isNotNull())
-    per_score = known.groupBy(value.alias("threshold")).agg(
+    # Rows without a score or a label cannot be placed on the curve and are left out. Scores are judged
+    # after they are counted and written: a filter would be moved below and compute them once more.
+    per_score = scored.where(F.col(y_true).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(y_true) == positive).alias("tp"),
         F.count_if(F.col(y_true) != positive).alias("fp"),
     )
+    known = written(per_score, "scores").where(F.col("threshold").isNotNull() & ~F.isnan("threshold"))
     return running_totals(
-        per_score, "threshold", ["tp", "fp"], carry_next=["threshold", "tp", "fp"], descending=True
+        known,
+        "threshold",
+        ["tp", "fp"],
+        carry_next=["threshold", "tp", "fp"],
+        descending=True,
+        write_first=False,
     )
 
 

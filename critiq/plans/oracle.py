@@ -499,7 +499,7 @@ ORACLES["feature_histograms"] = f"""WITH {_CELLS},
 spans AS (
   SELECT CASE WHEN is_real THEN 'Real' ELSE 'Generated' END AS origin, pos, v,
     min(v) OVER (PARTITION BY is_real, pos) AS low, max(v) OVER (PARTITION BY is_real, pos) AS high
-  FROM cells WHERE pos < 5)
+  FROM cells)
 SELECT origin, pos, {_bin('v', 'low', 'high', 20)} AS bin, count(*) AS n FROM spans GROUP BY 1, 2, 3"""
 _DISTANCES = f"""
 WITH {_CELLS},
@@ -519,7 +519,9 @@ SELECT pos, round(distance, 6) AS distance FROM distances"""
 _DIVERSITY = """(
   SELECT avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))
   FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label >= 5 AND b.label >= 5)"""
-ORACLES["diversity_score"] = f"SELECT round({_DIVERSITY}, 6) AS diversity_score"
+ORACLES["diversity_score"] = """
+SELECT round(avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS diversity_score
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"""
 ORACLES["two_sample_evaluation"] = f"""{_DISTANCES},
 scores AS (
   SELECT label < 5 AS is_real, 1 / (1 + exp(-8 * embedding[1]::DOUBLE)) AS score FROM embeddings),

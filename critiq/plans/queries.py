@@ -809,7 +809,7 @@ def wasserstein_by_feature(spark, folder):
 
 @query
 def diversity_score(spark, folder):
-    found = distribution.diversity_score(_samples(spark, folder)[1])
+    found = distribution.diversity_score(_vectors(spark, folder))
     return found.select(r6("diversity_score").alias("diversity_score"))
 
 

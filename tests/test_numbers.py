@@ -355,3 +355,44 @@ def test_forest(spark):
     assert len(held_out) == 10 and all(r["y_pred"] == r["y_true"] for r in held_out)
     assert models.baseline_forest(df, ["id"], same_rows=True, trees=5).count() == 40
     assert models.baseline_forest(df, ["id"], test_size=0.25, trees=5).count() == 10
+
+
+@pytest.mark.parametrize("few, digits", [(1, 1), (2, 2), (40, 1)])
+def test_split_size_is_exact_whatever_the_rounds(spark, monkeypatch, few, digits):
+    df = spark.range(300).withColumnRenamed("id", "k")
+    expected = split.train_test_split_exact(df, ["k"], 37)
+    monkeypatch.setattr(split, "_FEW_ROWS", few)
+    monkeypatch.setattr(split, "_DIGITS", digits)
+    found = split.train_test_split_exact(df, ["k"], 37)
+    assert found.exceptAll(expected).count() == 0 and found.filter("split = 'test'").count() == 37
+
+
+def test_diversity_of_far_and_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    array = np.concatenate([1e4 + rng.normal(size=(300, 5)), 1e4 + 1e-6 * rng.normal(size=(300, 5))])
+    differences = array[:, None] - array[None]
+    gaps = np.sqrt((differences**2).sum(axis=2))[np.triu_indices(600, 1)]
+    for options in ({}, {"block_rows": 90}):
+        assert distribution.diversity_score(vectors(spark, array), **options).first()[0] == pytest.approx(np.mean(gaps), rel=1e-9)
+    tiny = distribution.diversity_score(vectors(spark, array[300:])).first()[0]
+    assert tiny == pytest.approx(np.mean(gaps[gaps < 1e-3]), rel=1e-6)
+    assert distribution.diversity_score(vectors(spark, array).limit(0)).first()[0] is None
+
+
+def test_histograms_leave_out_what_is_no_number(spark):
+    rows = [([1.0, float("nan")],), ([3.0, 2.0],), ([float("inf"), 4.0],), ([None, 6.0],), (None,)]
+    sample = spark.createDataFrame(rows, "vec array<double>")
+    found = distribution.feature_histograms(sample, sample.limit(0), bins=2).collect()
+    assert sorted((r["origin"], r["pos"], r["bin"], r["n"]) for r in found) == [("Real", 0, 0, 1), ("Real", 0, 1, 1), ("Real", 1, 0, 1), ("Real", 1, 1, 2)]
+
+
+def test_a_costly_score_is_computed_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def costly(x):
+        calls.add(1)
+        return x / 10
+
+    scored = spark.range(50).select((F.col("id") % 2).alias("y_true"), F.udf(costly, "double")(F.col("id") % 7).alias("y_score"))
+    area = evaluation.roc_auc(scored).first()[0]
+    assert 0 < area < 1 and calls.value == 50
