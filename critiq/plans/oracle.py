@@ -206,8 +206,10 @@ ORACLES["words_by_list"] = f"SELECT * FROM {_PART_WORDS} WHERE list_name = 'Bran
 ORACLES["words_by_severity"] = f"SELECT * FROM {_PART_WORDS} WHERE severity BETWEEN 2 AND 4"
 
 ORACLES["word_list_scan"] = """
-SELECT p_name AS word, p_type AS category, (p_size % 5 + 1)::INTEGER AS severity FROM part
-WHERE p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 13 <> 0"""
+SELECT p_name AS word, p_type AS category, (p_size % 5 + 1)::INTEGER AS severity, NULL::VARCHAR AS reason FROM part
+WHERE p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 13 <> 0
+UNION ALL SELECT concat(p_name, ' | ', p_type, ' | ', p_size % 5 + 1, '.5'), NULL, NULL, 'severity' FROM part
+WHERE p_size % 11 <> 0 AND p_size % 7 = 0"""
 
 _ENTRY_ROWS = ", ".join(
     f"({_quote(name)}, {_quote(word)}, {severity})"
@@ -278,8 +280,10 @@ SELECT p_partkey::VARCHAR AS asin, p_name AS title,
   CASE WHEN p_size % 2 = 0 THEN p_retailprice ELSE 0 END AS price,
   '' AS store, p_brand AS main_category,
   CASE WHEN p_size % 5 <> 0 THEN p_type END AS image_url,
-  round(p_size / 10::DOUBLE, 6) AS average_rating, p_size AS rating_count, 0 AS n_details
-FROM part WHERE p_size % 10 <> 0"""
+  round(p_size / 10::DOUBLE, 6) AS average_rating, p_size AS rating_count, 0 AS n_details, NULL::VARCHAR AS reason
+FROM part WHERE p_size % 10 <> 0
+UNION ALL SELECT p_partkey::VARCHAR, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'price'
+FROM part WHERE p_size % 10 = 0"""
 ORACLES["reviews_scan"] = """
 SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey::VARCHAR ELSE '' END AS asin,
   'R' || o_orderkey AS "reviewerID", o_orderpriority AS review_text, o_totalprice AS rating,
@@ -288,8 +292,10 @@ SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey::VARCHAR ELSE '' END AS asi
   CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 9 ELSE 0 END::INTEGER AS helpful_votes,
   CASE WHEN o_orderkey % 4 = 0 THEN 9 ELSE 0 END AS all_votes, '' AS vote,
   length(o_orderpriority) AS review_length,
-  len(string_split(o_orderpriority, ' ')) AS word_count
-FROM orders WHERE o_orderkey % 13 <> 0"""
+  len(string_split(o_orderpriority, ' ')) AS word_count, NULL::VARCHAR AS reason
+FROM orders WHERE o_orderkey % 13 <> 0
+UNION ALL SELECT NULL, 'R' || o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not JSON'
+FROM orders WHERE o_orderkey % 13 = 0"""
 ORACLES["rating_summary"] = f"""
 SELECT count(*) AS total_reviews, round(avg(rating), 6) AS average_rating,
   round(stddev_samp(rating), 6) AS rating_std, min(rating) AS min_rating, max(rating) AS max_rating,

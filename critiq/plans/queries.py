@@ -267,7 +267,9 @@ def word_list_scan(spark, folder):
         .otherwise(line)
     )
     table(spark, folder, "part").select(lines).write.text(path)
-    return word_lists.read_word_lists(spark, path).rows.select("word", "category", "severity")
+    scan = word_lists.read_word_lists(spark, path)
+    rejects = scan.rejects.select(F.col("line").alias("word"), "reason")
+    return scan.rows.select("word", "category", "severity").unionByName(rejects, allowMissingColumns=True)
 
 
 @query
@@ -483,8 +485,9 @@ def books_scan(spark, folder):
         )
     )
     lines.write.text(path, compression="gzip")
-    rows = jsonl.read_books(spark, path).rows
-    return rows.select(
+    scan = jsonl.read_books(spark, path)
+    rejects = scan.rejects.select(F.get_json_object("value", "$.parent_asin").alias("asin"), "reason")
+    return scan.rows.select(
         "asin",
         "title",
         "author",
@@ -497,7 +500,7 @@ def books_scan(spark, folder):
         r6("average_rating").alias("average_rating"),
         "rating_count",
         F.size("details").alias("n_details"),
-    )
+    ).unionByName(rejects, allowMissingColumns=True)
 
 
 @query
@@ -520,8 +523,9 @@ def reviews_scan(spark, folder):
     )
     broken = F.when(key % 13 == 0, F.left(record, F.length(record) - 1)).otherwise(record)
     table(spark, folder, "orders").select(broken).write.text(path, compression="gzip")
-    prepared = tables.prepare_for_analysis(jsonl.read_reviews(spark, path).rows)
-    return prepared.select(
+    scan = jsonl.read_reviews(spark, path)
+    rejects = scan.rejects.select(F.regexp_extract("value", r'"reviewerID":"(R\d+)"', 1).alias("reviewerID"), "reason")
+    return tables.prepare_for_analysis(scan.rows).select(
         "asin",
         "reviewerID",
         "review_text",
@@ -534,7 +538,7 @@ def reviews_scan(spark, folder):
         "vote",
         "review_length",
         "word_count",
-    )
+    ).unionByName(rejects, allowMissingColumns=True)
 
 
 @query

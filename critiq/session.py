@@ -9,6 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Of a key that stands twice in a JSON object the last value counts.
+REPEATED_KEYS = ("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Read JSON alike in every session, also in one that another program has built."""
+    spark.conf.set(*REPEATED_KEYS)
+
+
 def build_session(app_name: str = "critiq", **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; other settings from the cluster."""
     builder = (
@@ -16,6 +25,7 @@ def build_session(app_name: str = "critiq", **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config(*REPEATED_KEYS)
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -53,14 +63,16 @@ def range_count(spark: SparkSession, rows: int) -> int:
 FEW_SPLITS = 8
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
+def spread_rows(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Deal the rows of a small or unsplittable input to all cores.
 
+    `scan` is what `df` reads, where more than reading has happened since.
+
     Work per row on text is worth a shuffle only when the scan would leave
     nearly all cores idle; an input of several splits is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS) else df.repartition(cores)
+    return df if (scan or df).rdd.getNumPartitions() >= min(cores, FEW_SPLITS) else df.repartition(cores)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Each line is parsed once into a variant. A missing key takes its default, an
 explicit null where a number or list is needed makes the line unusable, and a
 number may also be written as a string. Of a key that stands twice the last value
-counts; NaN, Infinity and -Infinity are numbers.
+counts; NaN, Infinity and -Infinity are numbers. In a line with such a number, text that
+looks like one between a colon and a comma gets quotes as well.
 """
 
 from __future__ import annotations
@@ -13,58 +14,83 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from critiq.session import spread_rows
-from critiq.sources.limits import first_lines
+from critiq.session import allow_repeated_keys, spread_rows
+from critiq.sources import limits
 
 #: A value that is one of the names Python's JSON writer uses for numbers beyond JSON.
 NOT_FINITE = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,\]}])"
 
 
 class Scan(NamedTuple):
-    """Usable rows, and the lines that were not usable with the reason."""
+    """Usable rows, and the lines that were not usable with the reason, the file and the number in it, from 1."""
 
     rows: DataFrame
     rejects: DataFrame
 
 
+def write_rejects(scan: Scan, path: str, mode: str = "errorifexists") -> None:
+    """The rejects as JSON lines, one folder a reason, so that each kind can be mended and read again."""
+    scan.rejects.write.mode(mode).partitionBy("reason").json(path)
+
+
 def _parsed(line: Column) -> Column:
     """The line as a variant; numbers that JSON has no form for are taken from their names."""
     named = F.regexp_replace(line, NOT_FINITE, r'$1"$2"')
     return F.coalesce(F.try_parse_json(line), F.try_parse_json(named))
 
 
-def _read_items(
-    spark: SparkSession, path: str, fields: Sequence[str], limit: int | None
-) -> DataFrame:
-    """The lines with the wanted fields as variants: null if missing, variant null if null."""
+def _lines(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
+    """The lines, dealt out: a gzip file is one split, and parsing costs more than dealing."""
     # The limit counts lines in file order, unusable ones included; 0 means all.
-    lines = first_lines(spark, path, limit)
-    # Of a key that stands twice in an object the last value counts.
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    # A gzip file is one split, and parsing costs more than dealing out its lines.
-    parsed = spread_rows(lines).withColumn("_json", _parsed(F.trim("value")))
+    return spread_rows(limits.first_lines(spark, path, limit))
+
+
+def _located_lines(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
+    """The same lines with their file and number; what they cost more is paid only where rejects are asked for."""
+
+    def read(paths: Sequence[str]) -> DataFrame:
+        return spark.read.text(list(paths))
+
+    scan = read(limits.first_files(spark, path, read, limit))
+    lines = limits.file_positions(scan, "_place", located=True)
+    return spread_rows(lines.where(F.col("_place") < limit) if limit else lines, scan)
+
+
+def _items(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The lines with the wanted fields as variants: null if missing, variant null if null."""
+    parsed = lines.withColumn("_json", _parsed(F.trim("value")))
     shape = ", ".join(f"{name}: variant" for name in fields)
     taken = parsed.withColumn("_item", F.try_variant_get("_json", "$", f"struct<{shape}>"))
     return taken.select(
-        "value",
+        *lines.columns,
         F.col("_json").isNull().alias("_not_json"),
         F.col("_item").isNull().alias("_not_object"),
         *[F.col(f"_item.{name}").alias(name) for name in fields],
     )
 
 
-def _scan(judged: DataFrame, columns: Sequence[Column], otherwise: Column | None = None) -> Scan:
+def _scan(
+    spark: SparkSession,
+    path: str,
+    limit: int | None,
+    fields: Sequence[str],
+    reason: Column,
+    columns: Sequence[Column],
+    otherwise: Column | None = None,
+) -> Scan:
     """Usable rows and rejects.
 
     Each line yields a list of one row or of none. A filter would do, but Spark
     would move it below the parsing and parse every line several times over.
     """
-    row = F.array(F.struct(*columns))
-    usable = F.when(F.col("reason").isNull(), row)
+    allow_repeated_keys(spark)
+    judged = _items(_lines(spark, path, limit), fields).withColumn("reason", reason)
+    usable = F.when(F.col("reason").isNull(), F.array(F.struct(*columns)))
     if otherwise is not None:
         usable = usable.when(F.col("reason") != "not JSON", otherwise)
-    reject = F.when(F.col("reason").isNotNull(), F.array(F.struct("value", "reason")))
-    return Scan(judged.select(F.inline(usable)), judged.select(F.inline(reject)))
+    located = _items(_located_lines(spark, path, limit), fields).withColumn("reason", reason)
+    reject = F.when(F.col("reason").isNotNull(), F.array(F.struct("value", "reason", "file", "line_number")))
+    return Scan(judged.select(F.inline(usable)), located.select(F.inline(reject)))
 
 
 def _kind(name: str) -> Column:
@@ -129,7 +155,6 @@ def read_books(spark: SparkSession, path: str, limit: int | None = None) -> Scan
     A description is a list of strings, or a string that counts as the list of
     its characters; an image is the first of a list or the first character.
     """
-    items = _read_items(spark, path, _BOOK_FIELDS, limit)
     as_list = F.try_variant_get("description", "$", "array<variant>")
     only_strings = F.forall(as_list, lambda part: F.schema_of_variant(part) == "STRING")
     described = F.col("description").isNull() | (_kind("description") == "STRING") | only_strings
@@ -144,7 +169,6 @@ def read_books(spark: SparkSession, path: str, limit: int | None = None) -> Scan
             "rating_number": _number("rating_number", "int").isNull(),
         }
     )
-    judged = items.withColumn("reason", reason)
     name = F.try_variant_get("author", "$.name", "variant")
     image_list = F.try_variant_get("images", "$", "array<variant>")
     columns = [
@@ -171,7 +195,7 @@ def read_books(spark: SparkSession, path: str, limit: int | None = None) -> Scan
         _number("rating_number", "int").alias("rating_count"),
         _string_map("details").alias("details"),
     ]
-    return _scan(judged, columns)
+    return _scan(spark, path, limit, _BOOK_FIELDS, reason, columns)
 
 
 def read_reviews(
@@ -184,7 +208,6 @@ def read_reviews(
     """
     if on_bad not in ("fail", "drop"):
         raise ValueError("on_bad is 'fail' or 'drop'")
-    items = _read_items(spark, path, _REVIEW_FIELDS, limit)
     reason = _first_reason(
         {
             "not JSON": F.col("_not_json"),
@@ -193,7 +216,6 @@ def read_reviews(
             "unixReviewTime": _number("unixReviewTime", "long").isNull(),
         }
     )
-    judged = items.withColumn("reason", reason)
     helpful = F.when(F.col("helpful").isNull(), F.array(F.lit(0), F.lit(0))).otherwise(
         F.try_variant_get("helpful", "$", "array<int>")
     )
@@ -212,4 +234,4 @@ def read_reviews(
         _text("vote").alias("vote"),
     ]
     stop = F.raise_error(F.concat(F.lit("unusable review, "), "reason", F.lit(": "), "value"))
-    return _scan(judged, columns, stop if on_bad == "fail" else None)
+    return _scan(spark, path, limit, _REVIEW_FIELDS, reason, columns, stop if on_bad == "fail" else None)

@@ -14,33 +14,38 @@ EARLY_STOP = 1_000_000
 Reader = Callable[[Sequence[str]], DataFrame]
 
 
-def file_positions(rows: DataFrame, name: str = "position") -> DataFrame:
+def file_positions(rows: DataFrame, name: str = "position", located: bool = False) -> DataFrame:
     """Add the zero-based position of rows as read from files, in the order of path and offset.
 
     Numbering within a file block comes with the scan; only the block sizes are
-    aggregated.
+    aggregated. With `located`, also the path of the file and the number of the row in it, from 1.
     """
     blocks = rows.rdd.getNumPartitions()  # of a scan: a task reads at least one block
-    located = rows.select(
+    placed = rows.select(
         "*",
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
     ).withColumn("_id", F.monotonically_increasing_id())
-    sizes = located.groupBy("_path", "_start").agg(
+    sizes = placed.groupBy("_path", "_start").agg(
         F.count("*").alias("_rows"), F.min("_id").alias("_first")
     )
     # One row per file block.
     earlier = W.orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1)
+    of_file = W.partitionBy("_path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_path", "_start", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+        "_path",
+        "_start",
+        "_first",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_rows").over(of_file), F.lit(0)).alias("_before_in_file"),
     )
     # one row per file block: a few bytes for every block of a whole file system directory
     offsets = F.broadcast(offsets) if blocks <= BROADCAST_BLOCKS else offsets
-    return (
-        located.join(offsets, ["_path", "_start"])
-        .withColumn(name, F.col("_id") - F.col("_first") + F.col("_before"))
-        .drop("_path", "_start", "_id", "_first", "_before")
-    )
+    in_block = F.col("_id") - F.col("_first")
+    numbered = placed.join(offsets, ["_path", "_start"]).withColumn(name, in_block + F.col("_before"))
+    if located:
+        numbered = numbered.withColumns({"file": F.col("_path"), "line_number": in_block + F.col("_before_in_file") + 1})
+    return numbered.drop("_path", "_start", "_id", "_first", "_before", "_before_in_file")
 
 
 def files_in_order(spark: SparkSession, path: str) -> list[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from critiq.session import allow_repeated_keys
 from critiq.sources.limits import first_lines
 
 
@@ -14,6 +15,7 @@ def read_lines(spark: SparkSession, path: str, sample_size: int | None = None) -
 
 def json_fields(records: DataFrame, column: str = "value", key: tuple[str, ...] = ()) -> DataFrame:
     """One row per field of each record that is a JSON object; others are skipped."""
+    allow_repeated_keys(records.sparkSession)
     fields = F.try_variant_get(F.try_parse_json(column), "$", "map<string,variant>")
     return records.select(*key, F.explode(fields).alias("field", "item"))
 

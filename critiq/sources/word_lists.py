@@ -18,8 +18,8 @@ def read_word_lists(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
     raw = spark.read.option("pathGlobFilter", pattern).text(folder)
     named = raw.select("value", F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("list_name"), "_metadata")
     lines = (
-        file_positions(named)
-        .select("list_name", "position", F.trim("value").alias("line"))
+        file_positions(named, located=True)
+        .select("list_name", "position", F.trim("value").alias("line"), "file", "line_number")
         .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     )
     separators = lines.groupBy("list_name").agg(
@@ -40,7 +40,8 @@ def read_word_lists(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
         "severity",
         "position",
     )
-    return Scan(entries, read.filter(~good).select("list_name", "line"))
+    reason = F.when(F.size("_parts") != 3, "not three parts").otherwise("severity")
+    return Scan(entries, read.filter(~good).select("list_name", "line", reason.alias("reason"), "file", "line_number"))
 
 
 def speech_patterns(spark: SparkSession, folder: str | None = None, pattern: str = "*.txt") -> Scan:
@@ -50,7 +51,7 @@ def speech_patterns(spark: SparkSession, folder: str | None = None, pattern: str
     lines = [line.split(", ") for line in fixed.SPEECH_PATTERNS.strip().splitlines()]
     rows = [("speech", word, category, int(severity), at) for at, (word, category, severity) in enumerate(lines)]
     kinds = "list_name string, word string, category string, severity int, position long"
-    empty = spark.createDataFrame([], "list_name string, line string")
+    empty = spark.createDataFrame([], "list_name string, line string, reason string, file string, line_number long")
     return Scan(spark.createDataFrame(rows, kinds), empty)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from critiq.operators import tables
-from critiq.sources import artifacts, csv_reviews, jsonl, limits, profile
+from critiq.sources import artifacts, csv_reviews, jsonl, limits, profile, word_lists
 
 
 def write_lines(path, lines):
@@ -244,3 +244,28 @@ def test_a_csv_limit_leaves_later_files_alone(spark, tmp_path):
         assert sorted(r["Title"] for r in csv_reviews.read_csv(spark, str(tmp_path), limit).collect()) == sorted(f"t{i}" for i in range(limit))
         found = csv_reviews.load_reviews(spark, str(tmp_path), limit).collect()
         assert sorted((r["asin"], r["title"]) for r in found) == sorted((f"book_{i}", f"t{i}") for i in range(limit))
+
+
+def test_rejects_name_their_file_and_line(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"price": 1}\n{broken\n{"price": 2}\n')
+    (tmp_path / "b.jsonl").write_text('{"price": "-"}\n')
+    (tmp_path / "c.jsonl").write_text('{"price": 3}\n\n[1]\n')
+    scan = jsonl.read_books(spark, str(tmp_path))
+    places = sorted((r["file"].rsplit("/", 1)[1], r["line_number"], r["reason"]) for r in scan.rejects.collect())
+    assert places == [("a.jsonl", 2, "not a JSON object"), ("b.jsonl", 1, "price"), ("c.jsonl", 2, "not a JSON object"), ("c.jsonl", 3, "not a JSON object")]
+    jsonl.write_rejects(scan, f"{tmp_path}/kept")
+    assert {r["reason"] for r in spark.read.json(f"{tmp_path}/kept").collect()} == {"price", "not a JSON object"}
+    first = jsonl.read_books(spark, str(tmp_path / "*.jsonl"), limit=4)
+    assert first.rejects.count() == 2 and first.rows.count() == 2
+
+
+def test_rejected_lines_of_word_lists(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("# note\na|b|1\nbad\n\nx|y|many\n")
+    found = word_lists.read_word_lists(spark, str(tmp_path)).rejects.collect()
+    assert sorted((r["line_number"], r["line"], r["reason"]) for r in found) == [(3, "bad", "not three parts"), (5, "x|y|many", "severity")]
+
+
+def test_repeated_keys_count_alike_before_and_after_a_reader(spark):
+    lines = spark.createDataFrame([('{"a": 1, "a": "x"}',)], "value string")
+    spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    assert [(r["field"], r["value_kind"]) for r in profile.json_profile(lines).collect()] == [("a", "string")]
