@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,4 +84,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[read] = path
+    return read
+
+
+#: Where the tables lie that `written` has returned.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            remove_path(table.sparkSession, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this package's own, in whatever file system it lies."""
+    if not os.path.basename(path).startswith("critiq-"):
+        raise ValueError(f"not a folder of this package: {path}")
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
