@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from critiq.session import written
+from critiq.session import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     `links` has the columns a and b. Each round joins every id's larger neighbours to its
     smallest neighbour and then every id to the smallest of the neighbours below it; this
     ends in stars after a number of rounds that grows with the logarithm of the longest path.
-    Each round is written to the shared folder. Neighbours of a frequent id are counted before
+    Each round is written to the shared folder, and the one before it removed. Ids are of any type
+    that has an order. Neighbours of a frequent id are counted before
     they are shuffled, and its rows are joined, which adaptive execution can split.
     """
     edges = links.where(F.col("a") != F.col("b")).select(
@@ -31,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         below = below.withColumnRenamed("high", "node")
         small = large.join(below, F.col("high") == F.col("node")).where(F.col("low") != F.col("least"))
         small = small.select(F.col("low").alias("high"), F.col("least").alias("low"))
-        edges = written(small.unionByName(below.toDF("high", "low")).distinct(), "links")
+        last, edges = edges, written(small.unionByName(below.toDF("high", "low")).distinct(), "links")
+        discard(last)
     stars = edges.select(F.col("high").alias("id"), F.col("low").alias("component"))
     return stars.unionByName(edges.select(F.col("low").alias("id"), F.col("low").alias("component")).distinct())
 

@@ -13,20 +13,24 @@ The alignment follows the diagonals within the number of insertions and deletion
 similarity leaves, and stops where it is exceeded.
 
 Equal texts are one node, known by a digest of their words. Nodes with the same entry form a
-bucket. First every member is compared with the smallest id of its bucket, which settles most
-of them. Then only buckets remain in which several components meet. Their members are compared
-with the first members of their bucket, in blocks that grow, until every one was compared or
-joined the others' component; of a pair, the texts are read once, and only if their lengths allow
-the similarity. So no bucket is collected and no pair of one component is compared for nothing,
-but no candidate is left out: one common entry is enough, and the blocks have no cap.
+bucket. First every member is compared with the smallest digest of its bucket, which settles most
+of them. Then only buckets remain in which several components meet. Their members are dealt to blocks
+of bounded size, and every two blocks of a bucket are a tile, worked on by one task: it counts the
+shingles that members share, aligns those pairs that share enough and are not yet connected, and
+returns a link only where two components become one. So rows grow with members and blocks and never
+with pairs, no bucket is collected, and no candidate is left out: one common entry is enough.
 
 If the shorter text has at most 60 shingles, every similar pair is a candidate. Of two longer ones at
 exactly 0.8, whose shingles are distinct, one of 32 entries of five agrees with a probability above
 0.99999 at every length; the more similar, the surer.
 
 Edge cases: a text of fewer than five words is one shingle; texts without words are never
-grouped. A null id gets a null class. Rows with the same id are in one class. The class id is
-the smallest id of the class. Input columns stay; one named class_id is replaced.
+grouped. A null id gets a null class. Rows are told apart by id and text: those with one id and
+different texts are documents of their own, which may be in different classes. The class id is
+the smallest id of the class, so two classes bear the same one if an id has several texts. Of a class,
+the row of the smallest id stays, of several texts of that id the one with the smallest digest. An empty
+table gives an empty result. A very long text is one row, cut into pieces only where batches are.
+Input columns stay; one named class_id is replaced.
 """
 
 from __future__ import annotations
@@ -36,13 +40,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from critiq.llm.components import components
 from critiq.llm.hashing import hash_windows, hash_words, mix, slices
 from critiq.llm.rows import give_back, hold
-from critiq.session import written
+from critiq.session import discard, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,14 +55,16 @@ ENTRIES = 32
 PICKS = 5
 #: Shingles up to which a text is found by its rarest shingles instead of a sketch.
 EXACT = 60
-#: Members of a bucket that the others are compared with at once.
-FIRST_BLOCK = 8
+#: Members of a bucket in one block, and shingles of all of them together, about.
+TILE_MEMBERS, TILE_SHINGLES = 1024, 1 << 21
+#: Members of a tile up to which pairs are counted one by one.
+FEW_MEMBERS = 12
 FACTOR = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 8 << 20
 #: Numbers hashed together for one text.
 BLOCK = 1 << 20
 
-SKETCHES = "id bigint, digest binary, n int, entries array<bigint>, marked array<bigint>"
+SKETCHES = "id bigint, key bigint, digest binary, n int, entries array<bigint>, marked array<bigint>"
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -128,9 +134,9 @@ def sketcher(entries: int, picks: int, size: int, similarity: float) -> Callable
                 counts.append(len(sequence))
                 rows.append(sketch(sequence, entries, picks) if len(sequence) > EXACT else none)
                 marked.append(labelled(sequence) if 0 < len(sequence) <= most else none)
-            columns = [batch.column("id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int32())]
+            columns = [batch.column("id"), batch.column("key"), pa.array(digests, pa.binary()), pa.array(counts, pa.int32())]
             columns += [_lists(rows), _lists(marked)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "entries", "marked"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "digest", "n", "entries", "marked"])
 
     return run
 
@@ -221,24 +227,143 @@ def are_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) ->
 
 
 def verifier(similarity: float, size: int) -> Callable:
+    """The pairs whose texts are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             known: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-            good: list[tuple[int, int]] = []
+            good: list[tuple[bytes, bytes]] = []
             for a, b, text_a, text_b in zip(*columns):
                 if known[0] != text_b:
                     known = text_b, shingles(hash_words(_words(text_b)), size)
                 if are_similar(shingles(hash_words(_words(text_a)), size), known[1], similarity):
                     good.append((a, b))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in good], pa.int64()), "b": pa.array([y for _, y in good], pa.int64())})
+            yield _links(good)
+
+    return run
+
+
+def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    ends = [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+
+def _sequences(size: int) -> Callable:
+    """The shingles of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", CHUNK_BYTES):
+            rows = [shingles(hash_words(_words(text)), size) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), _lists(rows)], names=["digest", "shingles"])
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many numbers every two sets of different numbers share, as a matrix."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    numbers, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    place = np.cumsum(often) - 1
+    kept = often[column]
+    owner, column = owner[kept], place[column[kept]]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    step = max(1, BLOCK // len(sets))
+    for start in range(0, int(often.sum()), step):
+        part = slice(*np.searchsorted(column, (start, start + step)))
+        holds = np.zeros((len(sets), step), np.float32)
+        holds[owner[part], column[part] - start] = 1
+        counts += holds @ holds.T
+    return counts
+
+
+def tile_links(members: list[tuple[int, bytes, bytes, np.ndarray]], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that connect components of a tile; a member is (block, digest, component, shingles).
+
+    Two blocks are compared with each other; a block alone with itself.
+    """
+    own: dict[bytes, bytes] = {}
+
+    def root(component: bytes) -> bytes:
+        while (above := own.get(component, component)) != component:
+            component = above
+        return component
+
+    two_blocks = len({m[0] for m in members}) > 1
+
+    def apart(i: int, j: int) -> bool:
+        return not (two_blocks and members[i][0] == members[j][0]) and root(members[i][2]) != root(members[j][2])
+
+    lengths = np.array([len(m[3]) for m in members])
+    if len(members) <= FEW_MEMBERS:
+        pairs = ((i, j) for j in range(len(members)) for i in range(j))
+    else:
+        total = lengths[:, None] + lengths[None]
+        need = np.ceil(similarity * total / (1 + similarity) - 1e-9)
+        enough = np.triu(shared_counts([labelled(m[3]) for m in members]) >= need, 1)
+        components = np.unique([m[2] for m in members], return_inverse=True)[1]
+        enough &= components[:, None] != components[None]
+        pairs = zip(*(x.tolist() for x in np.nonzero(enough)))
+    links = []
+    for i, j in pairs:
+        if apart(i, j) and are_similar(members[i][3], members[j][3], similarity):
+            links.append((members[i][1], members[j][1]))
+            own[root(members[i][2])] = root(members[j][2])
+    return links
+
+
+def _tiles(similarity: float) -> Callable:
+    """The links of every tile, whose rows follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            columns = [batch.column(c).to_pylist() for c in ("entry", "one", "other", "block", "digest", "component")]
+            lists = batch.column("shingles")
+            offsets, numbers = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+            for row, (*tile, block, digest, component) in enumerate(zip(*columns)):
+                if tile != now:
+                    found += tile_links(members, similarity) if len(members) > 1 else []
+                    now, members = tile, []
+                members.append((block, digest, component, numbers[offsets[row] : offsets[row + 1]]))
+            yield _links(found)
+        if len(members) > 1:
+            yield _links(tile_links(members, similarity))
 
     return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(similarity, size), "a bigint, b bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(similarity, size), "a binary, b binary")
+
+
+def _links_of_meeting(nodes: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links between components that meet in a bucket."""
+    members = nodes.select("digest", "n", F.explode("entries").alias("entry"))
+    members = members.join(found.withColumnRenamed("id", "digest"), "digest", "left")
+    members = members.withColumn("component", F.coalesce("component", "digest"))
+    buckets = members.groupBy("entry").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.sum("n").alias("shingles")
+    )
+    by_members, by_shingles = F.ceil(F.col("members") / TILE_MEMBERS), F.ceil(F.col("shingles") / TILE_SHINGLES)
+    buckets = buckets.where("x < y").select("entry", F.greatest(by_members, by_shingles).cast("int").alias("blocks"))
+    dealt = members.join(buckets, "entry").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "entry", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "digest", "component"
+    )
+    dealt = written(dealt, "tiles")
+    asked = texts.join(dealt.select("digest").distinct(), "digest", "left_semi")
+    sequences = asked.mapInArrow(_sequences(size), "digest binary, shingles array<bigint>")
+    tile = ["entry", "one", "other"]
+    lined_up = dealt.join(sequences, "digest").repartition(*tile).sortWithinPartitions(*tile, "digest")
+    return lined_up.mapInArrow(_tiles(similarity), "a binary, b binary")
 
 
 def near_duplicates(
@@ -250,84 +375,66 @@ def near_duplicates(
     entries: int = ENTRIES,
     picks: int = PICKS,
 ) -> DataFrame:
-    """(id, class_id): one row per id that is not null."""
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, key, class_id, stays): one row per id that is not null and text, which `key` is a hash of.
+
+    `stays` marks the one that stands for its class.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.col(text_col).alias("text"))
     given = given.where(F.col("id").isNotNull())
-    sketches = given.mapInArrow(sketcher(entries, picks, size, similarity), SKETCHES)
-    sketches = written(sketches, "sketches")
+    sketches = written(given.mapInArrow(sketcher(entries, picks, size, similarity), SKETCHES), "sketches")
     with_words = sketches.where(F.col("n") > 0).groupBy("digest")
-    nodes = with_words.agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "entries", "marked")])
-    nodes = written(nodes, "nodes")
+    first_row = F.min(F.struct("id", "key")).alias("row")
+    found_nodes = written(with_words.agg(first_row, *[F.first(c).alias(c) for c in ("n", "entries", "marked")]), "nodes")
     keys = F.concat("entries", F.coalesce("rarest", F.array().cast("array<bigint>")))
-    nodes = nodes.join(rarest_shingles(nodes, similarity), "digest", "left").select("digest", "id", "n", keys.alias("entries"))
-    nodes = written(nodes, "nodes")
-    members = nodes.select("id", "n", F.explode("entries").alias("entry"))
+    nodes = found_nodes.join(rarest_shingles(found_nodes, similarity), "digest", "left")
+    nodes = written(nodes.select("digest", "row", "n", keys.alias("entries")), "nodes")
+    discard(found_nodes)
+    members = nodes.select("digest", "n", F.explode("entries").alias("entry"))
 
     def close(n: str, m: str) -> Column:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
-    buckets = members.groupBy("entry").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last"))
-    buckets = buckets.where(F.col("first.id") < F.col("last")).select("entry", "first.id", "first.n").toDF("entry", "b", "m")
-    pairs = members.join(buckets, "entry").where(F.col("id") != F.col("b"))
-    pairs = written(pairs.select(F.col("id").alias("a"), "b", close("n", "m").alias("close")).distinct(), "pairs")
-    asked = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "asked")
-    texts = written(given.join(asked, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    buckets = members.groupBy("entry").agg(F.min(F.struct("digest", "n")).alias("first"), F.max("digest").alias("last"))
+    buckets = buckets.where(F.col("first.digest") < F.col("last")).select("entry", "first.digest", "first.n").toDF("entry", "b", "m")
+    pairs = members.join(buckets, "entry").where(F.col("digest") != F.col("b"))
+    pairs = written(pairs.select(F.col("digest").alias("a"), "b", close("n", "m").alias("close")).distinct(), "pairs")
+    asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("digest")
+    rows = nodes.join(asked, "digest").select("digest", "row.id", "row.key")
+    texts = given.join(written(rows, "asked"), ["id", "key"]).groupBy("digest").agg(F.min("text").alias("text"))
+    texts = written(texts, "texts")
     links = written(_verified(pairs.where("close").select("a", "b"), texts, similarity, size), "verified")
-    pairs = pairs.select("a", "b")
-    found = components(links)
-
-    # buckets in which components meet: members against the first ones, in blocks that grow
-    whole = nodes.join(asked, "id").groupBy("id")
-    every = F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries")
-    whole = written(whole.agg(F.min("n").alias("n"), every), "whole")
-    rest = whole.select("id", F.explode("entries").alias("entry"))
-    block, apart = FIRST_BLOCK, F.col("x") < F.col("y")
-    while True:
-        known = rest.join(found, "id", "left").select("id", "entry", F.coalesce("component", "id").alias("component"))
-        meeting = known.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(apart)
-        rest = written(known.join(meeting.select("entry"), "entry"), "open")
-        if rest.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("entry").orderBy("id"))
-        first = written(rest.withColumn("place", place).where(F.col("place") <= block).drop("place"), "first")
-        one = rest.join(whole, "id")
-        other = first.join(whole, "id").select(
-            "entry",
-            F.col("id").alias("b"),
-            F.col("component").alias("other"),
-            F.col("n").alias("m"),
-            F.col("entries").alias("others"),
-        )
-        shared = F.array_intersect("entries", "others")
-        # a pair is made once: in the bucket of its smallest common entry
-        worth = (F.col("id") > F.col("b")) & (F.col("component") != F.col("other")) & close("n", "m")
-        worth = worth & (F.array_min(shared) == one["entry"])
-        new = one.join(other, (one["entry"] == other["entry"]) & worth).select(F.col("id").alias("a"), "b").distinct()
-        new = written(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(new)
-        links = written(_verified(new, texts, similarity, size), "verified")
-        if not links.isEmpty():
-            found = components(links.unionByName(found.toDF("a", "b")))
-        rest = rest.join(first.select("entry", "id"), ["entry", "id"], "left_anti").select("id", "entry")
-        block *= 4
-
-    grouped = nodes.select("digest", "id").join(found, "id", "left")
-    grouped = grouped.select("digest", F.coalesce("component", "id").alias("class_id"))
-    classes = sketches.join(grouped, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    return classes.groupBy("id").agg(F.min("class_id").alias("class_id"))
+    stars = components(links)
+    more = written(_links_of_meeting(nodes.join(texts.select("digest"), "digest", "left_semi"), texts, stars, similarity, size), "verified")
+    found = components(more.unionByName(stars.toDF("a", "b"))) if not more.isEmpty() else stars
+
+    grouped = nodes.select("digest", "row").join(found.withColumnRenamed("id", "digest"), "digest", "left")
+    grouped = grouped.withColumn("component", F.coalesce("component", "digest"))
+    firsts = grouped.groupBy("component").agg(F.min("row").alias("first"))
+    grouped = grouped.join(firsts, "component").select("digest", "first")
+    own = F.struct("id", "key")
+    every = sketches.select("id", "key", "digest").distinct().join(grouped, "digest", "left")
+    first = F.coalesce("first", own)
+    return every.select("id", "key", first["id"].alias("class_id"), (first == own).alias("stays"))
+
+
+def _key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col))
+
+
+def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return hold(docs, key_=F.struct(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key")))
 
 
 def with_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows and columns of `docs` with `class_id`; null where the id is null."""
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    held = hold(docs, key_=F.col(id_col).cast("long"))
-    return give_back(held.join(classes.withColumnRenamed("id", "key_"), "key_", "left"), docs, ["class_id"])
+    classes = near_duplicates(docs, id_col, text_col, **options).select(F.struct("id", "key").alias("key_"), "class_id")
+    return give_back(_with_key(docs, id_col, text_col).join(classes, "key_", "left"), docs, ["class_id"])
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The document with the smallest id of every class, once; rows with a null id all stay."""
     classes = near_duplicates(docs, id_col, text_col, **options)
-    first = classes.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("key_"))
-    held = hold(docs.where(F.col(id_col).isNotNull()), key_=F.col(id_col).cast("long"))
+    first = classes.where("stays").select(F.struct("id", "key").alias("key_"))
+    held = _with_key(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     kept = give_back(held.join(first, "key_", "left_semi").dropDuplicates(["key_"]), docs, [])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

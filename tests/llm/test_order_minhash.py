@@ -167,3 +167,45 @@ def test_components(spark):
     linked = {n for x, y in edges if x != y for n in (x, y)}
     assert {r["id"]: r["component"] for r in found.collect()} == {n: root(n) for n in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_two_texts_under_one_id(spark, prose):
+    a, b = prose(1, 80), prose(2, 80)
+    join = " ".join
+    rows = [(1, join(a)), (1, join(b)), (2, join(b + ["end"])), (3, join(["first"] + b)), (4, join(a[:-1])), (1, join(a)), (5, None), (5, join(a))]
+    found = classes(spark, rows)
+    named = sorted((r["doc_id"], r["class_id"]) for r in found.collect())
+    assert named == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (5, 5)]
+    kept = O.one_per_class(found.drop("class_id")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"]) == sorted([(1, join(a)), (1, join(b))])
+    assert [r["doc_id"] for r in kept if not r["text"]] == [5]
+
+
+def chain(prose, seed, count, length):
+    """Near copies of one text, most of them like some others but not like the first."""
+    chance, base, rows = random.Random(seed), prose(seed, length), []
+    for _ in range(count):
+        copy = list(base)
+        for _ in range(chance.randint(0, length // 30)):
+            copy[chance.randrange(length)] = f"new{chance.randrange(99)}"
+        rows.append(" ".join(copy))
+    return rows
+
+
+def test_a_large_group_in_tiles(spark, prose, monkeypatch):
+    rows = list(enumerate(chain(prose, 3, 60, 120) + chain(prose, 4, 60, 50)))
+    expected = brute(rows)
+    assert len(set(expected.values())) > 4
+    for members, few in ((1024, 12), (10, 12), (10, 2)):
+        monkeypatch.setattr(O, "TILE_MEMBERS", members)
+        monkeypatch.setattr(O, "FEW_MEMBERS", few)
+        assert {r["doc_id"]: r["class_id"] for r in classes(spark, rows).collect()} == expected
+
+
+def test_shared_counts():
+    chance = np.random.default_rng(5)
+    sets = [np.unique(chance.integers(0, 60, chance.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    counts = O.shared_counts(sets)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert i == j or counts[i, j] == len(np.intersect1d(x, y))
