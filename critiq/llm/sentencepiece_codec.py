@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,8 @@ from critiq.llm.rows import give_back, hold
 from critiq.session import spread_rows
 
 BLANK = "▁"
-MEMORY = 200_000
+#: Words, and pairs of tokens, that a worker remembers twice over.
+WORD_MEMORY, PAIR_MEMORY = 150_000, 300_000
 CHUNK_BYTES = 8 << 20
 #: A run of blanks and what follows it up to the next blank.
 PIECES = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
@@ -48,16 +50,20 @@ RESULTS = ["ids", "decoded"]
 
 
 class _Memory(dict):
-    """Values made on demand; emptied when full."""
+    """Values made on demand. When full, what it holds becomes the older half; frequent values come back from there."""
 
-    def __init__(self, make: Callable, longest: int):
+    def __init__(self, make: Callable, longest: int, most: int):
         super().__init__()
-        self.make, self.longest = make, longest
+        self.make, self.longest, self.most = make, longest, most
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= MEMORY:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -99,11 +105,15 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             if len(piece) > 1 and self._learn(piece):  # others never come out of merging
-                self.automaton.add_word(piece, piece)
+                # with the tokens that were tested before it
+                self.automaton.add_word(piece, (piece, len(piece), {}))
         self.automaton.make_automaton()
-        self.compatible = _Memory(self._is_compatible, 2)
-        self.piece_ids = _Memory(self.encode_piece, 40)
-        self.word_ids = _Memory(self._encode_word, 40)
+        self.tested = 0
+        self.tokens = _Memory(self._code_token, 1, WORD_MEMORY)
+        self.tokens |= {token: self._coded([i]) for token, i in self.ids.items()}
+        self.pieces = _Memory(self.code_piece, 40, WORD_MEMORY // 3)
+        self.words = _Memory(self._code_word, 40, WORD_MEMORY)
+        self.line_end = self._coded([self.byte_ids[10]])
 
     def _merges(self, text: str) -> Iterator[tuple[str, str, list[str]]]:
         """Merge the best pair, the leftmost of equals, until none is left."""
@@ -156,62 +166,93 @@ class Codec:
             else:
                 limit, equal_counts, right = made_right, True, splits[right][0]
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of a text between two cuts."""
-        ends: list[list[str]] = [[c] for c in piece]
-        for end, token in self.automaton.iter(piece):
-            ends[end].append(token)
-        last: list[str] = []
-        compatible = self.compatible
-        for end, tokens in enumerate(ends):
-            if len(tokens) > 2:
-                tokens.sort(key=len)
-            for token in reversed(tokens):
-                before = end - len(token)
-                if before < 0 or compatible[last[before], token]:
-                    last.append(token)
-                    break
-        ids: list[int] = []
+    def _forget_pairs(self) -> None:
+        for _, _, tested in self.automaton.values():
+            tested.clear()
+        self.tested = 0
+
+    def code_piece(self, piece: str) -> tuple[bytes, str]:
+        """Ids, packed, and their text, of a text between two cuts."""
+        last: list[str] = []  # the last token of every prefix
+        reached = 0
+        for end, (token, length, tested) in self.automaton.iter(piece):
+            if end < reached:
+                continue  # a longer token was taken here
+            while reached < end:  # no match went well with what is before it
+                last.append(piece[reached])
+                reached += 1
+            before = end - length
+            if before >= 0:
+                left = last[before]
+                goes = tested.get(left)
+                if goes is None:
+                    goes = tested[left] = self._is_compatible((left, token))
+                    self.tested += 1
+                if not goes:
+                    continue
+            last.append(token)
+            reached += 1
+        last.extend(piece[reached:])
+        if self.tested > PAIR_MEMORY:
+            self._forget_pairs()
+        parts = []
         at = len(piece) - 1
         while at >= 0:
             token = last[at]
-            if token in self.ids:
-                ids.append(self.ids[token])
-            else:
-                ids.extend(self.byte_ids[b] for b in reversed(token.encode()))
+            parts.append(self.tokens[token])
             at -= len(token)
-        ids.reverse()
-        return ids
+        parts.reverse()
+        return _joined(parts)
+
+    def _code_token(self, token: str) -> tuple[bytes, str]:
+        """A character outside the vocabulary: its bytes."""
+        return self._coded([self.byte_ids[b] for b in token.encode()])
+
+    def _coded(self, ids: list[int]) -> tuple[bytes, str]:
+        """Ids in packed form, and their text."""
+        return array("i", ids).tobytes(), "".join(map(self.text_of.__getitem__, ids))
 
-    def _encode_word(self, word: str) -> list[int]:
-        """Ids of a blank and the word after it, which may hold line ends."""
+    def _code_word(self, word: str) -> tuple[bytes, str]:
+        """A blank and the word after it, which may hold line ends."""
         if "\n" not in word:
-            return self.encode_piece(BLANK + word)
+            return self.code_piece(BLANK + word)
         first, *lines = word.split("\n")
-        ids = list(self.word_ids[first])
+        parts = [self.words[first]]
         for line in lines:
-            ids.append(self.byte_ids[10])
-            ids += self.piece_ids[line] if line else []
-        return ids
+            parts.append(self.line_end)
+            if line:
+                parts.append(self.pieces[line])
+        return _joined(parts)
 
-    def encode(self, text: str | None) -> list[int]:
+    def code(self, text: str | None) -> tuple[bytes, str]:
+        """The packed ids of a text without the end id, and the text of these ids."""
         if not text:
-            return [self.end]
+            return b"", ""
         if "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
-            pieces = PIECES.findall(BLANK + text.replace(" ", BLANK))
-            ids = list(chain.from_iterable(map(self.piece_ids.__getitem__, pieces)))
+            parts = list(map(self.pieces.__getitem__, PIECES.findall(BLANK + text.replace(" ", BLANK))))
         else:
-            ids = list(chain.from_iterable(map(self.word_ids.__getitem__, text.split(" "))))
-        ids.append(self.end)
-        return ids
+            parts = list(map(self.words.__getitem__, text.split(" ")))
+        ids, joined = _joined(parts)
+        return ids, self._finished(joined, memoryview(ids).cast("i"))
+
+    def encode(self, text: str | None) -> list[int]:
+        return [*memoryview(self.code(text)[0]).cast("i"), self.end]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte tokens as UTF-8, control ids as nothing, the leading blank off."""
-        text = "".join(map(self.text_of.__getitem__, ids))
+        return self._finished("".join(map(self.text_of.__getitem__, ids)), ids)
+
+    def _finished(self, text: str, ids: Sequence[int]) -> str:
         if not text.isascii():
             text = text.encode(errors="surrogateescape").decode(errors="critiq-each-byte")
+        if not text.startswith(" "):
+            return text
         first = next((i for i in ids if self.text_of[i]), None)
-        return text[1:] if text.startswith(" ") and first not in self.values else text
+        return text if first in self.values else text[1:]
+
+
+def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    return b"".join([p[0] for p in parts]), "".join([p[1] for p in parts])
 
 
 @lru_cache(maxsize=2)
@@ -225,8 +266,11 @@ def _coder(model_path: str) -> Callable:
         for batch in slices(batches, "text", CHUNK_BYTES):
             texts = batch.column("text").to_pylist()
             rest = [n for n in batch.schema.names if n != "text"]
-            ids = [own.encode(t) for t in texts]
-            new = [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())]
+            end = array("i", [own.end]).tobytes()
+            coded = [own.code(text) for text in texts]
+            ends = np.cumsum([0, *(len(ids) // 4 + 1 for ids, _ in coded)], dtype=np.int32)
+            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join([ids + end for ids, _ in coded]))])
+            new = [pa.ListArray.from_arrays(pa.array(ends), values), pa.array([text for _, text in coded], pa.string())]
             yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *new], names=[*rest, *RESULTS])
 
     return run
