@@ -23,16 +23,17 @@ columns stay, one that has the name of a result is replaced.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from critiq.llm.hashing import slices
+from critiq.llm.hashing import mix, slices
 from critiq.llm.rows import give_back, hold
 from critiq.session import spread_rows
 
@@ -40,28 +41,35 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 MOST_LANGUAGES = 200
 ROUNDS = 40
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 UNDECIDED = "und"
 RESULTS = ["lang_pred", "score", "languages"]
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What stands between letters within a word, and what is left of it at the ends.
+NOT_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
+ENDS = re.compile(" ?\n ?")
 
 
-class _Trigrams(dict):
-    """The buckets of a word's trigrams; none for a word without letters."""
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
-    def __missing__(self, word: bytes) -> np.ndarray:
-        letters = " ".join(NOT_LETTERS.sub(" ", word.decode(errors="ignore").lower()).split())
-        data = f" {letters} " if any(map(str.isalpha, letters)) else ""
-        grams = [xxhash.xxh32_intdigest(data[i : i + 3]) % BUCKETS for i in range(len(data) - 2)]
-        value = np.array(grams, np.int32)
-        if len(word) <= 48:
-            if len(self) >= 200_000:
-                self.clear()
-            self[word] = value
-        return value
 
+def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the letter trigrams of words without line ends, and the place of the word each is from.
 
-_TRIGRAMS = _Trigrams()
+    Words are lower-cased; a run of other characters is one blank, as is each end. A word
+    without letters has none.
+    """
+    lines = NOT_LETTERS.sub(" ", b"\n".join(words).decode(errors="ignore").lower()).strip(" ")
+    points = np.frombuffer(f" {ENDS.sub(' \n ', lines)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    cut = points == 10
+    word = np.cumsum(cut)
+    lettered = np.bincount(word, weights=_is_letter()[points], minlength=len(words)) > 0
+    first, second, third = points[:-2], points[1:-1], points[2:]
+    whole = ~(cut[:-2] | cut[1:-1] | cut[2:]) & lettered[word[:-2]]
+    packed = (first << 42 | second << 21 | third)[whole].astype(np.uint64)
+    return (mix(packed) % np.uint64(BUCKETS)).astype(np.int64), word[:-2][whole]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +80,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             words.setdefault(lang, Counter()).update(text.encode().split())
         for lang, counted in words.items():
-            grams = [_TRIGRAMS[w] for w in counted]
-            times = np.repeat(np.fromiter(counted.values(), np.int64, len(counted)), [len(g) for g in grams])
-            buckets = np.concatenate(grams) if grams else np.zeros(0, np.int32)
             total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            total += np.bincount(buckets, weights=times, minlength=BUCKETS).astype(np.int64)
+            if counted:
+                buckets, owner = trigrams(list(counted))
+                times = np.fromiter(counted.values(), np.int64, len(counted))
+                total += np.bincount(buckets, weights=times[owner], minlength=BUCKETS).astype(np.int64)
     for lang, total in totals.items():
         at = np.flatnonzero(total)
         columns = [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])]
@@ -140,29 +148,35 @@ def mixture(logs: np.ndarray, times: np.ndarray) -> tuple[list[int], np.ndarray]
     return chosen, share
 
 
-class _WordLogs:
-    """Log-likelihoods of words under every language, as rows of one array that is emptied when full."""
+class WordLogs:
+    """Log-likelihoods of words under every language; the words of many texts are worked out at once.
+
+    What is known is kept for the next texts as long as it is at most `most` words.
+    """
 
-    def __init__(self, table: np.ndarray, most: int = 100_000):
+    def __init__(self, table: np.ndarray, most: int = 200_000):
         self.table, self.most = table, most
-        self.rows = np.zeros((most, table.shape[1]))
+        self.rows = np.zeros((0, table.shape[1]))
         self.place: dict[bytes, int] = {}
 
-    def _log(self, word: bytes) -> np.ndarray | None:
-        grams = _TRIGRAMS[word]
-        return self.table[grams].sum(0) if len(grams) else None
+    def learn(self, texts: list[Counter]) -> None:
+        """Know the words of the texts; those of earlier ones may be forgotten."""
+        new = list(set().union(*texts).difference(self.place))
+        if len(self.place) + len(new) > self.most:
+            self.place, self.rows = {}, self.rows[:0]
+            new = list(set().union(*texts))
+        if not new:
+            return
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        buckets, owner = trigrams(new)
+        logs = np.full((len(new), self.table.shape[1]), np.nan)
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+        if len(starts):
+            logs[owner[starts]] = np.add.reduceat(self.table[buckets], starts)
+        self.rows = np.concatenate([self.rows, logs])
 
     def of(self, counted: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and counts of the words that have letters."""
-        if len(self.place) + len(counted) > self.most:
-            self.place.clear()
-        if len(counted) > self.most:  # one text with that many words
-            found = [(v, n) for v, n in ((self._log(w), n) for w, n in counted.items()) if v is not None]
-            return np.array([v for v, _ in found]).reshape(-1, self.table.shape[1]), np.array([n for _, n in found], float)
-        for word in [w for w in counted if w not in self.place]:
-            log = self._log(word)
-            self.place[word] = at = len(self.place)
-            self.rows[at] = np.nan if log is None else log
+        """Rows and counts of the words of a learned text that have letters."""
         places = np.fromiter(map(self.place.__getitem__, counted), np.int64, len(counted))
         times = np.fromiter(counted.values(), float, len(counted))
         logs = self.rows[places]
@@ -172,11 +186,13 @@ class _WordLogs:
 
 def _judge(languages: list[str], table: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordLogs(table) if languages else None
+        known = WordLogs(table) if languages else None
         for batch in slices(batches, "text", CHUNK_BYTES):
             best, score, sets = [], [], []
-            for text in batch.column("text").to_pylist():
-                counted = Counter(text.encode().split()) if text else None
+            texts = [Counter((text or "").encode().split()) for text in batch.column("text").to_pylist()]
+            if known:
+                known.learn(texts)
+            for counted in texts:
                 logs, times = known.of(counted) if counted and known else ((), ())
                 if not len(times):
                     best.append(UNDECIDED), score.append(0.0), sets.append([])

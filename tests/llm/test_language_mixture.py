@@ -51,6 +51,64 @@ def test_nothing_to_learn_from(spark, docs):
         L.learn_languages(docs, most_languages=2)
 
 
+def buckets(word):
+    """One trigram after the other."""
+    letters = " ".join("".join(c if c.isalpha() or (c.isalnum() and not c.isdecimal()) else " " for c in word.lower()).split())
+    if not any(map(str.isalpha, letters)):
+        return []
+    points = [ord(c) for c in f" {letters} "]
+    packed = [a << 42 | b << 21 | c for a, b, c in zip(points, points[1:], points[2:])]
+    return [int(L.mix(np.array([x], np.uint64))[0]) % L.BUCKETS for x in packed]
+
+
+def test_trigrams_of_many_words_equal_one_by_one():
+    words = ["a", "The", "don't", "12", "--", "x1y", "été!", "²", "a²", "日本", "ﬁn", "İx", "ΣΑΣ", "_a_", "((q))", "\u0301", "a\u0301b", "z" * 500, "🙂k🙂"]
+    for given in (words, words[::-1], ["--"], ["--", "7"], []):
+        found, owner = L.trigrams([w.encode() for w in given])
+        for i, word in enumerate(given):
+            assert found[owner == i].tolist() == buckets(word), word
+
+
+def brute(texts, languages, table):
+    """The most likely language set's largest one, by trying every set of languages."""
+    from itertools import combinations
+
+    out = []
+    for words in texts:
+        logs = np.array([table[buckets(w)].sum(0) for w in words if buckets(w)])
+        if not len(logs):
+            out.append(L.UNDECIDED)
+            continue
+        best = []
+        for size in range(1, len(languages) + 1):
+            for chosen in combinations(range(len(languages)), size):
+                likelihoods = np.exp(logs - logs.max(1, keepdims=True))[:, chosen] + 1e-300
+                share, fit = L.proportions(likelihoods, np.ones(len(logs)))
+                best.append((fit - 0.5 * np.log(max(len(logs), 2)) * size, languages[chosen[int(np.argmax(share))]]))
+        out.append(max(best)[1])
+    return out
+
+
+def test_predictions_equal_a_search_of_all_sets(spark, docs):
+    languages, table = L.learn_languages(docs)
+    texts = [text(lang, 40 + i, n) for i, (lang, n) in enumerate([("aa", 9), ("bb", 30), ("cc", 5), ("aa", 3), ("bb", 12)])]
+    texts += [text("aa", 70, 40) + " " + text("cc", 71, 25), "12 --", text("cc", 72, 20) + " " + text("bb", 73, 50), "the the the sch"]
+    found = judge(docs, [(100 + i, t, None, "") for i, t in enumerate(texts)], spark)
+    expected = brute([t.split() for t in texts], languages, table)
+    assert [found[100 + i]["lang_pred"] for i in range(len(texts))] == expected
+
+
+def test_a_full_memory_of_words_changes_nothing(docs):
+    languages, table = L.learn_languages(docs)
+    texts = [Counter(text(lang, 90 + i, 30).encode().split()) for i, lang in enumerate(languages * 3)]
+    large, small = L.WordLogs(table), L.WordLogs(table, most=10)
+    for one in texts:
+        large.learn([one])
+        small.learn([one])
+        assert all((a == b).all() for a, b in zip(large.of(one), small.of(one)))
+    assert len(small.place) < len(large.place)
+
+
 def test_counts_equal_brute_force(docs):
     languages, table = L.learn_languages(docs)
     assert languages == sorted(SYLLABLES)
@@ -58,7 +116,7 @@ def test_counts_equal_brute_force(docs):
         counts = Counter()
         for row in docs.where(F.col("lang") == lang).collect():
             for word in row["text"].encode().split():
-                counts.update(L._TRIGRAMS[word].tolist())
+                counts.update(buckets(word.decode()))
         total = sum(counts.values()) + L.SMOOTHING * L.BUCKETS
         expected = np.log((np.array([counts[b] for b in range(L.BUCKETS)]) + L.SMOOTHING) / total)
         assert np.allclose(table[:, column], expected)
