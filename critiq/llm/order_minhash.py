@@ -343,16 +343,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(similarity, size), "a binary, b binary")
 
 
-def _links_of_meeting(nodes: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Links between components that meet in a bucket."""
-    members = nodes.select("digest", "n", F.explode("entries").alias("entry"))
+def _links_of_meeting(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links between components that meet in a bucket; `members` has (entry, digest, n)."""
     members = members.join(found.withColumnRenamed("id", "digest"), "digest", "left")
     members = members.withColumn("component", F.coalesce("component", "digest"))
+    mark = F.xxhash64("digest")
     buckets = members.groupBy("entry").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.sum("n").alias("shingles")
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
+        F.count("*").alias("members"),
+        F.sum("n").alias("shingles"),
+        F.sum(mark.cast("decimal(20,0)")).alias("mark"),
+        F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("other_mark"),
     )
+    # texts that agree in several entries often make several buckets of the same members: one of them is enough
+    same = ["x", "y", "members", "shingles", "mark", "other_mark"]
+    buckets = buckets.where("x < y").groupBy(*same).agg(F.min("entry").alias("entry"))
     by_members, by_shingles = F.ceil(F.col("members") / TILE_MEMBERS), F.ceil(F.col("shingles") / TILE_SHINGLES)
-    buckets = buckets.where("x < y").select("entry", F.greatest(by_members, by_shingles).cast("int").alias("blocks"))
+    buckets = buckets.select("entry", F.greatest(by_members, by_shingles).cast("int").alias("blocks"))
     dealt = members.join(buckets, "entry").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
@@ -396,15 +404,16 @@ def near_duplicates(
 
     buckets = members.groupBy("entry").agg(F.min(F.struct("digest", "n")).alias("first"), F.max("digest").alias("last"))
     buckets = buckets.where(F.col("first.digest") < F.col("last")).select("entry", "first.digest", "first.n").toDF("entry", "b", "m")
-    pairs = members.join(buckets, "entry").where(F.col("digest") != F.col("b"))
-    pairs = written(pairs.select(F.col("digest").alias("a"), "b", close("n", "m").alias("close")).distinct(), "pairs")
+    # all but the first of their bucket, with which they are compared now; tiles compare the rest
+    rest = members.join(buckets, "entry").where(F.col("digest") != F.col("b"))
+    pairs = written(rest.select(F.col("digest").alias("a"), "b", close("n", "m").alias("close")).distinct(), "pairs")
     asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("digest")
     rows = nodes.join(asked, "digest").select("digest", "row.id", "row.key")
     texts = given.join(written(rows, "asked"), ["id", "key"]).groupBy("digest").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
     links = written(_verified(pairs.where("close").select("a", "b"), texts, similarity, size), "verified")
     stars = components(links)
-    more = written(_links_of_meeting(nodes.join(texts.select("digest"), "digest", "left_semi"), texts, stars, similarity, size), "verified")
+    more = written(_links_of_meeting(rest.select("entry", "digest", "n"), texts, stars, similarity, size), "verified")
     found = components(more.unionByName(stars.toDF("a", "b"))) if not more.isEmpty() else stars
 
     grouped = nodes.select("digest", "row").join(found.withColumnRenamed("id", "digest"), "digest", "left")
