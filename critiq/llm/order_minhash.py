@@ -13,7 +13,7 @@ The alignment follows the diagonals within the number of insertions and deletion
 similarity leaves, and stops where it is exceeded.
 
 Equal texts are one node, known by a digest of their words. Nodes with the same entry form a
-bucket. First every member is compared with the smallest digest of its bucket, which settles most
+bucket. First every member is compared with the first node of its bucket, which settles most
 of them. Then only buckets remain in which several components meet. Their members are dealt to blocks
 of bounded size, and every two blocks of a bucket are a tile, worked on by one task: it counts the
 shingles that members share, aligns those pairs that share enough and are not yet connected, and
@@ -28,7 +28,7 @@ Edge cases: a text of fewer than five words is one shingle; texts without words
 grouped. A null id gets a null class. Rows are told apart by id and text: those with one id and
 different texts are documents of their own, which may be in different classes. The class id is
 the smallest id of the class, so two classes bear the same one if an id has several texts. Of a class,
-the row of the smallest id stays, of several texts of that id the one with the smallest digest. An empty
+the row of the smallest id stays, of several texts of that id the one with the smallest hash. An empty
 table gives an empty result. A very long text is one row, cut into pieces only where batches are.
 Input columns stay; one named class_id is replaced.
 """
@@ -233,7 +233,7 @@ def verifier(similarity: float, size: int) -> Callable:
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             known: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-            good: list[tuple[bytes, bytes]] = []
+            good: list[tuple[int, int]] = []
             for a, b, text_a, text_b in zip(*columns):
                 if known[0] != text_b:
                     known = text_b, shingles(hash_words(_words(text_b)), size)
@@ -244,8 +244,8 @@ def verifier(similarity: float, size: int) -> Callable:
     return run
 
 
-def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    ends = [pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)]
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
     return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
 
@@ -255,7 +255,7 @@ def _sequences(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
             rows = [shingles(hash_words(_words(text)), size) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), _lists(rows)], names=["digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(rows)], names=["node", "shingles"])
 
     return run
 
@@ -281,14 +281,14 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def tile_links(members: list[tuple[int, bytes, bytes, np.ndarray]], similarity: float) -> list[tuple[bytes, bytes]]:
-    """Links that connect components of a tile; a member is (block, digest, component, shingles).
+def tile_links(members: list[tuple[int, int, int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect components of a tile; a member is (block, node, component, shingles).
 
     Two blocks are compared with each other; a block alone with itself.
     """
-    own: dict[bytes, bytes] = {}
+    own: dict[int, int] = {}
 
-    def root(component: bytes) -> bytes:
+    def root(component: int) -> int:
         while (above := own.get(component, component)) != component:
             component = above
         return component
@@ -322,15 +322,15 @@ def _tiles(similarity: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, []
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
-            columns = [batch.column(c).to_pylist() for c in ("entry", "one", "other", "block", "digest", "component")]
+            found: list[tuple[int, int]] = []
+            columns = [batch.column(c).to_pylist() for c in ("entry", "one", "other", "block", "node", "component")]
             lists = batch.column("shingles")
             offsets, numbers = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
-            for row, (*tile, block, digest, component) in enumerate(zip(*columns)):
+            for row, (*tile, block, node, component) in enumerate(zip(*columns)):
                 if tile != now:
                     found += tile_links(members, similarity) if len(members) > 1 else []
                     now, members = tile, []
-                members.append((block, digest, component, numbers[offsets[row] : offsets[row + 1]]))
+                members.append((block, node, component, numbers[offsets[row] : offsets[row + 1]]))
             yield _links(found)
         if len(members) > 1:
             yield _links(tile_links(members, similarity))
@@ -340,38 +340,38 @@ def _tiles(similarity: float) -> Callable:
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(similarity, size), "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(similarity, size), "a bigint, b bigint")
 
 
 def _links_of_meeting(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Links between components that meet in a bucket; `members` has (entry, digest, n)."""
-    members = members.join(found.withColumnRenamed("id", "digest"), "digest", "left")
-    members = members.withColumn("component", F.coalesce("component", "digest"))
-    mark = F.xxhash64("digest")
+    """Links between components that meet in a bucket; `members` has (entry, node, n)."""
+    members = members.join(found.withColumnRenamed("id", "node"), "node", "left")
+    members = members.withColumn("component", F.coalesce("component", "node"))
+    mark = F.xxhash64("node")
     buckets = members.groupBy("entry").agg(
         F.min("component").alias("x"),
         F.max("component").alias("y"),
         F.count("*").alias("members"),
         F.sum("n").alias("shingles"),
         F.sum(mark.cast("decimal(20,0)")).alias("mark"),
-        F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("other_mark"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other_mark"),
     )
     # texts that agree in several entries often make several buckets of the same members: one of them is enough
     same = ["x", "y", "members", "shingles", "mark", "other_mark"]
     buckets = buckets.where("x < y").groupBy(*same).agg(F.min("entry").alias("entry"))
     by_members, by_shingles = F.ceil(F.col("members") / TILE_MEMBERS), F.ceil(F.col("shingles") / TILE_SHINGLES)
     buckets = buckets.select("entry", F.greatest(by_members, by_shingles).cast("int").alias("blocks"))
-    dealt = members.join(buckets, "entry").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = members.join(buckets, "entry").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "entry", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "digest", "component"
+        "entry", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block", "node", "component"
     )
     dealt = written(dealt, "tiles")
-    asked = texts.join(dealt.select("digest").distinct(), "digest", "left_semi")
-    sequences = asked.mapInArrow(_sequences(size), "digest binary, shingles array<bigint>")
+    asked = texts.join(dealt.select("node").distinct(), "node", "left_semi")
+    sequences = asked.mapInArrow(_sequences(size), "node bigint, shingles array<bigint>")
     tile = ["entry", "one", "other"]
-    lined_up = dealt.join(sequences, "digest").repartition(*tile).sortWithinPartitions(*tile, "digest")
-    return lined_up.mapInArrow(_tiles(similarity), "a binary, b binary")
+    lined_up = dealt.join(sequences, "node").repartition(*tile).sortWithinPartitions(*tile, "node")
+    return lined_up.mapInArrow(_tiles(similarity), "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -395,29 +395,32 @@ def near_duplicates(
     found_nodes = written(with_words.agg(first_row, *[F.first(c).alias(c) for c in ("n", "entries", "marked")]), "nodes")
     keys = F.concat("entries", F.coalesce("rarest", F.array().cast("array<bigint>")))
     nodes = found_nodes.join(rarest_shingles(found_nodes, similarity), "digest", "left")
-    nodes = written(nodes.select("digest", "row", "n", keys.alias("entries")), "nodes")
+    # numbers given once and written, so that they stay the same: short, in place of digests
+    numbered = nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "row", "n", keys.alias("entries"))
+    nodes = written(numbered, "nodes")
     discard(found_nodes)
-    members = nodes.select("digest", "n", F.explode("entries").alias("entry"))
+    members = nodes.select("node", "n", F.explode("entries").alias("entry"))
 
     def close(n: str, m: str) -> Column:
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
-    buckets = members.groupBy("entry").agg(F.min(F.struct("digest", "n")).alias("first"), F.max("digest").alias("last"))
-    buckets = buckets.where(F.col("first.digest") < F.col("last")).select("entry", "first.digest", "first.n").toDF("entry", "b", "m")
+    buckets = members.groupBy("entry").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"))
+    buckets = buckets.where(F.col("first.node") < F.col("last")).select("entry", "first.node", "first.n").toDF("entry", "b", "m")
     # all but the first of their bucket, with which they are compared now; tiles compare the rest
-    rest = members.join(buckets, "entry").where(F.col("digest") != F.col("b"))
-    pairs = written(rest.select(F.col("digest").alias("a"), "b", close("n", "m").alias("close")).distinct(), "pairs")
-    asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("digest")
-    rows = nodes.join(asked, "digest").select("digest", "row.id", "row.key")
-    texts = given.join(written(rows, "asked"), ["id", "key"]).groupBy("digest").agg(F.min("text").alias("text"))
+    rest = members.join(buckets, "entry").where(F.col("node") != F.col("b"))
+    rest = written(rest.select("entry", "node", "n", "b", close("n", "m").alias("close")), "members")
+    pairs = written(rest.select(F.col("node").alias("a"), "b", "close").distinct(), "pairs")
+    asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    rows = nodes.join(asked, "node").select("node", "row.id", "row.key")
+    texts = given.join(written(rows, "asked"), ["id", "key"]).groupBy("node").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
     links = written(_verified(pairs.where("close").select("a", "b"), texts, similarity, size), "verified")
     stars = components(links)
-    more = written(_links_of_meeting(rest.select("entry", "digest", "n"), texts, stars, similarity, size), "verified")
+    more = written(_links_of_meeting(rest.select("entry", "node", "n"), texts, stars, similarity, size), "verified")
     found = components(more.unionByName(stars.toDF("a", "b"))) if not more.isEmpty() else stars
 
-    grouped = nodes.select("digest", "row").join(found.withColumnRenamed("id", "digest"), "digest", "left")
-    grouped = grouped.withColumn("component", F.coalesce("component", "digest"))
+    grouped = nodes.select("node", "digest", "row").join(found.withColumnRenamed("id", "node"), "node", "left")
+    grouped = grouped.withColumn("component", F.coalesce("component", "node"))
     firsts = grouped.groupBy("component").agg(F.min("row").alias("first"))
     grouped = grouped.join(firsts, "component").select("digest", "first")
     own = F.struct("id", "key")
