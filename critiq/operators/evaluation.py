@@ -27,19 +27,23 @@ def _f1(precision: Column, recall: Column) -> Column:
 MOST_CLASSES = 1000
 
 
-def pair_counts(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    return scored.groupBy(F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(
-        F.count("*").alias("n")
-    )
+def pair_counts(
+    scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", weight: str | None = None
+) -> DataFrame:
+    """Rows per pair of labels; with `weight`, rows that stand for several."""
+    rows = F.count("*") if weight is None else F.sum(weight)
+    return scored.groupBy(F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(rows.alias("n"))
 
 
-def confusion_matrix(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+def confusion_matrix(
+    scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", weight: str | None = None
+) -> DataFrame:
     """Counts for every pair of labels that occur anywhere, zeros included.
 
     A missing label is a class of its own. More than `MOST_CLASSES` labels are an error, because
     the cells are as many as their square.
     """
-    counts = pair_counts(scored, y_true, y_pred)
+    counts = pair_counts(scored, y_true, y_pred, weight)
     found = counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
     labels = [F.lit(row["label"]) for row in found.limit(MOST_CLASSES + 1).collect()]
     if len(labels) > MOST_CLASSES:
@@ -75,10 +79,12 @@ def binary_metrics(
     )
 
 
-def class_metrics(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+def class_metrics(
+    scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", weight: str | None = None
+) -> DataFrame:
     """Precision, recall, F1 and support of each class seen in truth or prediction."""
     nothing = F.lit(0).cast("long")
-    seen = pair_counts(scored, y_true, y_pred).select(
+    seen = pair_counts(scored, y_true, y_pred, weight).select(
         F.inline(
             F.array(
                 F.struct(
@@ -213,6 +219,63 @@ def roc_auc(
     return steps.agg((F.sum(half_pairs).cast("double") / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 
 
+def evaluate_all(
+    scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", score: str | None = None, positive: int = 1
+) -> DataFrame:
+    """Every metric of a scored table in one long table: (metric, label, other, value).
+
+    Accuracy, precision, recall and f1_score of the positive class; the same weighted by class, with the
+    prefix weighted_; each class with class_precision, class_recall, class_f1 and support; a cell
+    of the confusion matrix for each pair of labels (true, predicted); with a score also roc_auc, and
+    each point of the curve as tpr, with its fpr as label and its threshold as other.
+    """
+    counts = written(
+        scored.groupBy(F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(F.count("*").alias("n")), "pairs"
+    )
+    text = lambda c: F.col(c).cast("string")
+    nothing = F.lit(None).cast("string")
+
+    def long(df: DataFrame, names: dict[str, str], label: Column, other: Column) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for c, n in names.items()])
+        return df.select(label.alias("label"), other.alias("other"), F.inline(cells)).select("metric", "label", "other", "value")
+
+    single = _of_counts(counts, positive)
+    result = long(single, {c: c for c in single.columns}, nothing, nothing)
+    classes = class_metrics(counts, weight="n")
+    summary = classes.agg(
+        (F.sum("_hits") / F.sum("support")).alias("accuracy"), *[_weighted(m).alias(m) for m in ("precision", "recall", "f1")]
+    )
+    result = result.unionByName(long(summary, {c: f"weighted_{c}" for c in ("precision", "recall", "f1")}, nothing, nothing))
+    of_class = {"precision": "class_precision", "recall": "class_recall", "f1": "class_f1", "support": "support"}
+    result = result.unionByName(long(classes, of_class, text("label"), nothing))
+    result = result.unionByName(long(confusion_matrix(counts, weight="n"), {"n": "confusion"}, text("y_true"), text("y_pred")))
+    if score is not None:
+        result = result.unionByName(long(roc_auc(scored, y_true, score, positive), {"roc_auc": "roc_auc"}, nothing, nothing))
+        points = roc_curve(scored, y_true, score, positive)
+        result = result.unionByName(long(points, {"tpr": "tpr"}, text("fpr"), text("threshold")))
+    return result
+
+
+def _of_counts(counts: DataFrame, positive: int) -> DataFrame:
+    """The metrics of the positive class from counts per pair of labels."""
+    is_true, is_pred = F.col("y_true") == positive, F.col("y_pred") == positive
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    known = F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()
+    sums = counts.agg(
+        (rows(F.col("y_true") == F.col("y_pred")) / F.nullif(rows(known), F.lit(0))).alias("accuracy"),
+        rows(is_true & is_pred).alias("_hits"),
+        rows(is_pred).alias("_predicted"),
+        rows(is_true).alias("_actual"),
+    )
+    precision, recall = _safe_ratio(F.col("_hits"), F.col("_predicted")), _safe_ratio(F.col("_hits"), F.col("_actual"))
+    return sums.select("accuracy", precision.alias("precision"), recall.alias("recall")).withColumn(
+        "f1_score", _f1(F.col("precision"), F.col("recall"))
+    )
+
+
 def scored_loss_accuracy(
     scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", p_true: str = "p_true"
 ) -> DataFrame:

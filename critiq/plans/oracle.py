@@ -576,10 +576,10 @@ vocabulary AS (
   SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= {fixed.MIN_DF}
   ORDER BY sum(n) DESC, term LIMIT {fixed.MAX_FEATURES}),
 size AS (SELECT count(*)::DOUBLE AS docs FROM documents),
-weighted AS (
+weighted AS MATERIALIZED (
   SELECT doc_id, term, n * (ln((1 + docs) / (1 + df)) + 1) AS w
   FROM tf JOIN vocabulary USING (term), size),
-scores AS (
+scores AS MATERIALIZED (
   SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS score FROM weighted)
 """
 ORACLES["tfidf_scores"] = f"{_TFIDF} SELECT doc_id, term, round(score, 6) AS score FROM scores"
@@ -598,3 +598,74 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term)::INTEGER AS rank FROM scores)
 SELECT doc_id, is_appropriate, n_matches, rank, term AS keyword, round(score, 6) AS score
 FROM ranked JOIN judged USING (doc_id) WHERE rank <= 10"""
+
+# --- Components, streams, files of runs --------------------------------------
+
+ORACLES["pca_score_lengths"] = f"""WITH {_CELLS}, centred AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY pos) AS d FROM cells)
+SELECT vec_id, round(sum(d * d), 6) AS squared_length FROM centred GROUP BY vec_id"""
+ORACLES["pca_component_correlation"] = """
+SELECT a.i::INTEGER AS a, b.i::INTEGER AS b, CASE WHEN a.i = b.i THEN 1::DOUBLE ELSE 0::DOUBLE END AS r
+FROM range(5) a(i), range(5) b(i)"""
+ORACLES["pca_variance"] = f"""WITH {_CELLS}, spread AS (SELECT pos, var_samp(v) AS s FROM cells GROUP BY pos)
+SELECT round(sum(s), 6) AS total_variance, true AS falls FROM spread"""
+ORACLES["projection_lengths"] = f"""{_ANALYSED},
+listed AS (
+  SELECT doc_id, unnest([polarity, n_chars / (n_chars + 1000::DOUBLE), intensity, is_sarcastic::DOUBLE, is_exaggerated::DOUBLE,
+    is_personal::DOUBLE, is_recommendation::DOUBLE]) AS v, unnest(range(7)) AS pos FROM analysed),
+centred AS (SELECT doc_id, v - avg(v) OVER (PARTITION BY pos) AS d FROM listed)
+SELECT doc_id, round(sum(d * d), 6) AS squared_length FROM centred GROUP BY doc_id"""
+ORACLES["behavior_stream"] = """
+WITH start AS (SELECT date_trunc('day', min(ts)) AS t0, max(ts) AS latest FROM events),
+in_time AS (
+  SELECT e.*, date_trunc('day', ts) AS day, latest FROM events e, start
+  WHERE NOT (event_id % 97 = 0 AND ts < t0 + INTERVAL 10 DAY))
+SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, user_id, count(ts) AS review_frequency,
+  round(avg(value), 6) AS avg_rating, round(stddev_samp(value), 6) AS rating_std, round(avg(length(props)), 6) AS avg_review_length
+FROM in_time WHERE user_id IS NOT NULL AND day + INTERVAL 1 DAY <= latest - INTERVAL 1 DAY GROUP BY day, user_id"""
+_RUNS = f"""
+WITH parts AS (
+  SELECT c_nationkey AS run, c_custkey % 8 AS epoch, max(c_acctbal / 1000::DOUBLE) AS loss,
+    (count(*) FILTER (c_acctbal > 0))::DOUBLE AS acc FROM customer GROUP BY ALL),
+placed AS (
+  SELECT run, row_number() OVER up - 1 AS epoch, row_number() OVER down - 1 AS from_end, loss, acc FROM parts
+  WINDOW up AS (PARTITION BY run ORDER BY epoch), down AS (PARTITION BY run ORDER BY epoch DESC))
+"""
+ORACLES["run_histories"] = f"""{_RUNS}
+SELECT p.run::INTEGER AS run, p.epoch::INTEGER AS epoch, p.loss AS train_loss, p.acc AS train_acc, q.loss AS val_loss, 0::INTEGER AS n_val_acc
+FROM placed p JOIN placed q ON p.run = q.run AND p.epoch = q.from_end"""
+ORACLES["history_compare"] = f"""{_RUNS}
+SELECT run::INTEGER AS run, loss AS final_loss, acc AS final_acc FROM placed WHERE from_end = 0"""
+ORACLES["run_evaluations"] = """
+SELECT l_linenumber::INTEGER AS run, round(avg(((l_returnflag = 'R') = (l_quantity > 25))::INTEGER), 6) AS accuracy,
+  count(*) FILTER (l_returnflag <> 'R' AND l_quantity <= 25) AS n00, count(*) FILTER (l_returnflag <> 'R' AND l_quantity > 25) AS n01,
+  count(*) FILTER (l_returnflag = 'R' AND l_quantity <= 25) AS n10, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 25) AS n11
+FROM lineitem GROUP BY l_linenumber"""
+ORACLES["latest_run"] = "SELECT r_name AS run FROM region ORDER BY r_regionkey LIMIT 1"
+ORACLES["json_report"] = _BY_CATEGORY
+ORACLES["held_out_rows"] = f"""
+WITH hashed AS (
+  SELECT text, quality AS label, row_number() OVER (ORDER BY md5('{fixed.SEED}:' || doc_id)) AS place
+  FROM labels JOIN documents USING (doc_id))
+SELECT md5(text) AS text_md5, label FROM hashed WHERE place <= {P.TEST_ROWS}"""
+ORACLES["csv_missing_cells"] = """
+SELECT doc_id, CASE WHEN n_chars % 7 = 5 THEN 'kept' END AS cell, lang FROM documents"""
+ORACLES["evaluate_all"] = f"""{_BY_LENGTH},
+classes AS (SELECT * FROM {_classes('scored')}),
+single AS (
+  SELECT count(*) FILTER (y_true = 1 AND y_pred = 1) AS hits, count(*) FILTER (y_pred = 1) AS predicted,
+    count(*) FILTER (y_true = 1) AS actual, avg((y_true = y_pred)::INTEGER) AS accuracy FROM scored),
+labels_seen AS (SELECT y_true AS v FROM scored UNION SELECT y_pred FROM scored)
+SELECT 'accuracy' AS metric, NULL::VARCHAR AS label, NULL::VARCHAR AS other, round(accuracy, 6) AS value FROM single
+UNION ALL SELECT 'precision', NULL, NULL, round({_ratio('hits', 'predicted')}, 6) FROM single
+UNION ALL SELECT 'recall', NULL, NULL, round({_ratio('hits', 'actual')}, 6) FROM single
+UNION ALL SELECT 'f1_score', NULL, NULL, round({_ratio('2 * hits', 'predicted + actual')}, 6) FROM single
+UNION ALL SELECT 'weighted_precision', NULL, NULL, {_weighted('precision')} FROM classes
+UNION ALL SELECT 'weighted_recall', NULL, NULL, {_weighted('recall')} FROM classes
+UNION ALL SELECT 'weighted_f1', NULL, NULL, {_weighted('f1')} FROM classes
+UNION ALL SELECT 'class_precision', label::VARCHAR, NULL, round(precision, 6) FROM classes
+UNION ALL SELECT 'class_recall', label::VARCHAR, NULL, round(recall, 6) FROM classes
+UNION ALL SELECT 'class_f1', label::VARCHAR, NULL, round(f1, 6) FROM classes
+UNION ALL SELECT 'support', label::VARCHAR, NULL, support::DOUBLE FROM classes
+UNION ALL SELECT 'confusion', t.v::VARCHAR, p.v::VARCHAR,
+  (SELECT count(*) FROM scored s WHERE s.y_true = t.v AND s.y_pred = p.v)::DOUBLE FROM labels_seen t, labels_seen p
+UNION ALL SELECT 'roc_auc', NULL, NULL, {_auc('scored', 'y_true', 'y_score')}"""

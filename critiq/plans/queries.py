@@ -23,8 +23,8 @@ from critiq.operators import (
 from critiq.operators.ordered import row_positions
 from critiq.operators.sentiment import with_sentiment
 from critiq.plans import parameters as P
-from critiq.session import scratch_path, spread_rows, written
-from critiq.sources import csv_reviews, jsonl, profile, word_lists
+from critiq.session import remove_path, scratch_path, spread_rows, written
+from critiq.sources import artifacts, csv_reviews, jsonl, profile, word_lists
 from critiq.streaming import reviews as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -740,6 +740,14 @@ def roc_auc(spark, folder):
     return rows.withColumn("roc_auc", r6("roc_auc"))
 
 
+@query
+def evaluate_all(spark, folder):
+    """All metrics of the length score in one call."""
+    found = evaluation.evaluate_all(_scored_by_length(spark, folder), score="y_score")
+    keep = F.col("metric") != "tpr"  # the curve is a query of its own
+    return found.where(keep).withColumn("value", r6("value"))
+
+
 @query
 def scored_loss_accuracy(spark, folder):
     p_true = F.when(F.col("y_true") == 1, F.col("y_score")).otherwise(1 - F.col("y_score"))
@@ -871,6 +879,47 @@ def pca_reconstruction_anomaly(spark, folder):
     return found.select("vec_id", "error", "is_anomaly")
 
 
+def _all_scores(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    return written(features.pca_scores(_vectors(spark, folder), k=k).select("vec_id", "scores"), "scores")
+
+
+@query
+def pca_score_lengths(spark, folder):
+    """The squared length of the scores of all components, which is that of the centred vector."""
+    width = _vectors(spark, folder).select(F.size("vec")).first()[0]
+    scores = _all_scores(spark, folder, width)
+    square = F.aggregate("scores", F.lit(0.0), lambda total, x: total + x * x)
+    return scores.select("vec_id", r6(square).alias("squared_length"))
+
+
+@query
+def pca_component_correlation(spark, folder):
+    """The correlation of every two of the first components: none."""
+    k = 5
+    scores = _all_scores(spark, folder, k)
+    cells = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.abs(F.round(F.corr(F.col("scores")[i], F.col("scores")[j]), 6)).alias("r")) for i in range(k) for j in range(k)]
+    return scores.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+@query
+def pca_variance(spark, folder):
+    """The variance of all components together, and whether it falls from one to the next."""
+    width = _vectors(spark, folder).select(F.size("vec")).first()[0]
+    scores = _all_scores(spark, folder, width)
+    spread = scores.agg(F.array(*[F.var_samp(F.col("scores")[i]) for i in range(width)]).alias("v"))
+    falls = F.forall(F.sequence(F.lit(1), F.lit(width - 1)), lambda i: F.get("v", i) <= F.get("v", i - 1) + 1e-12)
+    return spread.select(r6(F.aggregate("v", F.lit(0.0), lambda total, x: total + x)).alias("total_variance"), falls.alias("falls"))
+
+
+@query
+def projection_lengths(spark, folder):
+    """The squared length of all seven projected review features, which is that of the centred features."""
+    featured = reviews.review_features(_analysed(spark, folder)).select("doc_id", "features")
+    flat = features.pca_scores(written(featured, "features"), "features", 7)
+    square = F.aggregate("scores", F.lit(0.0), lambda total, x: total + x * x)
+    return flat.select("doc_id", r6(square).alias("squared_length"))
+
+
 @query
 def review_projection(spark, folder):
     """Two components of the seven review features, with the verdict."""
@@ -939,3 +988,144 @@ def review_stream(spark, folder):
     path = scratch_path(spark, "stream")
     streams.write_available(scored, f"{path}/rows", f"{path}/state").awaitTermination()
     return spark.read.schema(scored.schema).parquet(f"{path}/rows")
+
+
+@query
+def behavior_stream(spark, folder):
+    """Windowed behaviour as a stream with a watermark of a day, in five batches.
+
+    The first four come in the order of arrival, up to twelve hours after the event; the last has a part of
+    the events of the first ten days, too late for their windows. What the stream has closed is returned.
+    """
+    path = scratch_path(spark, "events")
+    events = table(spark, folder, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("rating"), F.col("props").alias("text")
+    )
+    start = events.select(F.date_trunc("day", F.min("timestamp"))).scalar()
+    days = (F.unix_micros("timestamp") - F.unix_micros(start)) / F.lit(86_400_000_000.0)
+    too_late = (F.col("event_id") % 97 == 0) & (days < 10)
+    arrival = F.floor((days + (F.col("event_id") % 5) / 8.0) / 8)
+    batch = F.when(too_late, 4).otherwise(F.least(arrival, F.lit(3)))
+    dealt = written(events.withColumn("batch", batch.cast("int")), "dealt")
+    files = spark.sparkContext.defaultParallelism
+    for number in range(5):
+        dealt.where(F.col("batch") == number).drop("batch").repartition(files).write.mode("append").parquet(f"{path}/in")
+    stream = streams.read_review_stream(spark, f"{path}/in", dealt.drop("batch").schema, files_per_batch=files)
+    found = streams.windowed_behavior_stream(stream)
+    streams.write_available(found, f"{path}/out", f"{path}/state").awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{path}/out")
+    return _kept(
+        rows.select(
+            F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+            "user_id",
+            "review_frequency",
+            *[r6(c).alias(c) for c in rows.columns[3:]],
+        ),
+        path,
+    )
+
+
+# --- Files of runs -----------------------------------------------------------
+
+
+def _kept(result: DataFrame, *paths: str) -> DataFrame:
+    """The result in a table of its own, so that the folders it was read from can go."""
+    result = written(result, "result")
+    for path in paths:
+        remove_path(result.sparkSession, path)
+    return result
+
+
+def _histories(spark: SparkSession, folder: str, path: str) -> None:
+    """A run for each nation, with the largest balance of eight parts of its customers as the loss of an epoch."""
+    epochs = range(8)
+    balance, part = F.col("c_acctbal") / 1000.0, F.col("c_custkey") % 8
+    largest = [F.max(F.when(part == e, balance)) for e in epochs]
+    positive = [F.sum(F.when(part == e, (balance > 0).cast("double"))) for e in epochs]
+    of_run = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("run")).agg(
+        F.array_compact(F.array(*largest)).alias("train_loss"), F.array_compact(F.array(*positive)).alias("train_acc")
+    )
+    history = F.struct("train_loss", "train_acc", F.reverse("train_loss").alias("val_loss"), F.array().cast("array<double>").alias("val_acc"))
+    of_run.select("run", F.to_json(history, {"pretty": "true"})).write.partitionBy("run").text(path)
+
+
+def _run() -> Column:
+    return F.regexp_extract("checkpoint", "run=(.*)", 1)
+
+
+@query
+def run_histories(spark, folder):
+    """Histories written as nested files, one folder a run, and read back with every epoch."""
+    path = scratch_path(spark, "runs")
+    _histories(spark, folder, path)
+    found = artifacts.read_histories(spark, path, "*.txt").select(_run().cast("int").alias("run"), "*")
+    epochs = found.select("run", F.posexplode(F.arrays_zip("train_loss", "train_acc", "val_loss")).alias("epoch", "x"), F.size("val_acc").alias("n_val_acc"))
+    return _kept(epochs.select("run", "epoch", "x.train_loss", "x.train_acc", "x.val_loss", "n_val_acc"), path)
+
+
+@query
+def history_compare(spark, folder):
+    path = scratch_path(spark, "runs")
+    _histories(spark, folder, path)
+    found = artifacts.history_compare(artifacts.read_histories(spark, path, "*.txt"))
+    return _kept(found.select(_run().cast("int").alias("run"), "final_loss", "final_acc"), path)
+
+
+@query
+def run_evaluations(spark, folder):
+    """Results per ship mode, with a matrix of counts, written as nested files and read back."""
+    path = scratch_path(spark, "runs")
+    returned, large = F.col("l_returnflag") == "R", F.col("l_quantity") > 25
+    matrix = F.array(*[F.array(*[F.count_if((returned == a) & (large == b)) for b in (False, True)]) for a in (False, True)])
+    results = table(spark, folder, "lineitem").groupBy(F.col("l_linenumber").alias("run")).agg(
+        F.round(F.avg((returned == large).cast("double")), 6).alias("accuracy"), matrix.alias("confusion_matrix")
+    )
+    results.select("run", F.to_json(F.struct("accuracy", "confusion_matrix"), {"pretty": "true"})).write.partitionBy("run").text(path)
+    found = artifacts.read_evaluations(spark, path, "*.txt")
+    cells = [F.col("confusion_matrix")[i][j].alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)]
+    return _kept(found.select(_run().cast("int").alias("run"), "accuracy", *cells), path)
+
+
+@query
+def latest_run(spark, folder):
+    """The run written last, of one for each region from the last to the first."""
+    path = scratch_path(spark, "runs")
+    regions = table(spark, folder, "region").orderBy(F.desc("r_regionkey")).limit(100).collect()
+    nations = table(spark, folder, "nation")
+    for region in regions:
+        own = nations.where(F.col("n_regionkey") == region["r_regionkey"]).coalesce(1)
+        artifacts.write_json(own, f"{path}/run={region['r_name'].replace(' ', '_')}")
+    found = artifacts.latest_artifact(spark, path, "*.json")
+    return _kept(found.select(F.replace(F.regexp_extract("folder", "run=([^/]*)", 1), F.lit("_"), F.lit(" ")).alias("run")), path)
+
+
+@query
+def json_report(spark, folder):
+    """The ratings of categories written as a report and read back."""
+    path = scratch_path(spark, "report")
+    report = tables.category_ratings(_rated(spark, folder)).withColumn("avg_rating", r6("avg_rating"))
+    artifacts.write_json(report, path)
+    return _kept(spark.read.schema(report.schema).json(path), path)
+
+
+@query
+def held_out_rows(spark, folder):
+    """The test rows of a split with text and label, written for a later evaluation and read back."""
+    path = scratch_path(spark, "held")
+    labelled = table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id")
+    test = split.train_test_split_exact(labelled, ["doc_id"], P.TEST_ROWS).where("split = 'test'")
+    artifacts.write_held_out(test.withColumnRenamed("quality", "label"), path)
+    held = spark.read.parquet(path)
+    return _kept(held.select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "label"), path)
+
+
+@query
+def csv_missing_cells(spark, folder):
+    """Documents written as CSV with cells that mean 'missing', and read back."""
+    path = scratch_path(spark, "csv")
+    names = F.array(*map(F.lit, ("NA", "null", "None", "nan", "N/A", "kept")))
+    cell = F.get(names, (F.col("n_chars") % 7).cast("int"))
+    rows = table(spark, folder, "documents").select("doc_id", cell.alias("cell"), "lang")
+    rows.write.csv(path, header=True, escape='"')
+    read = csv_reviews.read_csv(spark, path)
+    return _kept(read.select(F.col("doc_id").cast("long").alias("doc_id"), "cell", "lang"), path)

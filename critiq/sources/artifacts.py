@@ -13,11 +13,11 @@ def _folder_of(path: str) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def read_histories(spark: SparkSession, folder: str) -> DataFrame:
+def read_histories(spark: SparkSession, folder: str, pattern: str = "training_history.json") -> DataFrame:
     """Training histories, one row per run folder with its lists per epoch."""
     return (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "training_history.json")
+        .option("pathGlobFilter", pattern)
         .json(folder, schema=_LISTS, multiLine=True)
         .select(_folder_of("_metadata.file_path").alias("checkpoint"), "*")
     )
@@ -31,11 +31,11 @@ def history_compare(histories: DataFrame) -> DataFrame:
     )
 
 
-def read_evaluations(spark: SparkSession, folder: str) -> DataFrame:
+def read_evaluations(spark: SparkSession, folder: str, pattern: str = "evaluation_results.json") -> DataFrame:
     """Evaluation results, one row per run folder."""
     return (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "evaluation_results.json")
+        .option("pathGlobFilter", pattern)
         .json(folder, multiLine=True)
         .select(_folder_of("_metadata.file_path").alias("checkpoint"), "*")
     )

@@ -16,12 +16,16 @@ def read_review_stream(
     schema: StructType,
     pattern: str = "*.parquet",
     partitions: int | None = None,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """New parquet files of a folder as a stream, dealt to `partitions` if given.
+    """New parquet files of a folder as a stream, oldest first, dealt to `partitions` if given.
 
     Dealing helps when a batch is a few files that cannot be split.
     """
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(folder)
     return stream.repartition(partitions) if partitions else stream
 
 

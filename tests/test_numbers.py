@@ -396,3 +396,21 @@ def test_a_costly_score_is_computed_once(spark, monkeypatch):
     scored = spark.range(50).select((F.col("id") % 2).alias("y_true"), F.udf(costly, "double")(F.col("id") % 7).alias("y_score"))
     area = evaluation.roc_auc(scored).first()[0]
     assert 0 < area < 1 and calls.value == 50
+
+
+def test_one_call_has_every_metric(spark):
+    rows = [(0, 0, 0.1), (0, 1, 0.6), (1, 1, 0.9), (1, 1, 0.7), (1, 0, 0.4), (2, 1, 0.55)]
+    scored = spark.createDataFrame(rows, "y_true int, y_pred int, s double")
+    found = {(r["metric"], r["label"], r["other"]): r["value"] for r in evaluation.evaluate_all(scored, score="s").collect()}
+    single = evaluation.binary_metrics(scored).first().asDict()
+    assert {k: found[k, None, None] for k in single} == pytest.approx(single)
+    weighted = evaluation.weighted_metrics(scored).first()
+    assert [found[f"weighted_{m}", None, None] for m in ("precision", "recall", "f1")] == pytest.approx([weighted[m] for m in ("precision", "recall", "f1")])
+    for row in evaluation.class_metrics(scored).collect():
+        assert found["class_f1", str(row["label"]), None] == pytest.approx(row["f1"]) and found["support", str(row["label"]), None] == row["support"]
+    for row in evaluation.confusion_matrix(scored).collect():
+        assert found["confusion", str(row["y_true"]), str(row["y_pred"])] == row["n"]
+    assert found["roc_auc", None, None] == pytest.approx(evaluation.roc_auc(scored, score="s").first()[0])
+    assert sum(k[0] == "tpr" for k in found) == evaluation.roc_curve(scored, score="s").count()
+    assert {r["metric"] for r in evaluation.evaluate_all(scored).collect()}.isdisjoint({"roc_auc", "tpr"})
+    assert evaluation.evaluate_all(scored.limit(0)).where("value <> 0").count() == 0
