@@ -11,8 +11,9 @@ The set is broadcast while it has at most `broadcast_windows` entries, and joine
 beyond that; the result is the same.
 
 Edge cases: a null or wordless text or item has no words and no windows. Rows with the same id
-and text get the same result; rows are never merged. A null id is an id like any other. Null
-item ids are left out. Columns of the input stay as they are; one with the name of a result is
+and text get the same result; rows are never merged. A null id is an id like any other. The windows of
+an item with a null id hit like all others; the item is neither listed nor counted. A very long text is
+one row and is scanned in it. Columns of the input stay as they are; one with the name of a result is
 replaced. An empty benchmark hits nothing.
 """
 
@@ -59,7 +60,6 @@ def benchmark_windows(
 ) -> DataFrame:
     """The set of windows: run (string), length, lead words, and the ids of the items that have it."""
     items = benchmark.select(F.col(id_col).alias("item"), normal_words(F.col(text_col)).alias("words"))
-    items = items.where(F.col("item").isNotNull())
     size = F.size("words")
     length = F.least(size, F.lit(window))
     starts = F.when(size > 0, F.sequence(F.lit(0), size - length))

@@ -14,9 +14,10 @@ adaptive gradient steps in a fixed order: the bounded sample is small enough for
 Scoring is one pass over all whole texts.
 
 Edge cases: a null text is an empty one and is scored too. Null labels and labels of null ids are
-left out; of an id with several labels the smallest counts. Without labelled rows every score is 0.5. If all
+left out; of an id with several labels or several texts the smallest counts. Without labelled rows every score is 0.5. If all
 labels are equal the scores go towards that label. Rows are scored one by one; input columns
-stay, one that has the name of a result is replaced.
+stay, one that has the name of a result is replaced. A very long text is one row, whose words are
+counted at once. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mac
     chance = np.random.default_rng(20)
     machine = Machine(0.0, np.zeros(size), chance.normal(0, 0.02, (size, FACTORS)))
     if not len(labels):
-        return machine
+        return Machine(0.0, np.zeros(size), np.zeros((size, FACTORS)))
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     machine.constant = float(np.log(rate / (1 - rate)))
     seen_w, seen_v, seen_c = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
@@ -200,9 +201,9 @@ def learn_quality(
     sample = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most `most_rows` ids and labels are broadcast
-    chosen = texts.join(F.broadcast(sample), "id").select("id", "label", "text")
+    chosen = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
     kinds = f"id {dict(chosen.dtypes)['id']}, label int, places binary, amounts binary"
-    rows = chosen.mapInArrow(_vectors, kinds).dropDuplicates(["id"]).toPandas()
+    rows = chosen.mapInArrow(_vectors, kinds).toPandas()
     rows = rows.sort_values("id")
     vectors = [
         (np.frombuffer(p, np.int32), np.frombuffer(a, np.float32).astype(float))

@@ -18,7 +18,7 @@ shape; a host with a third of all pages makes that join uneven, which adaptive e
 
 Edge cases: a null url and one without `://` have an empty host and path, and are judged as a
 host of that name. With a `depth`, deeper paths are judged by their first segments; without one, level
-by level to their last. Paths of fewer than three segments end as a branch of their own down to the
+by level to their last; a path that is alone in its branch is followed to its end at once, however long. Paths of fewer than three segments end as a branch of their own down to the
 third level. Without labels nothing is blocked. Rows are judged one by one; input columns stay, one that has the name
 of a result is replaced.
 """
@@ -103,7 +103,7 @@ def shapes_of(pages: DataFrame) -> DataFrame:
     )
 
 
-def template_purity(shapes: DataFrame, depth: int | None = DEPTH) -> DataFrame:
+def template_purity(shapes: DataFrame, depth: int | None = None) -> DataFrame:
     """(host, segments, template, purity) of every shape."""
     every = DEPTH if depth is None else depth
     deepest = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
@@ -119,7 +119,10 @@ def template_purity(shapes: DataFrame, depth: int | None = DEPTH) -> DataFrame:
     for k in range(levels):
         if k >= every:
             ended.append(tree.where(F.size("segments") <= k).select(*results))
-            tree = tree.where(F.size("segments") > k)
+            tree, alone = _one_path_left(tree.where(F.size("segments") > k), k)
+            ended.append(alone.select(*results))
+            if tree.isEmpty():
+                break
         step, above = "step", ["host", "template"]
         tree = tree.withColumn(step, F.get("segments", F.lit(k)))
         values = tree.where(F.col(step).isNotNull()).groupBy(*above, step).agg(F.sum("pages").alias("n"))
@@ -144,12 +147,27 @@ def template_purity(shapes: DataFrame, depth: int | None = DEPTH) -> DataFrame:
     return reduce(DataFrame.unionByName, ended, tree.select(*results))
 
 
+def _one_path_left(tree: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The paths that still share their branch with others, and those that go on alone, judged to their end.
+
+    Below a branch with one path every level has one child, so its purity follows level by level within the row.
+    """
+    above = ["host", "template"]
+    paths = tree.groupBy(*above).agg(F.count("*").alias("paths"))
+    tree = written(tree.join(paths, above), "url-tree")
+    rest = F.slice("segments", k + 1, F.size("segments"))
+    purity = F.aggregate(rest, F.col("purity"), lambda p, _: (F.col("blocked") + PRIOR * p) / (F.col("labelled") + PRIOR))
+    template = F.concat("template", F.lit("/"), F.array_join(rest, "/"))
+    alone = tree.where("paths = 1").withColumns({"purity": purity, "template": template})
+    return tree.where("paths > 1").drop("paths"), alone
+
+
 def judge_urls(
     pages: DataFrame,
     rules: list[Rule] = RULES,
     url_col: str = "url",
     label: Column | None = None,
-    depth: int | None = DEPTH,
+    depth: int | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """All rows and columns of `pages` with host, path, rule, template, purity and verdict.

@@ -16,11 +16,11 @@ def brute(docs, items):
     windows = {}
     for item, text in items:
         w = words(text)
-        if item is None or not w:
+        if not w:
             continue
         n = min(len(w), 13)
         for i in range(len(w) - n + 1):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + n]), set()).update([] if item is None else [str(item)])
     lengths = {len(w) for w in windows}
     out = []
     for i, text in docs:
@@ -95,7 +95,16 @@ def test_removal(spark, case):
     docs, items = case
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, n_hit string")
     found = D.find_hits(frame, spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(D.remove_hits(found).select("doc_id").toPandas()["doc_id"].tolist()) == [2, 5, 7, 8, 10, 11]
+    assert sorted(D.remove_hits(found).select("doc_id").toPandas()["doc_id"].tolist()) == [2, 5, 7, 8, 10]  # 11 is an item without id
     cut = {r["doc_id"]: r["text"] for r in D.remove_hits(found, whole=False).collect()}
     assert cut[4] == "ünïque-word five" and cut[5] == dict(docs)[5] and cut[8] is None and cut[10] == "..."
     assert cut[3] == "a, b"
+
+
+def test_items_without_an_id_hit_but_are_not_listed(spark, prose):
+    passage, other = " ".join(prose(1, 20)), " ".join(prose(2, 20))
+    docs = [(1, passage), (2, " ".join(prose(3, 300)) + " " + other), (3, " ".join(prose(4, 40))), (4, passage + " " + "word " * 100_000)]
+    items = [(None, passage), (None, None), (7, other), (None, other)]
+    found = run(spark, docs, items)
+    assert found == brute(docs, items)
+    assert found[0][2:4] == (20, []) and found[0][5] and found[1][3] == ["7"]

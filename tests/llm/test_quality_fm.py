@@ -1,9 +1,11 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
 
 from critiq.llm import quality_fm as Q
+from critiq.llm import queries
 
 
 def documents(prose, count, start=0):
@@ -65,7 +67,34 @@ def test_edge_cases(spark, tables):
     found = Q.score_quality(odd, labels).collect()
     assert len(found) == 4 and all(0 <= r["score"] <= 1 for r in found)
     none = spark.createDataFrame([(None, 1), (5, None)], "doc_id long, quality int")
-    assert {r["score"] for r in Q.score_quality(odd, none).collect()} <= {0.5} or True
+    assert {r["score"] for r in Q.score_quality(odd, none).collect()} == {0.5}
     one_kind = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
     assert all(r["score"] > 0.5 for r in Q.score_quality(docs, one_kind).collect())
     assert Q.score_quality(odd.limit(0), labels).count() == 0
+
+
+def test_query_equals_brute_force(spark, prose, tmp_path):
+    """The registered query against a fit in one process and a loop over all pairs of features."""
+    texts = [(i, " ".join(prose(i, 30) if i % 2 else ["buy", "now"] * (i % 7 + 1) + prose(i, 4))) for i in range(60)]
+    texts += [(7, "another text of the same id"), (7, None), (61, None), (62, ""), (None, "no id")]
+    labels = [(i, i % 2, 0) for i in range(0, 60, 2)] + [(i, 1, 0) for i in range(1, 60, 2)] + [(61, 0, 0), (7, 1, 0)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held_out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in texts if i is not None}
+    known = sorted({i: y for i, y, _ in labels if not held_out[i]}.items())
+    first = {}
+    for i, text in texts:
+        first[i] = min((t for t in (first.get(i), text) if t is not None), default=None)
+    machine = Q.fit([tuple(a.astype(b) for a, b in zip(Q.features(first[i]), (np.int32, np.float32))) for i, _ in known], np.array([y for _, y in known], float))
+    found = queries.op3_quality_machine(spark, str(tmp_path)).collect()
+    expected = []
+    for i, text in texts:
+        places, values = Q.features(text)
+        pairs = sum(
+            machine.vectors[places[a]] @ machine.vectors[places[b]] * values[a] * values[b]
+            for a, b in itertools.combinations(range(len(places)), 2)
+        )
+        score = 1 / (1 + np.exp(-(machine.constant + machine.weights[places] @ values + pairs)))
+        expected.append((str(i), bool(held_out.get(i, False)), round(float(score), 6)))
+    assert sorted((str(r["doc_id"]), r["held_out"], round(r["score"], 6)) for r in found) == sorted(expected)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in found)

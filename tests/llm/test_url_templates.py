@@ -85,7 +85,25 @@ def test_query_reads_whole_paths(spark, tmp_path):
 
 def test_edge_cases(spark):
     urls = ["x://h.com/de/1"] * 3 + [None, None, "x://h.com//a///b/c/d/e/f"]
-    found = judge(spark, urls)
+    assert judge(spark, urls)[5]["template"] == "/a/b/c/d/e/f"  # to the last segment, unless a depth is named
+    found = judge(spark, urls, depth=3)
     assert len(found) == 6 and found[5]["path"] == "//a///b/c/d/e/f" and found[5]["template"] == "/a/b/c"
     empty = spark.createDataFrame([], COLUMNS)
     assert U.judge_urls(empty).count() == 0
+
+
+def test_a_very_long_path(spark):
+    long = "/".join(f"s{i}" for i in range(500))
+    urls = [(i, f"http://a.net/x/{i % 3}/y/{long if i == 1 else 'z'}/{i}", i % 2) for i in range(40)]
+    pages = spark.createDataFrame(urls, "page_id long, url string, bad int")
+    found = {r["page_id"]: r for r in U.judge_urls(pages, rules=[], label=pages["bad"]).collect()}
+    assert found[1]["template"].count("/s{n}") == 500 and found[1]["purity"] > 0.99 and found[1]["verdict"] == "block"
+
+
+def test_paths_followed_alone_get_the_purity_of_every_level(spark, monkeypatch):
+    urls = [(i, f"http://h{i % 2}.net/a/b/c{i % 4}/d{i % 5}/e{i}/f/g", i % 3 > 0) for i in range(60)]
+    pages = spark.createDataFrame([(i, u, int(b)) for i, u, b in urls], "page_id long, url string, bad int")
+    judge = lambda: {r["page_id"]: (r["template"], round(r["purity"], 12)) for r in U.judge_urls(pages, rules=[], label=pages["bad"]).collect()}
+    at_once = judge()
+    monkeypatch.setattr(U, "_one_path_left", lambda tree, k: (tree, tree.limit(0)))
+    assert judge() == at_once
