@@ -59,6 +59,8 @@ EXACT = 60
 TILE_MEMBERS, TILE_SHINGLES = 1024, 1 << 21
 #: Members of a tile up to which pairs are counted one by one.
 FEW_MEMBERS = 12
+#: Rows of the ids of candidates up to which they are broadcast to the texts.
+BROADCAST_ROWS = 1_000_000
 FACTOR = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 8 << 20
 #: Numbers hashed together for one text.
@@ -412,7 +414,9 @@ def near_duplicates(
     pairs = written(rest.select(F.col("node").alias("a"), "b", "close").distinct(), "pairs")
     asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
     rows = nodes.join(asked, "node").select("node", "row.id", "row.key")
-    texts = given.join(written(rows, "asked"), ["id", "key"]).groupBy("node").agg(F.min("text").alias("text"))
+    rows = written(rows, "asked")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows  # 24 bytes each; beyond that, texts are moved
+    texts = given.join(rows, ["id", "key"]).groupBy("node").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
     links = written(_verified(pairs.where("close").select("a", "b"), texts, similarity, size), "verified")
     stars = components(links)

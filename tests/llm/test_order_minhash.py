@@ -199,6 +199,7 @@ def test_a_large_group_in_tiles(spark, prose, monkeypatch):
     for members, few in ((1024, 12), (10, 12), (10, 2)):
         monkeypatch.setattr(O, "TILE_MEMBERS", members)
         monkeypatch.setattr(O, "FEW_MEMBERS", few)
+        monkeypatch.setattr(O, "BROADCAST_ROWS", 1_000_000 if few > 2 else 0)
         assert {r["doc_id"]: r["class_id"] for r in classes(spark, rows).collect()} == expected
 
 
