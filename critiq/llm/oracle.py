@@ -206,7 +206,7 @@ WITH d AS MATERIALIZED (
           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
         FROM (SELECT unnest(range(0, 256)) AS n))
 ), words AS MATERIALIZED (
-  SELECT doc_id, unnest(w) AS word FROM d
+  SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d
 ), spelled AS (
   SELECT word, list_transform(range(0, strlen(word)), lambda i: CAST(concat('0x', substr(hex(encode(word)), 2 * i + 1, 2)) AS BIGINT)) AS b
   FROM (SELECT DISTINCT word FROM words)
@@ -214,31 +214,41 @@ WITH d AS MATERIALIZED (
   SELECT word, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])),
                    4294967295) % 16384 AS bucket
   FROM spelled, crc
+), placed AS MATERIALIZED (
+  SELECT doc_id, bucket, lead(bucket) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM words JOIN buckets USING (word)
+), grams AS MATERIALIZED (
+  SELECT doc_id, 1 AS n_order, bucket FROM placed
+  UNION ALL SELECT doc_id, 2, (31 * bucket + following) % 16384 FROM placed WHERE following IS NOT NULL
 ), raw AS (
-  SELECT bucket, count(*) AS r FROM words JOIN buckets USING (word) GROUP BY bucket
+  SELECT n_order, bucket, count(*) AS r FROM grams GROUP BY ALL
 ), trusted AS (
   SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0
 ), target AS (
-  SELECT bucket, count(*) AS t FROM words JOIN trusted USING (doc_id) JOIN buckets USING (word) GROUP BY bucket
+  SELECT n_order, bucket, count(*) AS t FROM grams JOIN trusted USING (doc_id) GROUP BY ALL
 ), totals AS (
-  SELECT (SELECT sum(r) FROM raw) AS all_r, coalesce((SELECT sum(t) FROM target), 0) AS all_t
+  SELECT n_order, sum(r)::DOUBLE AS all_r, coalesce(sum(t), 0)::DOUBLE AS all_t
+  FROM raw LEFT JOIN target USING (n_order, bucket) GROUP BY n_order
 ), weights AS MATERIALIZED (
-  SELECT bucket, CASE WHEN all_t = 0 THEN 0 ELSE
-           CAST(round(ln((coalesce(t, 0) + 4.0::DOUBLE) / (r * (all_t::DOUBLE / all_r::DOUBLE) + 4.0::DOUBLE)) * 10000)
-                AS BIGINT) END AS weight
-  FROM raw LEFT JOIN target USING (bucket), totals
+  SELECT n_order, bucket,
+         CAST(round(ln((coalesce(t, 0) + 4.0::DOUBLE) / (r * (all_t / all_r) + 4.0::DOUBLE)) * 10000) AS BIGINT) AS weight
+  FROM raw LEFT JOIN target USING (n_order, bucket) JOIN totals USING (n_order)
+), by_order AS (
+  SELECT doc_id, n_order, CAST(sum(weight) AS BIGINT) AS units, count(*) AS n
+  FROM grams JOIN weights USING (n_order, bucket) GROUP BY ALL
 ), sums AS (
-  SELECT doc_id, CAST(sum(weight) AS BIGINT) AS ratio_units
-  FROM words JOIN buckets USING (word) JOIN weights USING (bucket) GROUP BY doc_id
+  SELECT doc_id, CAST(sum(units) AS BIGINT) AS ratio_units, CAST(sum(n) AS BIGINT) AS n_grams,
+         CAST(floor(sum(units::DOUBLE / n::DOUBLE)) AS BIGINT) AS mean_units
+  FROM by_order GROUP BY doc_id
 ), counted AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines,
-         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(ratio_units, 0) AS ratio_units
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(ratio_units, 0) AS ratio_units,
+         coalesce(n_grams, 0) AS n_grams, coalesce(mean_units, 0) AS mean_units
   FROM d JOIN lined USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN sums USING (doc_id)
 )
-SELECT *, n_words AS n_grams, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND ratio_units >= -2000 * n_words AS kept
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND mean_units >= -2000 AS kept
 FROM counted
 """
 

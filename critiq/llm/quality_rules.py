@@ -1,21 +1,24 @@
 """Quality rules: fixed text rules, then a log-likelihood ratio of hashed n-grams.
 
 Every document gets counts (words, symbols, repeated lines and windows). A document that
-passes the fixed rules is scored by the mean over its n-grams of
+passes the fixed rules is scored, for words and for pairs of words, by the mean over its n-grams of
 
     log P(n-gram | trusted target) - log P(n-gram | raw corpus)
 
-where both multinomials run over hash buckets and are counted over all documents. The raw counts
-are scaled to the size of the target and both get the same constant added, so buckets of rare
-n-grams, of which the target has none by chance, weigh little in a small corpus too. The logarithms are rounded to whole units of 1/10000, so
-scores are sums of whole numbers: the same in any order, on any number of executors.
+where both multinomials of an order run over its hash buckets and are counted over all documents.
+The means of the orders are added: most pairs of a document stand nowhere else and weigh nothing, so
+one mean over all n-grams would be half that of the words. The raw counts are scaled to the size of the
+target and both get the same constant added, so buckets of rare n-grams, of which the target has none by
+chance, weigh little in a small corpus too. The logarithms are rounded to whole units of 1/10000, so
+sums are of whole numbers: the same in any order, on any number of executors.
 
 Counting needs one row per bucket and task to be shuffled; the text of trusted documents is
 joined with its ids. The weights (one number per bucket) are sent to the executors as a
-constant of the plan; their number is the parameter `buckets`.
+constant of the plan; their number is the parameter `buckets` for each order.
 
 Edge cases: a null or blank text has no words and fails the fixed rules. Without any trusted
-document no ratio exists and the fixed rules decide alone. Rows are judged one by one, so
+document no ratio exists and the fixed rules decide alone; a text too short for an order gets nothing
+for it. An empty table gives one, and long texts are counted whole. Rows are judged one by one, so
 repeated rows and null ids need no key; a null id is never trusted. All other columns of the
 input stay as they are; one that has the name of a result is replaced.
 """
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +39,18 @@ from critiq.session import spread_rows, written
 BLANKS = r"\s+"
 SYMBOLS = r"[#*$%&|<>]+"
 BUCKETS = 1 << 14
-ORDERS = (1,)
+ORDERS = (1, 2)
 SMOOTHING = 4
 UNITS = 10_000
-#: Mean log-likelihood ratio, in units, below which a document is rejected.
+#: What the number of an n-gram is multiplied by before the next word's is added.
+STEP = 31
+#: Sum of the orders' mean log-likelihood ratios, in units, below which a document is rejected.
 THRESHOLD = -2_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RESULTS = [*COUNTS, "base_failed", "ratio_units", "n_grams", "kept"]
+RESULTS = [*COUNTS, "base_failed", "ratio_units", "n_grams", "mean_units", "kept"]
 
 
 def text_words(text: Column) -> Column:
@@ -52,26 +58,21 @@ def text_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
-def _run_of(words: Column, length: int) -> Callable[[Column], Column]:
-    """A function from a position to the words that start there, as one string."""
-    return lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(length)])
+def _word_numbers(words: Column, buckets: int) -> Column:
+    return F.transform(words, lambda word: (F.crc32(word.cast("binary")) % buckets).cast("int"))
 
 
-def _grams(words: Column, orders: tuple[int, ...]) -> Column:
-    """All n-grams of a word array as one array of strings."""
-    parts = []
-    for order in orders:
-        if order == 1:
-            parts.append(words)
-            continue
-        starts = F.when(F.size(words) >= order, F.sequence(F.lit(0), F.size(words) - order))
-        grams = F.transform(starts, _run_of(words, order))
-        parts.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def _with_grams(words: DataFrame, orders: tuple[int, ...], buckets: int) -> DataFrame:
+    """Add an array column `grams<k>_` with the buckets of all n-grams of order k to a table with `words_`.
 
-
-def _bucket(gram: Column, buckets: int) -> Column:
-    return F.crc32(gram.cast("binary")) % buckets
+    An n-gram is numbered from the one without its last word and the number of that word.
+    """
+    words = words.withColumn("grams1_", _word_numbers(F.col("words_"), buckets))
+    for order in range(2, max(orders) + 1):
+        count = F.greatest(F.size("words_") - (order - 1), F.lit(0))
+        shorter, last = F.slice(f"grams{order - 1}_", F.lit(1), count), F.slice("grams1_", F.lit(order), count)
+        words = words.withColumn(f"grams{order}_", F.zip_with(shorter, last, lambda a, b: (a * STEP + b) % buckets))
+    return words
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -115,11 +116,21 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return counted.drop("lines_", "hashes_", "keyed_", "at_")
 
 
+def _plus(number: int) -> Callable[[Column], Column]:
+    return lambda x: x + number
+
+
+def _looked_up(table: Column) -> Callable[[Column, Column], Column]:
+    """A function that adds the weight of an n-gram to a sum."""
+    return lambda total, gram: total + F.get(table, gram)
+
+
 def _bucket_counts(texts: DataFrame, orders: tuple[int, ...], buckets: int, name: str) -> DataFrame:
-    words = texts.select(text_words(F.col("text")).alias("words_"))
-    grams = words.select(F.explode_outer(_grams(F.col("words_"), orders)).alias("gram"))
-    grams = grams.where(F.col("gram").isNotNull())  # of texts without words
-    return grams.groupBy(_bucket(F.col("gram"), buckets).alias("bucket")).agg(F.count("*").alias(name))
+    """(bucket, count); the buckets of the k-th order start at k times `buckets`."""
+    words = _with_grams(texts.select(text_words(F.col("text")).alias("words_")), orders, buckets)
+    numbered = [F.transform(f"grams{order}_", _plus(k * buckets)) for k, order in enumerate(orders)]
+    grams = words.select(F.explode_outer(F.concat(*numbered)).alias("bucket"))
+    return grams.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias(name))
 
 
 def gram_weights(
@@ -131,23 +142,26 @@ def gram_weights(
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
 ) -> list[int]:
-    """One log-likelihood ratio per bucket, in units of 1/10000.
+    """One log-likelihood ratio per bucket, in units of 1/10000, order after order.
 
     `trusted_ids` has the ids of the target documents in its only column. The result is
-    bounded by `buckets`. It is empty if no target document has an n-gram.
+    bounded by `buckets` for each order. It is empty if no target document has an n-gram.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = trusted_ids.toDF("id").distinct().hint("shuffle_hash")  # one way at every size
     raw = _bucket_counts(spread_rows(texts), orders, buckets, "raw")
     target = _bucket_counts(texts.join(chosen, "id"), orders, buckets, "target")
     counts = written(raw.join(target, "bucket", "left").na.fill(0, ["target"]), "gram-counts")
-    totals = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
-    if not totals["target"]:
+    counts = counts.withColumn("order", F.floor(F.col("bucket") / buckets).cast("int"))
+    sums = counts.groupBy("order").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    totals = {row["order"]: (row["raw"], row["target"]) for row in sums.collect()}  # a row for each order
+    if not any(target for _, target in totals.values()):
         return []
-    share = totals["target"] / totals["raw"]
+    shares = [totals[k][1] / totals[k][0] if k in totals else 0.0 for k in range(len(orders))]
+    share = F.get(F.array(*map(F.lit, shares)), F.col("order"))
     ratio = F.log((F.col("target") + float(smoothing)) / (F.col("raw") * share + float(smoothing)))
     unseen = 0  # a bucket without any n-gram of the corpus is never looked up
-    weights = [unseen] * buckets
+    weights = [unseen] * (buckets * len(orders))
     for row in counts.select("bucket", F.round(ratio * UNITS).cast("long").alias("weight")).collect():
         weights[row["bucket"]] = row["weight"]
     return weights
@@ -162,32 +176,38 @@ def score_quality(
     buckets: int = BUCKETS,
     threshold: int = THRESHOLD,
 ) -> DataFrame:
-    """All rows and columns of `docs` with the counts, base_failed, ratio_units, n_grams and kept.
+    """All rows and columns of `docs` with the counts, base_failed, ratio_units, n_grams, mean_units and kept.
 
-    `ratio_units` is the sum of the weights of all n-grams; a document is kept if it passes
-    the fixed rules and the mean is not below `threshold` units.
+    `ratio_units` is the sum of the weights of all n-grams, `mean_units` the sum of the orders' means,
+    rounded down; a document is kept if it passes the fixed rules and that is not below `threshold`.
     """
     weights = gram_weights(docs, trusted_ids, id_col, text_col, orders, buckets)
     counted = text_counts(hold(spread_rows(docs), text=F.col(text_col)))
-    words = F.col("words_")
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
-    counted = counted.withColumns({"grams_": _grams(words, orders), "base_failed": failed})
-    if weights:
-        table = F.from_json(F.lit(json.dumps(weights)), "array<int>")
-        total = F.aggregate(
-            "grams_",
-            F.lit(0).cast("long"),
-            lambda acc, gram: acc + F.get(table, _bucket(gram, buckets).cast("int")),
-        )
-    else:
-        total = F.lit(0).cast("long")
-    scored = counted.withColumns({"ratio_units": total, "n_grams": F.size("grams_").cast("long")})
-    # a filter on `kept` must not carry all these expressions down: it stops at the row number
+    counted = _with_grams(counted.withColumn("failed_", failed), orders, buckets)
+    totals = {}
+    for k, order in enumerate(orders):
+        totals[f"units{order}_"] = F.lit(0).cast("long")
+        if weights:
+            table = F.from_json(F.lit(json.dumps(weights[k * buckets : (k + 1) * buckets])), "array<int>")
+            totals[f"units{order}_"] = F.aggregate(f"grams{order}_", F.lit(0).cast("long"), _looked_up(table))
+    scored = counted.withColumns(totals)
+    units = [F.col(f"units{order}_") for order in orders]
+    sizes = [F.size(f"grams{order}_").cast("long") for order in orders]
+    means = [F.coalesce(F.try_divide(u, n), F.lit(0.0)) for u, n in zip(units, sizes)]
+    scored = scored.withColumns(
+        {
+            "ratio_units": reduce(Column.__add__, units),
+            "n_grams": reduce(Column.__add__, sizes),
+            "mean_units": F.floor(reduce(Column.__add__, means)).cast("long"),
+        }
+    )
+    # a filter on a verdict must not carry all these expressions down: it stops at the row number
     scored = scored.withColumn("row_", F.monotonically_increasing_id())
-    alike = F.col("ratio_units") >= threshold * F.col("n_grams")
-    kept = ~F.col("base_failed") & alike & (F.col("row_") >= 0)
+    scored = scored.withColumn("base_failed", F.col("failed_") & (F.col("row_") >= 0))
+    kept = ~F.col("base_failed") & (F.col("mean_units") >= threshold)
     return give_back(scored.withColumn("kept", kept), docs, RESULTS)
 
 

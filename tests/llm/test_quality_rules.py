@@ -50,19 +50,58 @@ def test_ratio_equals_brute_force(spark, prose):
     texts = {i: " ".join(prose(i % 7, 30 + i)) for i in range(20)}
     trusted = [1, 3, 5, 5]
     found = judge(spark, list(texts.items()), trusted)
-    buckets = {i: [zlib.crc32(w) % Q.BUCKETS for w in t.encode().split()] for i, t in texts.items()}
-    raw, target = {}, {}
-    for i, numbers in buckets.items():
-        for b in numbers:
-            raw[b] = raw.get(b, 0) + 1
-            if i in trusted:
-                target[b] = target.get(b, 0) + 1
-    share = sum(target.values()) / sum(raw.values())
-    weight = {b: round(1e4 * math.log((target.get(b, 0) + 4.0) / (n * share + 4.0))) for b, n in raw.items()}
+    words = {i: [zlib.crc32(w) % Q.BUCKETS for w in t.encode().split()] for i, t in texts.items()}
+    pairs = {i: [(31 * a + b) % Q.BUCKETS for a, b in zip(n, n[1:])] for i, n in words.items()}
+    sums, counts, means = ({i: 0 for i in texts} for _ in range(3))
+    for grams in (words, pairs):
+        raw, target = {}, {}
+        for i, numbers in grams.items():
+            for b in numbers:
+                raw[b] = raw.get(b, 0) + 1
+                if i in trusted:
+                    target[b] = target.get(b, 0) + 1
+        share = sum(target.values()) / sum(raw.values())
+        weight = {b: round(1e4 * math.log((target.get(b, 0) + 4.0) / (n * share + 4.0))) for b, n in raw.items()}
+        for i, numbers in grams.items():
+            units = sum(weight[b] for b in numbers)
+            sums[i], counts[i], means[i] = sums[i] + units, counts[i] + len(numbers), means[i] + units / len(numbers)
     for i, text in texts.items():
         row = found[i, text]
-        assert row["n_grams"] == len(buckets[i])
-        assert row["ratio_units"] == sum(weight[b] for b in buckets[i])
+        assert (row["n_grams"], row["ratio_units"]) == (counts[i], sums[i])
+        assert row["mean_units"] == math.floor(means[i])
+        assert row["kept"] == (not row["base_failed"] and row["mean_units"] >= Q.THRESHOLD)
+
+
+def test_trusted_words_in_another_order_score_lower(spark, prose):
+    import random
+
+    texts = [" ".join(prose(i % 5, 60)) for i in range(30)]  # five trusted texts, six times each
+    shuffled = []
+    for i in range(5):
+        words = texts[i].split()
+        random.Random(i).shuffle(words)
+        shuffled.append(" ".join(words))
+    found = judge(spark, list(enumerate(texts + shuffled)), range(30))
+    for i in range(5):
+        assert found[30 + i, shuffled[i]]["mean_units"] < found[i, texts[i]]["mean_units"] - 1000
+    words_only = Q.score_quality(
+        spark.createDataFrame(list(enumerate(texts + shuffled)), "doc_id long, text string"),
+        spark.createDataFrame([(i,) for i in range(30)], "doc_id long"),
+        orders=(1,),
+    )
+    scores = {r["doc_id"]: r["mean_units"] for r in words_only.collect()}
+    assert all(scores[30 + i] == scores[i] for i in range(5))
+
+
+def test_texts_too_short_for_an_order(spark):
+    found = judge(spark, [(1, "one"), (2, ""), (3, "one two")], [3])
+    assert [found[k]["n_grams"] for k in ((1, "one"), (2, ""), (3, "one two"))] == [1, 0, 3]
+    assert found[2, ""]["mean_units"] == 0 and not any(r["kept"] for r in found.values())
+
+
+def test_a_filter_on_the_fixed_rules(spark, prose):
+    docs = spark.createDataFrame([(1, " ".join(prose(1, 40))), (2, "few")], "doc_id long, text string")
+    assert Q.score_quality(docs, docs.select("doc_id")).where("not base_failed").count() == 1
 
 
 def test_longer_grams_are_counted_too(spark, prose):
