@@ -248,7 +248,7 @@ WITH d AS MATERIALIZED (
   FROM d JOIN lined USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN sums USING (doc_id)
 )
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND mean_units >= -2000 AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND mean_units >= -2400 AS kept
 FROM counted
 """
 

@@ -45,7 +45,7 @@ UNITS = 10_000
 #: What the number of an n-gram is multiplied by before the next word's is added.
 STEP = 31
 #: Sum of the orders' mean log-likelihood ratios, in units, below which a document is rejected.
-THRESHOLD = -2_000
+THRESHOLD = -2_400
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
