@@ -19,7 +19,9 @@ def merge_books_and_reviews(
     broadcast limit is broadcast, a larger one is shuffled and hot books are
     split by adaptive execution. Where that is switched off, `salts` spreads
     the reviews of each book over as many tasks, at the price of that many
-    copies of the three book columns.
+    copies of the three book columns. Both sides are then shuffled and sorted,
+    which spills: Spark's size estimate misses the copies, and a broadcast of
+    them would grow with the books in every task.
     """
     wanted = books.select("asin", "title", "main_category")
     if salts > 1:
@@ -29,7 +31,7 @@ def merge_books_and_reviews(
         every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
         salted = _merge_on(
             wanted.withColumn("_salt", every_salt),
-            reviews.withColumn("_salt", salt),
+            reviews.withColumn("_salt", salt).hint("merge"),
             match_null_keys,
         )
         return salted.drop("_salt")

@@ -93,6 +93,18 @@ def test_reviews_and_their_books(spark, tmp_path):
     assert tables.merge_books_and_reviews(books, nulls, match_null_keys=True).first()["title"] == "null"
 
 
+def test_copies_of_a_salted_join_are_not_broadcast(spark, capsys):
+    # tables whose size Spark knows to be small
+    books = spark.sql("SELECT * FROM VALUES ('A', 't', 'm'), (NULL, 'n', 'm') AS b(asin, title, main_category)")
+    reviews = spark.sql("SELECT * FROM VALUES ('A', 1), ('A', 2), ('B', 3), (NULL, 4) AS r(asin, n)")
+    for match_null_keys, of_null in ((False, None), (True, "n")):
+        salted = tables.merge_books_and_reviews(books, reviews, match_null_keys, salts=3)
+        salted.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert sorted((r["n"], r["title"]) for r in salted.collect()) == [(1, "t"), (2, "t"), (3, None), (4, of_null)]
+
+
 @pytest.mark.parametrize("bad", [{"overall": None}, {"overall": "x"}, {"unixReviewTime": "x"}, "[1]"])
 def test_bad_review_numbers(spark, tmp_path, bad):
     path = write_lines(tmp_path / "reviews.jsonl.gz", [*REVIEWS, bad])
