@@ -108,8 +108,5 @@ def load_reviews(
     """Review CSV in the common shape, rows numbered in file order; the first `limit` of them if given."""
     if fallback_folder is not None:
         path = resolve_csv(spark, path, fallback_folder)
-    read = _reader(spark, path, limit)
-    placed = limits.file_positions(read(limits.first_files(spark, path, read, limit)))
-    if limit:
-        placed = placed.where(F.col("position") < limit)
+    placed = limits.first_positions(spark, path, _reader(spark, path, limit), limit)
     return normalize_reviews(_null_missing(placed), on_bad=on_bad, position="position")

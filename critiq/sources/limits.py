@@ -105,6 +105,27 @@ def first_files(spark: SparkSession, path: str, read: Reader, limit: int | None)
     return whole + [last] if last else whole or [path]
 
 
+def first_positions(
+    spark: SparkSession, path: str, read: Reader, limit: int | None, name: str = "position"
+) -> DataFrame:
+    """The first rows of the files of a path with their position; all for None or 0.
+
+    A last file read by one task is left where the limit is reached, however long it is.
+    """
+    if not limit:
+        return file_positions(read([path]), name)
+    whole, last, left = leading_files(files_in_order(spark, path), read, limit)
+    if last is None:
+        return file_positions(read(whole or [path]), name)
+    first = read([last])
+    if first.rdd.getNumPartitions() == 1:
+        first = first.withColumn(name, F.monotonically_increasing_id()).limit(left)  # of one task: 0, 1, ...
+    else:
+        first = file_positions(first, name).where(F.col(name) < left)
+    first = first.withColumn(name, F.col(name) + F.lit(limit - left))
+    return file_positions(read(whole), name).unionByName(first) if whole else first
+
+
 def first_lines(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
     """The first lines of text files."""
     return first_rows(spark, path, lambda paths: spark.read.text(list(paths)), limit)

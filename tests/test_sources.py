@@ -258,6 +258,22 @@ def test_a_csv_limit_leaves_later_files_alone(spark, tmp_path):
         assert sorted((r["asin"], r["title"]) for r in found) == sorted((f"book_{i}", f"t{i}") for i in range(limit))
 
 
+def cut_short(path, lines):
+    """A file whose last third cannot be read."""
+    whole = gzip.compress("".join(lines).encode())
+    path.write_bytes(whole[: len(whole) * 2 // 3])
+
+
+def test_a_csv_limit_leaves_the_rest_of_a_file_alone(spark, tmp_path):
+    rows = [f'"t{i}","line\nbreak {os.urandom(1000).hex()}",{i}\n' for i in range(2_000)]
+    (tmp_path / "a.csv").write_text("Title,description,ratingsCount\n" + "".join(rows[:3]))
+    cut_short(tmp_path / "b.csv.gz", ["Title,description,ratingsCount\n", *rows[3:]])
+    for limit in (2, 3, 4, 30):
+        found = csv_reviews.load_reviews(spark, str(tmp_path), limit).collect()
+        assert sorted((r["rating"], r["asin"], r["title"]) for r in found) == [(i, f"book_{i}", f"t{i}") for i in range(limit)]
+        assert csv_reviews.load_reviews(spark, str(tmp_path / "b.csv.gz"), limit).count() == limit
+
+
 def test_rejects_name_their_file_and_line(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"price": 1}\n{broken\n{"price": 2}\n')
     (tmp_path / "b.jsonl").write_text('{"price": "-"}\n')
