@@ -77,3 +77,13 @@ def test_read_word_lists(spark, tmp_path):
     }
     names = {r["list_name"] for r in L.list_names(spark, str(tmp_path)).collect()}
     assert names == {"spam", "speech", "empty"}
+
+
+def test_built_in_lists_take_one_pass_over_a_text(spark, capsys):
+    docs = spark.sql("SELECT * FROM VALUES (1, 'Free MONEY, no risk'), (2, 'plain'), (3, NULL), (4, 'grass') AS d(doc_id, text)")
+    words = C.default_word_lists(spark)
+    found = C.content_matches(docs, words, ["doc_id"])
+    found.explain()
+    assert "ArrowEvalPython" in capsys.readouterr().out
+    scanned = C.content_matches(docs, words, ["doc_id"], literal_entries=1000)
+    assert found.collect() == scanned.collect() and {r["word"] for r in found.collect()} >= {"free", "free money", "no risk", "ass"}

@@ -414,3 +414,11 @@ def test_one_call_has_every_metric(spark):
     assert sum(k[0] == "tpr" for k in found) == evaluation.roc_curve(scored, score="s").count()
     assert {r["metric"] for r in evaluation.evaluate_all(scored).collect()}.isdisjoint({"roc_auc", "tpr"})
     assert evaluation.evaluate_all(scored.limit(0)).where("value <> 0").count() == 0
+
+
+def test_terms_are_counted_without_a_row_object_each(spark, capsys):
+    docs = spark.sql("SELECT * FROM VALUES (array('b', 'a', 'b')), (array('b')), (array()), (NULL), (array('c', 'c')) AS d(words)")
+    counts = features.term_counts(docs, F.col("words"))
+    counts.explain()
+    assert "inline" not in capsys.readouterr().out
+    assert sorted(map(tuple, counts.collect())) == [("a", 1, 1), ("b", 3, 2), ("c", 2, 1)]
